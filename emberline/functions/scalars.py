@@ -62,6 +62,11 @@ def percent_change(last: Column, this: Column) -> Column:
     return F.when(last != 0, (this - last) / last * 100.0)
 
 
+def mean(value: Column) -> Column:
+    """Mean of readings in fixed point (six decimals): the sum is exact, so the result does not depend on row order."""
+    return F.sum(F.round(value * 1_000_000).cast("long")) / F.count(value) / 1_000_000
+
+
 def correlation(x: Column, y: Column) -> Column:
     """Pearson r over the rows where both sides are known; null below two rows or without variance.
 

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.functions.scalars import seconds_between
+from emberline.functions.scalars import mean, seconds_between
 from emberline.functions.timeline import scan
 from emberline.schema import FLOORS, WARNING_KINDS
 
@@ -55,7 +55,7 @@ def floor_daily_summary(
             F.sum(F.when(mine, F.col("duration_s"))).alias(f"s_{f}"),
             F.max(F.when(mine, F.col("duration_s"))).alias(f"m_{f}"),
         ]
-    daily = facts.groupBy(*DAY).agg(F.avg("temperature_f").alias("outdoor"), *aggs)
+    daily = facts.groupBy(*DAY).agg(mean(F.col("temperature_f")).alias("outdoor"), *aggs)
     unfolded = F.inline(
         F.array(
             *[
@@ -114,7 +114,7 @@ def furnace_daily_summary(
         F.count_if(is_furnace).alias("session_count"),
         F.round(F.min("temperature_f"), 6).alias("outdoor_temp_min_f"),
         F.round(F.max("temperature_f"), 6).alias("outdoor_temp_max_f"),
-        F.round(F.avg("temperature_f"), 1).alias("outdoor_temp_avg_f"),
+        F.round(mean(F.col("temperature_f")), 1).alias("outdoor_temp_avg_f"),
     ]
     for f in floors:
         mine = is_call & (F.col("floor") == f)
@@ -124,7 +124,7 @@ def furnace_daily_summary(
         ]
     none = F.lit(None).cast("double")
     for f in floors:
-        value = none if setpoints is None else F.round(F.avg(F.when(F.col("floor") == f, F.col("setpoint"))), 1)
+        value = none if setpoints is None else F.round(mean(F.when(F.col("floor") == f, F.col("setpoint"))), 1)
         aggs.append((F.first(none) if setpoints is None else value).alias(f"setpoint_{f}_f"))
     for k in kinds if warnings is not None else ():
         aggs.append(F.count_if(F.col("kind") == k).alias(f"warn_{k}"))
