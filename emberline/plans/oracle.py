@@ -105,6 +105,8 @@ def cte(until: str | None = None) -> dict[str, str]:
         "starts_q": "SELECT site_id, floor, seq, ts, 'start' AS kind FROM hr WHERE heating AND NOT was",
         "reach_q": "SELECT site_id, floor, seq, ts, 'reach' AS kind FROM hr WHERE reached",
         "zones_start": f"SELECT *, {other} AS other_zones FROM ({zones_at.format(rows='starts_q')})",
+        "all_q": "SELECT site_id, floor, seq, ts, 'all' AS kind FROM climate",
+        "zones_all": f"SELECT *, {other} AS other_zones FROM ({zones_at.format(rows='all_q')})",
         "zones_reach": f"SELECT *, {other} AS other_zones FROM ({zones_at.format(rows='reach_q')})",
         "climate_o": """SELECT c.site_id, c.seq, CASE WHEN CAST(o.ts AS DATE) = CAST(c.ts AS DATE) THEN o.temperature_f END AS outdoor_temp_f
             FROM climate c ASOF LEFT JOIN outdoor o ON c.site_id = o.site_id AND c.ts >= o.ts""",
@@ -381,5 +383,23 @@ ORACLE: dict[str, str] = {
           arg_min(CASE WHEN event_type <> 'zone_overshoot' THEN seq END, CASE WHEN event_type <> 'zone_overshoot' THEN ts END) OVER r AS first_seq
         FROM (SELECT site_id, floor, ts, seq, 'zone_time_to_temp' AS event_type FROM tt UNION ALL SELECT site_id, floor, ended_at, -1, 'zone_overshoot' FROM over UNION ALL SELECT site_id, floor, ended_at, -1, 'zone_setpoint_miss' FROM miss)
         WINDOW r AS (PARTITION BY site_id, CAST(ts AS DATE)))"""),
+    "st_ingest": sql("SELECT site_id, seq, ts, entity_id, hvac_mode AS new_state, setpoint FROM climate"),
+    "st_calls": sql("SELECT site_id, entity_id, floor, ended_at, seq, started_at, duration_s FROM (SELECT * FROM calls UNION ALL SELECT * FROM furnace)"),
+    "st_resume": sql("SELECT site_id, entity_id, floor, ended_at, seq, started_at, duration_s FROM calls"),
+    "st_cycles": sql("""SELECT 'thermostat_setpoint_changed' AS event_type, c.site_id, c.floor, c.ts, c.seq, NULL::BIGINT AS duration_s, NULL::DOUBLE AS peak_temp, NULL::VARCHAR AS likely_cause, o.outdoor_temp_f, z.other_zones
+          FROM chg c JOIN climate_o o USING (site_id, seq) JOIN zones_all z USING (site_id, seq) WHERE sp_changed
+        UNION ALL SELECT 'thermostat_current_temp_updated', c.site_id, c.floor, c.ts, c.seq, NULL, NULL, NULL, o.outdoor_temp_f, z.other_zones FROM chg c JOIN climate_o o USING (site_id, seq) JOIN zones_all z USING (site_id, seq) WHERE ct_changed
+        UNION ALL SELECT 'thermostat_mode_changed', c.site_id, c.floor, c.ts, c.seq, NULL, NULL, NULL, o.outdoor_temp_f, z.other_zones FROM chg c JOIN climate_o o USING (site_id, seq) JOIN zones_all z USING (site_id, seq) WHERE md_changed
+        UNION ALL SELECT 'thermostat_setpoint_reached', c.site_id, c.floor, c.ts, c.seq, NULL, NULL, NULL, o.outdoor_temp_f, z.other_zones FROM chg c JOIN climate_o o USING (site_id, seq) JOIN zones_all z USING (site_id, seq) WHERE reached
+        UNION ALL SELECT 'zone_time_to_temp', site_id, floor, ts, seq, duration_s, NULL, NULL, outdoor_temp_f, other_zones FROM tt
+        UNION ALL SELECT 'zone_overshoot', o.site_id, o.floor, o.ended_at, c.end_seq, o.overshoot_s, o.peak_temp, NULL, o.outdoor_temp_f, o.other_zones FROM over o JOIN cycles c ON c.site_id = o.site_id AND c.entity_id = o.entity_id AND c.cycle_ts = o.started_at
+        UNION ALL SELECT 'zone_setpoint_miss', m.site_id, m.floor, m.ended_at, m.end_seq, m.duration_s, m.closest_temp, m.likely_cause, o.outdoor_temp_f, z.other_zones FROM miss m
+          JOIN climate_o o ON o.site_id = m.site_id AND o.seq = m.end_seq JOIN zones_start z ON z.site_id = m.site_id AND z.seq = m.cycle_seq
+        UNION ALL SELECT 'zone_slow_to_heat_warning', s.site_id, s.floor, s.ts, s.seq, s.elapsed_s, NULL, NULL, o.outdoor_temp_f, z.other_zones FROM slow s JOIN climate_o o USING (site_id, seq) JOIN zones_all z USING (site_id, seq)"""),
+    "st_alarms": sql("""SELECT * FROM (SELECT site_id, 'floor_2_long_call' AS kind, floor, ts, started_at AS since FROM long UNION ALL SELECT site_id, 'floor_no_response', floor, ts, call_start_time FROM nr
+        UNION ALL SELECT site_id, 'observer_silence', NULL, ts, last_event_ts FROM silence) WHERE ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ev)"""),
+    "st_daily": sql(f"SELECT site_id, floor, strftime(date, '%Y-%m-%d') AS date, n AS total_calls, CAST(coalesce(s, 0) AS BIGINT) AS total_runtime_s, m AS max_duration_s FROM cdaily WHERE CAST(date + 1 AS TIMESTAMP) <= (SELECT max(ts) - INTERVAL 1 DAY FROM calls)"),
+    "st_gauges": sql("""SELECT site_id, metric, floor, max(ts) AS ts, max_by(value, (ts, seq)) AS value FROM (SELECT site_id, 'floor_temperature_f' AS metric, floor, ts, seq, current_temp AS value FROM climate
+        UNION ALL SELECT site_id, 'floor_setpoint_f', floor, ts, seq, setpoint FROM climate UNION ALL SELECT site_id, 'outdoor_temperature_f', NULL, ts, seq, temperature_f FROM outdoor) GROUP BY site_id, metric, floor"""),
     "backfill": sql("SELECT site_id, entity_id, floor, ended_at, seq, duration_s FROM calls WHERE ended_at >= TIMESTAMP '2024-01-16'"),
 }

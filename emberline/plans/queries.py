@@ -89,7 +89,7 @@ def cohorts(df: DataFrame) -> DataFrame:
 # --- sources and quality ----------------------------------------------------------------------------------------------
 
 
-def _log_lines(rows: DataFrame) -> DataFrame:
+def log_lines(rows: DataFrame) -> DataFrame:
     """Observations as log lines."""
     ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
     data = F.struct("entity_id", "old_state", "new_state", "attributes")
@@ -108,7 +108,7 @@ def read_log(f: Fleet) -> DataFrame:
     """Written as a JSON-lines log, read back with an explicit schema."""
     spark = f.events.sparkSession
     path = scratch_path(spark, "log")
-    _log_lines(f.observations(CLIMATE, OUTDOOR)).write.text(path)
+    log_lines(f.observations(CLIMATE, OUTDOOR)).write.text(path)
     rows = edges.entity_lookup(logs.read_log(spark, path))
     return rows.select(
         "site_id", "seq", "ts", "entity_id", "kind", "floor", "new_state", F.col("attributes.temperature").alias("setpoint"),
@@ -137,7 +137,7 @@ def _lines_with_defects(f: Fleet) -> DataFrame:
     """Log lines of which some carry a defect, chosen by the event's own value."""
     rows = f.observations(CLIMATE).withColumn("d", F.floor("seq") % 10)
     lines = rows.select("site_id", "seq", "d", "ts", "entity_id", "old_state", "new_state", "attributes")
-    plain = _log_lines(lines)
+    plain = log_lines(lines)
     text = plain.columns[0]
     good = lines.select(
         "site_id", "seq", "d",

@@ -29,12 +29,17 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return with_slices(events, _SLICES[known])
 
 
-def observations(events: DataFrame, *kinds: str) -> DataFrame:
-    """Observations of the given kinds (all by default)."""
+def observations(events: DataFrame, *kinds: str, old_state: bool = True) -> DataFrame:
+    """Observations of the given kinds (all by default).
+
+    The table has no previous states; they are looked up unless ``old_state`` is off, as it must be on a stream.
+    """
     parts = {CALL: _calls, FURNACE: _furnace, OUTDOOR: _outdoor, CLIMATE: _climate}
     out = None
     for kind in kinds or parts:
         part = parts[kind](events)
+        if old_state and kind in (CALL, FURNACE):
+            part = _with_old_state(part)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -73,12 +78,12 @@ def _calls(events: DataFrame) -> DataFrame:
     rows = events.filter(F.col("event_type").isin("click", "view", "purchase", "signup"))
     state = F.when(F.col("event_type").isin("click", "view"), "on").otherwise("off")
     entity = F.concat(F.lit("binary_sensor."), _floor(), F.lit("_heating_call"))
-    return _with_old_state(_shape(rows, CALL, entity, state, _floor()))
+    return _shape(rows, CALL, entity, state, _floor())
 
 
 def _furnace(events: DataFrame) -> DataFrame:
     state = F.when(_k() < 50, "on").otherwise("off")
-    return _with_old_state(_shape(events, FURNACE, F.lit("binary_sensor.furnace_heating"), state))
+    return _shape(events, FURNACE, F.lit("binary_sensor.furnace_heating"), state)
 
 
 def _outdoor(events: DataFrame) -> DataFrame:
