@@ -9,6 +9,7 @@ a window over those few rows. Slicing changes how the work is spread, never the
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,6 +78,14 @@ def with_slices(df: DataFrame, slices: DataFrame | None, ts: str = "ts") -> Data
     return df.join(F.broadcast(slices), key, "left").withColumn(SLICE, number).drop("_bounds")
 
 
+def instant() -> Column:
+    """Position on a time line as one number.
+
+    Aggregates ordered by a struct fall back to sorting; a decimal keeps them on hash aggregation.
+    """
+    return F.unix_micros("ts").cast("decimal(18,0)") * F.lit(Decimal(10) ** 19) + F.col("seq").cast("decimal(19,0)")
+
+
 def keep_slice(df: DataFrame) -> list[str]:
     """The slice column for projections, when the frame carries one."""
     return [SLICE] if SLICE in df.columns else []

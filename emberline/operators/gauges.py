@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.functions.timeline import keep_slice, scan
+from emberline.functions.timeline import instant, keep_slice, scan
 from emberline.schema import FLOORS, SNAPSHOT_INTERVAL_S
 
+FLOOR_ENTITY = ("site_id", "entity_id", "floor")
 GAUGE = ("site_id", "metric", "floor")
 SNAPSHOT = (
     *[("floor_temperature_f", f, f"{f}_temp_f") for f in FLOORS],
@@ -50,19 +51,22 @@ def gauge_samples(
 
 
 def latest_gauges(samples: DataFrame) -> DataFrame:
-    last = F.max_by(F.struct("value", "ts"), F.struct("ts", "seq"))
-    return samples.groupBy(*GAUGE).agg(last.alias("_l")).select(*GAUGE, "_l.value", "_l.ts")
+    return (
+        samples.withColumn("_at", instant())
+        .groupBy(*GAUGE)
+        .agg(F.max_by("value", "_at").alias("value"), F.max("ts").alias("ts"))
+    )
 
 
 def current_snapshot(samples: DataFrame, layout: Sequence[tuple[str, str | None, str]] = SNAPSHOT) -> DataFrame:
     """One wide row of current values per site, null where a gauge never reported."""
-    at = F.struct("ts", "seq")
-
     def mine(metric: str, floor: str | None) -> Column:
         return (F.col("metric") == metric) & (F.col("floor").eqNullSafe(F.lit(floor)))
 
-    return samples.groupBy("site_id").agg(
-        *[F.max_by("value", F.when(mine(m, f), at)).alias(name) for m, f, name in layout]
+    return (
+        samples.withColumn("_at", instant())
+        .groupBy("site_id")
+        .agg(*[F.max_by("value", F.when(mine(m, f), F.col("_at"))).alias(name) for m, f, name in layout])
     )
 
 
@@ -81,8 +85,10 @@ def gauge_series(samples: DataFrame, step_s: int) -> DataFrame:
     Samples are reduced to one per tick before the shuffle; a tick is then repeated up to the next one, so neither a
     grid table nor a join is needed and the ordered window holds ticks.
     """
-    ticks = samples.groupBy(*GAUGE, _tick("ts", step_s).alias("tick")).agg(
-        F.max_by("value", F.struct("ts", "seq")).alias("value")
+    ticks = (
+        samples.withColumn("_at", instant())
+        .groupBy(*GAUGE, _tick("ts", step_s).alias("tick"))
+        .agg(F.max_by("value", "_at").alias("value"))
     )
     along = Window.partitionBy(*GAUGE).orderBy("tick")
     until = F.coalesce(F.lead("tick").over(along) - 1, F.col("tick"))
@@ -92,9 +98,12 @@ def gauge_series(samples: DataFrame, step_s: int) -> DataFrame:
 
 
 def runtime_today(calls: DataFrame) -> DataFrame:
-    """Running runtime of a floor since UTC midnight, one sample per ended call of known duration."""
+    """Running runtime of a floor since UTC midnight, one sample per ended call of known duration.
+
+    Keyed by the floor's entity, as the calls are, so that no further shuffle is needed.
+    """
     rows = calls.filter(F.col("duration_s").isNotNull()).withColumn("date", F.to_date("ts"))
-    return scan(rows, ["site_id", "floor", "date"], running={"runtime_today_s": F.col("duration_s")})
+    return scan(rows, [*FLOOR_ENTITY, "date"], running={"runtime_today_s": F.col("duration_s")})
 
 
 def anomaly_counter(anomalies: DataFrame) -> DataFrame:
@@ -103,7 +112,7 @@ def anomaly_counter(anomalies: DataFrame) -> DataFrame:
     return anomalies.withColumn("anomalies_total", F.count(F.lit(1)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def hourly_increase(counter: DataFrame, value: str, keys: Sequence[str] = ("site_id", "floor")) -> DataFrame:
+def hourly_increase(counter: DataFrame, value: str, keys: Sequence[str] = FLOOR_ENTITY) -> DataFrame:
     """Growth of a resetting counter per hour; a fall is a reset, after which the whole value is growth."""
     rows = scan(counter, keys, previous={"_before": F.col(value)})
     grown = F.when(F.col("_before").isNull() | (F.col(value) < F.col("_before")), F.col(value)).otherwise(

@@ -666,7 +666,7 @@ def anomaly_counter(f: Fleet) -> DataFrame:
 @query()
 def hourly_increase(f: Fleet) -> DataFrame:
     """G5"""
-    return gauges.hourly_increase(gauges.runtime_today(f.calls), "runtime_today_s")
+    return gauges.hourly_increase(gauges.runtime_today(f.calls), "runtime_today_s").drop("entity_id")
 
 
 @query()
