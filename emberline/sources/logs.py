@@ -40,6 +40,13 @@ STATE_CHANGE_DATA = T.StructType(
     ]
 )
 
+CHECKED = T.StructType(
+    [
+        *[T.StructField(n, T.StringType()) for n in ("schema", "source", "ts")],
+        T.StructField("data", STATE_CHANGE_DATA),
+    ]
+)
+
 _STATE = T.StructType([T.StructField("state", T.StringType()), T.StructField("attributes", ATTRIBUTES)])
 MESSAGE = T.StructType(
     [
@@ -120,63 +127,48 @@ def validate_observations(
     source: str = SOURCE,
 ) -> DataFrame:
     """Add ``errors`` (violation codes, empty when valid) and ``unknown_entity`` (a warning only) to log lines."""
-    paths = [*TOP_LEVEL, *[f"data.{f}" for f in DATA_FIELDS]]
-    numbers = ["data.attributes.temperature", "data.attributes.current_temperature"]
-    parsed = lines.filter(F.col("value") != "").withColumn("_v", F.try_parse_json(F.col("value")))
-    # every node is taken from the document once: its type (null when the key is absent) and its text
-    rows = parsed.select(
+    # three typed parses per line: the keys of both levels tell absent from null, and a number typed field is null for
+    # a value that is not a JSON number
+    rows = lines.filter(F.col("value") != "").select(
         *lines.columns,
-        F.schema_of_variant("_v").alias("_root"),
-        *[F.schema_of_variant(F.try_variant_get("_v", f"$.{p}", "variant")).alias(f"_k_{p}") for p in paths + numbers],
-        *[F.try_variant_get("_v", f"$.{p}", "string").alias(f"_t_{p}") for p in paths if p != "data"],
+        F.json_object_keys("value").alias("_keys"),
+        F.json_object_keys(F.get_json_object("value", "$.data")).alias("_data_keys"),
+        F.from_json("value", CHECKED).alias("_v"),
     )
 
-    def kind(path: str) -> Column:
-        return F.col(f"`_k_{path}`")
-
-    def text(path: str) -> Column:
-        return F.when(kind(path) == "STRING", F.col(f"`_t_{path}`"))
-
-    def absent(path: str) -> Column:
-        return kind(path).isNull()
-
-    def any_absent(paths: Sequence[str]) -> Column:
-        out = F.lit(False)
-        for p in paths:
-            out = out | absent(p)
-        return out
+    def any_absent(keys: str, wanted: Sequence[str]) -> Column:
+        return F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), F.col(keys))) > 0
 
     def number(path: str) -> Column:
-        return F.coalesce(kind(path).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
+        return F.col(f"_v.data.attributes.{path}").isNotNull()
 
     def named(wanted: str) -> list[str]:
         return [e for e, (k, _) in entities.items() if k == wanted]
 
-    entity, state = text("data.entity_id"), text("data.new_state")
-    is_object = F.col("_root").startswith("OBJECT")
-    has_data = F.coalesce(kind("data").startswith("OBJECT"), F.lit(False))
+    entity, state = F.col("_v.data.entity_id"), F.col("_v.data.new_state")
+    has_data = F.col("_data_keys").isNotNull()
     binary, outdoor = entity.startswith("binary_sensor."), entity.isin(*named(OUTDOOR))
     climate = entity.isin(*named(CLIMATE)) & state.isNotNull()
     numeric = state.isin(*OUTDOOR_EXEMPT) | F.trim(state).try_cast("double").isNotNull()
     checks = [
-        ("missing_top_level", any_absent(TOP_LEVEL)),
-        ("bad_schema", ~F.coalesce(event_name(text("schema")) == event, F.lit(False))),
-        ("bad_source", ~text("source").eqNullSafe(F.lit(source))),
-        ("bad_ts", F.coalesce(text("ts"), F.lit("")) == ""),
+        ("missing_top_level", any_absent("_keys", TOP_LEVEL)),
+        ("bad_schema", ~F.coalesce(event_name(F.col("_v.schema")) == event, F.lit(False))),
+        ("bad_source", ~F.col("_v.source").eqNullSafe(F.lit(source))),
+        ("bad_ts", F.coalesce("_v.ts", F.lit("")) == ""),
         ("data_not_object", ~has_data),
-        ("missing_data_fields", has_data & any_absent([f"data.{f}" for f in DATA_FIELDS])),
-        ("empty_new_state", has_data & F.coalesce(kind("data.new_state") == "VOID", F.lit(True)) | (state == "")),
+        ("missing_data_fields", has_data & any_absent("_data_keys", DATA_FIELDS)),
+        ("empty_new_state", has_data & (F.coalesce(state, F.lit("")) == "")),
         ("bad_binary_state", has_data & binary & ~state.isin(*BINARY_STATES)),
         ("bad_outdoor_state", has_data & outdoor & ~numeric),
         ("bad_climate_mode", has_data & climate & ~state.isin(*CLIMATE_MODES)),
-        ("climate_temperature_not_numeric", has_data & climate & ~number("data.attributes.temperature")),
-        ("climate_current_temperature_not_numeric", has_data & climate & ~number("data.attributes.current_temperature")),
+        ("climate_temperature_not_numeric", has_data & climate & ~number("temperature")),
+        ("climate_current_temperature_not_numeric", has_data & climate & ~number("current_temperature")),
     ]
     found = F.array_compact(F.array(*[F.when(test, F.lit(code)) for code, test in checks]))
     errors = (
-        F.when(F.col("_root").isNull(), F.array(F.lit("invalid_json")))
-        .when(~is_object, F.array(F.lit("not_an_object")))
-        .otherwise(found)
+        F.when(F.col("_keys").isNotNull(), found)
+        .when(F.try_parse_json(F.col("value")).isNull(), F.array(F.lit("invalid_json")))
+        .otherwise(F.array(F.lit("not_an_object")))
     )
     known = F.coalesce(entity.isin(*entities), F.lit(False))
     return rows.select(*lines.columns, errors.alias("errors"), (has_data & ~known).alias("unknown_entity"))

@@ -14,6 +14,12 @@ from emberline.functions.timeline import SLICE
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _plain(column: pd.Series) -> list:
+    """Values of a column with missing ones as ``None``."""
+    values = column.tolist()
+    return [None if v is None or v != v else v for v in values] if column.dtype.kind in "fO" else values
+
+
 class OrderedProcessor(StatefulProcessor):
     """Hands the rows of a key to ``step`` sorted by ``(us, seq)`` and emits what it returns.
 
@@ -26,6 +32,9 @@ class OrderedProcessor(StatefulProcessor):
     #: columns of the emitted rows with their types
     output: tuple[tuple[str, str], ...] = ()
 
+    #: whether the processor registers timers
+    timers = False
+
     def __init__(self, buffered: bool = False):
         self.buffered = buffered
 
@@ -48,11 +57,7 @@ class OrderedProcessor(StatefulProcessor):
         return ()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = [
-            tuple(None if v is None or v != v else v for v in row)
-            for frame in rows
-            for row in frame[self.columns].astype(object).itertuples(index=False, name=None)
-        ]
+        fresh = [row for frame in rows for row in zip(*[_plain(frame[c]) for c in self.columns])]
         if self.buffered:
             fresh = self._release([*self.pending.get(), *fresh], timerValues.getCurrentWatermarkInMs() * 1000)
         yield from self._emit(key, self.step(key, sorted(fresh, key=lambda r: (r[0], r[1]))))
@@ -82,22 +87,24 @@ class OrderedProcessor(StatefulProcessor):
     def _emit(self, key, rows: Iterable[tuple]) -> Iterator[pd.DataFrame]:
         rows = list(rows)
         if rows:
-            frame = pd.DataFrame([(*key, *r) for r in rows], columns=[*self.keys, *[n for n, _ in self.output]], dtype=object)
-            for name, kind in self.output:
-                if kind in ("bigint", "double"):
-                    frame[name] = frame[name].astype("Int64" if kind == "bigint" else "Float64")
-            yield frame
+            columns = {k: [v] * len(rows) for k, v in zip(self.keys, key)}
+            for (name, kind), values in zip(self.output, zip(*rows)):
+                columns[name] = pd.array(values, dtype="Int64") if kind == "bigint" and None in values else list(values)
+            yield pd.DataFrame(columns)
 
 
-def process(
-    rows: DataFrame, keys: list[str], processor: OrderedProcessor, delay: str = "1 hour", time_mode: str = "eventTime"
-) -> DataFrame:
-    """Run a processor over a stream of observations; times in the output are microseconds."""
+def process(rows: DataFrame, keys: list[str], processor: OrderedProcessor, delay: str = "1 hour") -> DataFrame:
+    """Run a processor over a stream of observations; times in the output are microseconds.
+
+    The watermark (late rows are dropped, timers fire) is set up only for processors that wait for it.
+    """
     types = dict(rows.dtypes)
+    timed = processor.buffered or processor.timers
     processor.keys = keys
     spec = ", ".join([*[f"{k} {types[k]}" for k in keys], *[f"{n} {t}" for n, t in processor.output]])
-    shaped = rows.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
-    return shaped.groupBy(*keys).transformWithStateInPandas(processor, spec, "append", time_mode)
+    shaped = (rows.withWatermark("ts", delay) if timed else rows).withColumn("us", F.unix_micros("ts"))
+    mode = "eventTime" if timed else "none"
+    return shaped.groupBy(*keys).transformWithStateInPandas(processor, spec, "append", mode)
 
 
 def use_state_store(spark: SparkSession) -> None:

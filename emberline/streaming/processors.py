@@ -194,6 +194,7 @@ class AlarmProcessor(SiteProcessor):
     the due time and its timer expires; replay and live runs therefore agree.
     """
 
+    timers = True
     output = (("kind", "string"), ("floor", "string"), ("us", "bigint"), ("since", "bigint"))
 
     def __init__(
