@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.scalars import by_floor, confidence, day_period, iso_week, seconds_between, severity
+from emberline.functions.skew import salted_join
 from emberline.schema import LONG_SESSION_DEFAULT_S, LONG_SESSION_S, SHORT_SESSION_S
 
 
@@ -53,7 +54,8 @@ def session_duration_anomaly(
     keyed = sessions.filter(F.col("duration_s").isNotNull()).withColumn(
         "key", F.coalesce("floor", "entity_id", F.lit("unknown"))
     )
-    rows = keyed.join(baseline.select(*on, F.col("p95").alias("baseline_p95_s")), list(on), "left")
+    limits = baseline.select(*on, F.col("p95").alias("baseline_p95_s"))
+    rows = salted_join(keyed, limits, on, ["site_id", "seq"], "left")
     least = by_floor(fallback_s, default_s).cast("double")
     limit = F.greatest(F.col("baseline_p95_s") * 1.5, least)
     rows = rows.withColumns({"_short": F.col("duration_s") < short_s, "_limit": limit})
@@ -155,7 +157,7 @@ def split_by_position(
         .filter((F.col("_total") >= min_sessions) & (F.col("_through") >= F.col("_cut")) & (F.col("_through") - F.col("_n") < F.col("_cut")))
         .select(*group, F.col("_hour").alias("_border"), (F.col("_cut") - F.col("_through") + F.col("_n")).alias("_keep"))
     )
-    rows = sessions.join(border, group).withColumn("_hour", hour)
+    rows = salted_join(sessions, border, group, ["ts", "seq"]).withColumn("_hour", hour)
     clear = rows.filter(F.col("_hour") != F.col("_border")).withColumn("part", F.when(F.col("_hour") < F.col("_border"), "baseline").otherwise("window"))
     in_hour = Window.partitionBy(*group).orderBy("ts", "seq")
     tied = rows.filter(F.col("_hour") == F.col("_border")).withColumn("_i", F.row_number().over(in_hour))

@@ -272,7 +272,7 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT site_id, event_id * 4, ts, 'sensor.outdoor_temperature', 'outdoor', NULL, CASE WHEN k % 17 = 0 THEN 'unavailable' ELSE CAST(value AS VARCHAR) END, NULL, NULL, NULL FROM ev WHERE event_type = 'view'"""),
     "flatten_state_changes": sql("""SELECT site_id, seq, ts, entity_id, old_state, new_state, setpoint FROM (
         SELECT site_id, seq, ts, entity_id, old_state, new_state, NULL::DOUBLE AS setpoint FROM call_obs
-        UNION ALL SELECT site_id, seq, ts, entity_id, NULL, hvac_mode, setpoint FROM climate) WHERE seq % 7 <> 0 AND seq % 5 <> 0"""),
+        UNION ALL SELECT site_id, seq, ts, entity_id, NULL, hvac_mode, setpoint FROM climate) WHERE NOT (entity_id LIKE 'climate%' AND new_state = 'off') AND NOT (entity_id LIKE 'binary%' AND old_state IS NULL)"""),
     "validate_observations": sql(LINES),
     "validation_summary": sql(f"""SELECT measure, count(*) AS n FROM (SELECT unnest(list_filter(string_split(errors, ','), lambda e: e <> '')
         || ['total', CASE WHEN errors = '' THEN 'valid' ELSE 'invalid' END] || CASE WHEN unknown_entity THEN ['unknown_entity'] ELSE [] END) AS measure FROM ({LINES})) GROUP BY measure"""),
@@ -313,7 +313,7 @@ ORACLE: dict[str, str] = {
     "other_zones_calling": sql("SELECT site_id, floor, ts, seq, other_zones FROM zones_start"),
     "floor_daily_summary": sql(f"SELECT * REPLACE ({D}) FROM floor_days"),
     "furnace_daily_summary": sql(f"SELECT * REPLACE ({D}) FROM fdays_w", **AS),
-    "day_summary": sql(f"SELECT {ALL_FDAYS}, {D}, " + each("CASE WHEN date <= DATE '2024-01-15' THEN setpoint_{f}_f END AS setpoint_{f}_f") + ", CASE WHEN date <= DATE '2024-01-15' THEN 'stored' ELSE 'recomputed' END AS source FROM fdays", **AS),
+    "day_summary": sql(f"SELECT {ALL_FDAYS}, {D}, " + ", ".join(f"warn_{k}" for k in WARNINGS) + ", " + each("CASE WHEN date <= DATE '2024-01-15' THEN setpoint_{f}_f END AS setpoint_{f}_f") + ", CASE WHEN date <= DATE '2024-01-15' THEN 'stored' ELSE 'recomputed' END AS source FROM fdays_w", **AS),
     "monthly_summary": sql("SELECT site_id, strftime(date_trunc('month', date), '%Y-%m') AS month, day(last_day(date_trunc('month', date))) AS days_in_month, count(*) AS day_count, "
         + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in MONTH_SUMS)
         + ", round(avg(outdoor_temp_avg_f), 1) AS outdoor_avg_f, round(min(outdoor_temp_min_f), 1) AS outdoor_min_f, round(max(outdoor_temp_max_f), 1) AS outdoor_max_f FROM fdays_w GROUP BY site_id, date_trunc('month', date)", **AS),

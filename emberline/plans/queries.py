@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions.scalars import confidence, severity
+from emberline.functions.skew import salted_join
 from emberline.functions.timeline import scan
 from emberline.operators import alarms, asof, comparisons, edges, gauges, rollups, rules, thermostat
 from emberline.plans import context
@@ -121,8 +122,8 @@ def flatten_state_changes(f: Fleet) -> DataFrame:
     """Raw change messages flattened; messages of other types and without entity are dropped."""
     state = lambda s, a: F.struct(F.col(s).alias("state"), a.alias("attributes"))
     none = F.lit(None).cast("struct<temperature:double,current_temperature:double,hvac_action:string>")
-    kind = F.when(F.col("seq") % 7 == 0, "result").otherwise("event")
-    entity = F.when(F.col("seq") % 5 != 0, F.col("entity_id"))
+    kind = F.when((F.col("kind") == CLIMATE) & (F.col("new_state") == "off"), "result").otherwise("event")
+    entity = F.when(~((F.col("kind") == CALL) & F.col("old_state").isNull()), F.col("entity_id"))
     data = F.struct(
         entity.alias("entity_id"), state("old_state", none).alias("old_state"), state("new_state", F.col("attributes")).alias("new_state")
     )
@@ -137,8 +138,7 @@ def _lines_with_defects(f: Fleet) -> DataFrame:
     """Log lines of which some carry a defect, chosen by the event's own value."""
     rows = f.observations(CLIMATE).withColumn("d", F.floor("seq") % 10)
     lines = rows.select("site_id", "seq", "d", "ts", "entity_id", "old_state", "new_state", "attributes")
-    plain = log_lines(lines)
-    text = plain.columns[0]
+    text = "value"
     good = lines.select(
         "site_id", "seq", "d",
         F.to_json(
@@ -155,9 +155,10 @@ def _lines_with_defects(f: Fleet) -> DataFrame:
             )
         ).alias(text),
     )
-    # lines of defect 9 with an even site are cut short
+    # lines of defect 9 with an even site are no JSON
     broken = (F.col("d") == 9) & (F.col("site_id") % 2 == 0)
-    return good.withColumn(text, F.when(broken, F.expr(f"left({text}, 40)")).otherwise(F.col(text))).drop("d")
+    bad = F.replace(text, F.lit('"ts":'), F.lit('"ts"'))
+    return good.withColumn(text, F.when(broken, bad).otherwise(F.col(text))).drop("d")
 
 
 @query()
@@ -223,7 +224,7 @@ def anomaly_confidence(f: Fleet) -> DataFrame:
     """Confidence and severity of each event value against its site's mean."""
     stats = f.events.groupBy("site_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
     z = F.try_divide(F.abs(F.col("value") - F.col("m")), F.nullif("s", F.lit(0.0)))
-    scored = f.events.join(stats, "site_id").withColumn("z", F.round(z, 6))
+    scored = salted_join(f.events, stats, ["site_id"], ["event_id"]).withColumn("z", F.round(z, 6))
     scored = scored.withColumn("confidence", F.round(confidence(F.col("z")), 6))
     return scored.select("site_id", "event_id", "z", "confidence", severity(F.col("confidence")).alias("severity"))
 
@@ -389,10 +390,10 @@ def furnace_daily_summary(f: Fleet) -> DataFrame:
 @query(until=AS_OF)
 def day_summary(f: Fleet) -> DataFrame:
     """A3: stored summaries up to a day, later days recomputed from their events (which carry no setpoints)."""
-    days = lambda rows, keep: rows.filter(keep)
-    stored = days(f.furnace_days, F.col("date") <= day(STORED_THROUGH))
-    raw = rollups.furnace_daily_summary(f.furnace, f.calls, f.outdoor, f.days)
-    return rollups.day_summary(stored, raw)
+    spark = f.events.sparkSession
+    path = scratch_path(spark, "days")
+    _furnace_days_with_warnings(f).filter(F.col("date") <= day(STORED_THROUGH)).write.parquet(path)
+    return rollups.day_summary(spark.read.parquet(path), _furnace_days_with_warnings(f, setpoints=False))
 
 
 @query(until=AS_OF)

@@ -75,8 +75,8 @@ def st_alarms(spark: SparkSession, path: str, work: str) -> DataFrame:
         floors=SCALE["floors"],
     )
     out = _collect(spark, rows, work, "us", "since")
-    newest = spark.read.schema(EVENTS_SCHEMA).parquet(path).agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("newest"))
-    return out.join(F.broadcast(newest), F.col("ts") <= F.col("newest")).drop("newest")
+    newest = spark.read.schema(EVENTS_SCHEMA).parquet(path).agg(F.max(F.unix_micros("ts"))).first()[0]
+    return out.filter(F.unix_micros("ts") <= newest - 3_600_000_000)
 
 
 @stream_query

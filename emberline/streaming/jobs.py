@@ -84,11 +84,16 @@ def live_samples(rows: DataFrame) -> DataFrame:
     return rows.select("site_id", "floor", "ts", "seq", F.inline(gauges)).filter(F.col("value").isNotNull())
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    newest = F.max(F.struct("ts", "seq", "value")).alias("_n")
+    return rows.groupBy("site_id", "metric", "floor").agg(newest).select("site_id", "metric", "floor", "_n.*")
+
+
 def upsert_gauges(samples: DataFrame, table: str, checkpoint: str) -> None:
-    """Keep the latest value per gauge in a versioned parquet table, one version per micro-batch.
+    """Keep the latest value per gauge in a parquet table with two alternating slots.
 
-    A batch merges the previous version with its own samples into ``v=<batch>``. Re-running a batch after a failure
-    overwrites the same version from the same input, so the result is exact. The table holds gauges, not events.
+    A batch merges the slot of the batch before with its own samples and overwrites the other slot. A batch run again
+    after a failure finds its input slot untouched, so the result is exact. The table holds gauges, not events.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -96,17 +101,13 @@ def upsert_gauges(samples: DataFrame, table: str, checkpoint: str) -> None:
         columns = ["site_id", "metric", "floor", "ts", "seq", "value"]
         rows = batch.select(*columns)
         if batch_id > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{table}/v={batch_id - 1}").select(*columns))
-        newest = F.max(F.struct("ts", "seq", "value")).alias("_n")
-        merged = rows.groupBy("site_id", "metric", "floor").agg(newest).select("site_id", "metric", "floor", "_n.*")
-        merged.write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+            rows = rows.unionByName(spark.read.parquet(f"{table}/slot={(batch_id - 1) % 2}").select(*columns))
+        _newest(rows).write.mode("overwrite").parquet(f"{table}/slot={batch_id % 2}")
 
     query = samples.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
 def read_gauges(spark: SparkSession, table: str) -> DataFrame:
-    """The newest version of the gauge table."""
-    versions = spark.read.parquet(table).withColumnRenamed("v", "_v")
-    newest = versions.agg(F.max("_v")).first()[0]
-    return versions.filter(F.col("_v") == newest).drop("_v")
+    """The latest value of every gauge; the older slot can only hold older values."""
+    return _newest(spark.read.parquet(table).drop("slot"))
