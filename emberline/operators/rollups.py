@@ -154,7 +154,7 @@ def monthly_summary(furnace_days: DataFrame, floors: Sequence[str] = FLOORS, kin
         .agg(
             F.count(F.lit(1)).alias("day_count"),
             *[F.sum(c).alias(c) for c in sums],
-            F.round(F.avg("outdoor_temp_avg_f"), 1).alias("outdoor_avg_f"),
+            F.round(mean(F.col("outdoor_temp_avg_f")), 1).alias("outdoor_avg_f"),
             F.round(F.min("outdoor_temp_min_f"), 1).alias("outdoor_min_f"),
             F.round(F.max("outdoor_temp_max_f"), 1).alias("outdoor_max_f"),
         )

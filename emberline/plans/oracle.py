@@ -316,7 +316,7 @@ ORACLE: dict[str, str] = {
     "day_summary": sql(f"SELECT {ALL_FDAYS}, {D}, " + ", ".join(f"warn_{k}" for k in WARNINGS) + ", " + each("CASE WHEN date <= DATE '2024-01-15' THEN setpoint_{f}_f END AS setpoint_{f}_f") + ", CASE WHEN date <= DATE '2024-01-15' THEN 'stored' ELSE 'recomputed' END AS source FROM fdays_w", **AS),
     "monthly_summary": sql("SELECT site_id, strftime(date_trunc('month', date), '%Y-%m') AS month, day(last_day(date_trunc('month', date))) AS days_in_month, count(*) AS day_count, "
         + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in MONTH_SUMS)
-        + ", round(avg(outdoor_temp_avg_f), 1) AS outdoor_avg_f, round(min(outdoor_temp_min_f), 1) AS outdoor_min_f, round(max(outdoor_temp_max_f), 1) AS outdoor_max_f FROM fdays_w GROUP BY site_id, date_trunc('month', date)", **AS),
+        + ", round(sum(CAST(round(outdoor_temp_avg_f * 1000000) AS BIGINT)) / count(outdoor_temp_avg_f) / 1000000, 1) AS outdoor_avg_f, round(min(outdoor_temp_min_f), 1) AS outdoor_min_f, round(max(outdoor_temp_max_f), 1) AS outdoor_max_f FROM fdays_w GROUP BY site_id, date_trunc('month', date)", **AS),
     "weekly_comparison": sql("SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in WEEKLY_COLS) + f"), {GROWTH}, last_days < 7 AS partial, this_floor_2_daily_s > last_floor_2_daily_s AS floor_2_up FROM (SELECT site_id, {_week('this', 'r <= 7')}, {_week('last', 'r > 7')} FROM (SELECT *, dense_rank() OVER (PARTITION BY site_id ORDER BY date DESC) AS r FROM fdays) WHERE r <= 14 GROUP BY site_id HAVING max(r) >= 7)"),
     "runtime_trend": sql("SELECT s.site_id, strftime(s.date, '%Y-%m-%d') AS date, " + each("max(total_runtime_s) FILTER (WHERE floor = '{f}') AS {f}_s") + """, max(outdoor_temp_avg_f) AS outdoor_temp_f
         FROM (SELECT site_id, CAST(unnest(generate_series(TIMESTAMP '2024-01-16', max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM floor_days WHERE date BETWEEN DATE '2024-01-16' AND DATE '2024-01-29' GROUP BY site_id) s
