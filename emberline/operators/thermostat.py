@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from emberline.functions.scalars import by_floor, seconds_between
 from emberline.functions.timeline import keep_slice, moment, scan
 from emberline.operators.asof import zone_names
-from emberline.schema import CLIMATE, SLOW_TO_HEAT_S
+from emberline.schema import (
+    CLIMATE,
+    MODE_CHANGED,
+    SETPOINT_CHANGED,
+    SETPOINT_REACHED,
+    SLOW_TO_HEAT_S,
+    TEMP_UPDATED,
+)
 
 ENTITY = ("site_id", "entity_id")
 CONTEXT = ("outdoor_temp_f", "zones")
@@ -59,6 +66,19 @@ def changes(climate: DataFrame) -> DataFrame:
     )
 
 
+def change_events(changed: DataFrame) -> DataFrame:
+    """Readings as change events, one row per kind of change, all kinds in one pass."""
+    flags = {
+        SETPOINT_CHANGED: "setpoint_changed",
+        TEMP_UPDATED: "temp_changed",
+        MODE_CHANGED: "mode_changed",
+        SETPOINT_REACHED: "reached",
+    }
+    events = F.array_compact(F.array(*[F.when(F.col(flag), F.lit(name)) for name, flag in flags.items()]))
+    fields = ("site_id", "floor", "ts", "seq", "setpoint", "current_temp", "hvac_mode", "hvac_action")
+    return changed.select(*fields, F.explode(events).alias("event_type"))
+
+
 def heating_rows(climate: DataFrame) -> DataFrame:
     """Readings that belong to a heating cycle, tagged with its start. The closing reading belongs to the cycle."""
     rows = changes(climate)

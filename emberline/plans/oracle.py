@@ -276,9 +276,28 @@ ORACLE: dict[str, str] = {
     "validate_observations": sql(LINES),
     "validation_summary": sql(f"""SELECT measure, count(*) AS n FROM (SELECT unnest(list_filter(string_split(errors, ','), lambda e: e <> '')
         || ['total', CASE WHEN errors = '' THEN 'valid' ELSE 'invalid' END] || CASE WHEN unknown_entity THEN ['unknown_entity'] ELSE [] END) AS measure FROM ({LINES})) GROUP BY measure"""),
-    "derived_union": sql("""SELECT 'floor_call_ended' AS event_type, site_id, floor, ts, duration_s, NULL::DOUBLE AS temperature_f FROM calls
-        UNION ALL SELECT 'heating_session_ended', site_id, NULL, ts, duration_s, NULL FROM furnace
-        UNION ALL SELECT 'outdoor_temp_updated', site_id, NULL, ts, NULL, temperature_f FROM outdoor"""),
+    "derived_union": sql("""SELECT event_type, site_id, floor, ts, duration_s, temperature_f, setpoint, outdoor_temp_f FROM (
+        SELECT 'floor_call_started' AS event_type, site_id, floor, ts, NULL::BIGINT AS duration_s, NULL::DOUBLE AS temperature_f, NULL::DOUBLE AS setpoint, NULL::DOUBLE AS outdoor_temp_f FROM call_edges WHERE edge = 'started'
+        UNION ALL SELECT 'floor_call_ended', site_id, floor, ts, duration_s, NULL, NULL, NULL FROM calls
+        UNION ALL SELECT 'heating_session_started', site_id, NULL, ts, NULL, NULL, NULL, NULL FROM furnace_edges WHERE edge = 'started'
+        UNION ALL SELECT 'heating_session_ended', site_id, NULL, ts, duration_s, NULL, NULL, outdoor_temp_f FROM furnace_o
+        UNION ALL SELECT 'outdoor_temp_updated', site_id, NULL, ts, NULL, temperature_f, NULL, NULL FROM outdoor
+        UNION ALL SELECT 'zone_time_to_temp', site_id, floor, ts, duration_s, NULL, setpoint, outdoor_temp_f FROM tt
+        UNION ALL SELECT 'zone_overshoot', site_id, floor, ended_at, overshoot_s, NULL, setpoint, outdoor_temp_f FROM over
+        UNION ALL SELECT 'zone_setpoint_miss', m.site_id, m.floor, m.ended_at, m.duration_s, NULL, m.setpoint, o.outdoor_temp_f FROM miss m JOIN climate_o o ON o.site_id = m.site_id AND o.seq = m.end_seq
+        UNION ALL SELECT 'zone_slow_to_heat_warning', s.site_id, s.floor, s.ts, s.elapsed_s, NULL, s.setpoint, o.outdoor_temp_f FROM slow s JOIN climate_o o USING (site_id, seq)
+        UNION ALL SELECT 'floor_2_long_call_warning', site_id, floor, ts, NULL, NULL, setpoint, NULL FROM long
+        UNION ALL SELECT 'floor_2_long_call_escalation', site_id, floor, ts, NULL, NULL, setpoint, NULL FROM esc
+        UNION ALL SELECT 'floor_no_response_warning', site_id, floor, ts, NULL, NULL, NULL, NULL FROM nr
+        UNION ALL SELECT 'observer_silence_warning', site_id, NULL, ts, gap_s, NULL, NULL, NULL FROM silence
+        UNION ALL SELECT 'furnace_short_call_warning', site_id, NULL, ts, duration_s, NULL, NULL, NULL FROM short
+        UNION ALL SELECT 'floor_daily_summary', site_id, floor, CAST(date + 1 AS TIMESTAMP), total_runtime_s, NULL, NULL, NULL FROM floor_days
+        UNION ALL SELECT 'furnace_daily_summary', site_id, NULL, CAST(date + 1 AS TIMESTAMP), total_furnace_runtime_s, NULL, NULL, NULL FROM fdays
+        UNION ALL SELECT 'floor_runtime_anomaly', site_id, floor, CAST(date + 1 AS TIMESTAMP), runtime_s, NULL, NULL, NULL FROM anom
+        UNION ALL SELECT 'thermostat_setpoint_changed', site_id, floor, ts, NULL, NULL, setpoint, NULL FROM chg WHERE sp_changed
+        UNION ALL SELECT 'thermostat_current_temp_updated', site_id, floor, ts, NULL, NULL, setpoint, NULL FROM chg WHERE ct_changed
+        UNION ALL SELECT 'thermostat_mode_changed', site_id, floor, ts, NULL, NULL, setpoint, NULL FROM chg WHERE md_changed
+        UNION ALL SELECT 'thermostat_setpoint_reached', site_id, floor, ts, NULL, NULL, setpoint, NULL FROM chg WHERE reached)""", **AS),
     "session_export": sql("SELECT site_id, date_trunc('millisecond', ended_at - to_seconds(duration_s)) AS started_at, date_trunc('millisecond', ended_at) AS ended_at, duration_s, outdoor_temp_f, entity_id FROM furnace_o WHERE duration_s IS NOT NULL"),
     "entity_lookup": sql("""SELECT entity_id, 'climate' AS kind, floor, count(*) AS n, count(DISTINCT site_id) AS sites FROM climate GROUP BY ALL
         UNION ALL SELECT entity_id, 'furnace', NULL, count(*), count(DISTINCT site_id) FROM furnace_obs GROUP BY ALL

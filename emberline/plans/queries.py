@@ -26,7 +26,6 @@ from emberline.schema import (
     FURNACE_DAILY,
     LONG_CALL,
     OUTDOOR,
-    OUTDOOR_UPDATED,
     OVERSHOOT,
     SESSION_ENDED,
     SETPOINT_MISS,
@@ -173,21 +172,11 @@ def validation_summary(f: Fleet) -> DataFrame:
     return logs.validation_summary(logs.validate_observations(_lines_with_defects(f)))
 
 
-@query()
+@query(until=AS_OF)
 def derived_union(f: Fleet) -> DataFrame:
-    """Typed event tables as one log."""
-    return _derived_log(f).select("event_type", "site_id", "floor", "ts", "duration_s", "temperature_f")
-
-
-def _derived_log(f: Fleet) -> DataFrame:
-    cols = ("site_id", "floor", "ts", "seq")
-    return sinks.derived_union(
-        {
-            FLOOR_CALL_ENDED: f.calls.select(*cols, "duration_s"),
-            SESSION_ENDED: f.furnace.select(*cols, "duration_s"),
-            OUTDOOR_UPDATED: f.outdoor.select("site_id", "ts", "seq", "temperature_f"),
-        }
-    )
+    """Every derived event as one log."""
+    log = f.derived_log(at(AS_OF), SCALE)
+    return log.select("event_type", "site_id", "floor", "ts", "duration_s", "temperature_f", "setpoint", "outdoor_temp_f")
 
 
 @query()
