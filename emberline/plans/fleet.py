@@ -154,7 +154,7 @@ class Fleet:
 
 
 def present(df: DataFrame) -> DataFrame:
-    """Output layout: dates as ``YYYY-MM-DD`` text, timestamps without zone, arrays as comma-joined text."""
+    """Output layout: dates as ``YYYY-MM-DD`` text, timestamps without zone, integers as bigint, arrays as comma-joined text."""
     out = []
     for f in df.schema.fields:
         kind = f.dataType.typeName()
@@ -165,6 +165,8 @@ def present(df: DataFrame) -> DataFrame:
             c = F.date_format(c, "yyyy-MM-dd")
         elif kind == "timestamp":
             c = c.cast("timestamp_ntz")
+        elif kind == "integer":
+            c = c.cast("bigint")
         elif kind == "array":
             c = F.array_join(c.cast("array<string>"), ",")
         out.append(c.alias(f.name))

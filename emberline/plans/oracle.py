@@ -148,7 +148,7 @@ def cte(until: str | None = None) -> dict[str, str]:
         "intervals": """SELECT * FROM (SELECT *, lead(ts) OVER w AS until, lead(seq) OVER w AS until_seq FROM call_edges
             WINDOW w AS (PARTITION BY site_id, entity_id ORDER BY ts, seq)) WHERE edge = 'started'""",
         "long0": f"SELECT *, ts + INTERVAL 1 DAY AS warn_at FROM intervals WHERE {secs('ts', f'least(coalesce(until, {AS_OF}), {AS_OF})')} >= 86400",
-        "long": """SELECT l.site_id, l.entity_id, l.floor, l.warn_at AS ts, l.seq, l.ts AS started_at, 86400 AS threshold_s, c.current_temp, c.setpoint
+        "long": """SELECT l.site_id, l.entity_id, l.floor, l.warn_at AS ts, l.seq, l.ts AS started_at, 86400::BIGINT AS threshold_s, c.current_temp, c.setpoint
             FROM long0 l ASOF LEFT JOIN climate c ON c.site_id = l.site_id AND c.floor = l.floor AND l.warn_at >= c.ts""",
         "esc": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id, CAST(ts AS DATE) ORDER BY ts, seq) AS long_call_count_today FROM long) WHERE long_call_count_today >= 2",
         "silence": f"""SELECT site_id, ts AS last_event_ts, event_id * 4 + 1 AS seq, nxt AS next_event_ts, {secs('ts', f'coalesce(nxt, {AS_OF})')} AS gap_s, ts + INTERVAL 1 DAY AS ts
@@ -159,14 +159,14 @@ def cte(until: str | None = None) -> dict[str, str]:
             FROM (SELECT n.*, (SELECT max_by(c.current_temp, c.ts) FROM climate c WHERE c.site_id = n.site_id AND c.floor = n.floor AND (c.ts, c.seq) <= (n.ts, n.seq)) AS start_temp FROM nr0 n) n
             LEFT JOIN climate c ON c.site_id = n.site_id AND c.floor = n.floor AND (c.ts, c.seq) > (n.ts, n.seq) AND c.ts <= n.warn_at
               AND (n.until IS NULL OR (c.ts, c.seq) < (n.until, n.until_seq)) GROUP BY ALL""",
-        "nr": """SELECT site_id, entity_id, floor, warn_at AS ts, seq, ts AS call_start_time, 720.0 AS minutes_elapsed, start_temp,
+        "nr": """SELECT site_id, entity_id, floor, warn_at AS ts, seq, ts AS call_start_time, 720.0::DOUBLE AS minutes_elapsed, start_temp,
             greatest(start_temp, coalesce(highest, start_temp)) AS current_temp, 'high' AS severity
             FROM nr2 WHERE start_temp IS NOT NULL AND coalesce(highest, start_temp) <= start_temp""",
         "al": "SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ts, seq) AS i FROM long",
         "sent": """SELECT site_id, i, ts FROM al WHERE i = 1 UNION ALL
           SELECT n.site_id, n.i, n.ts FROM (SELECT s.site_id, min(a.i) AS i, min_by(a.ts, a.i) AS ts FROM sent s JOIN al a
             ON a.site_id = s.site_id AND a.i > s.i AND epoch_us(a.ts) - epoch_us(s.ts) >= 172800000000 GROUP BY s.site_id, s.i) n""",
-        "short": "SELECT *, 10800 AS threshold_s FROM furnace WHERE duration_s > 0 AND duration_s < 10800",
+        "short": "SELECT *, 10800::BIGINT AS threshold_s FROM furnace WHERE duration_s > 0 AND duration_s < 10800",
         "warnings": """SELECT site_id, 'floor_2_long_call' AS kind, ts FROM long UNION ALL SELECT site_id, 'floor_2_escalation', ts FROM esc
             UNION ALL SELECT site_id, 'floor_no_response', ts FROM nr UNION ALL SELECT site_id, 'zone_slow_to_heat', ts FROM slow
             UNION ALL SELECT site_id, 'observer_silence', ts FROM silence UNION ALL SELECT site_id, 'setpoint_miss', ended_at FROM miss
@@ -341,7 +341,7 @@ ORACLE: dict[str, str] = {
         FROM (SELECT site_id, CAST(unnest(generate_series(TIMESTAMP '2024-01-16', max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM floor_days WHERE date BETWEEN DATE '2024-01-16' AND DATE '2024-01-29' GROUP BY site_id) s
         LEFT JOIN floor_days f ON f.site_id = s.site_id AND f.date = s.date GROUP BY s.site_id, s.date"""),
     "floor_trend": sql(f"SELECT site_id, {D}, total_calls, total_runtime_s, avg_duration_s, max_duration_s, outdoor_temp_avg_f FROM floor_days WHERE floor = 'floor_2' AND date BETWEEN DATE '2024-01-16' AND DATE '2024-01-29'"),
-    "duty_cycle": sql("""SELECT site_id, count(*) AS session_count, round(sum(on_s), 3) AS total_on_s, 604799.0 AS window_duration_s, round(sum(on_s) / 604799 * 100, 6) AS duty_cycle_pct, count(*) FILTER (WHERE on_s < duration_s) AS clipped_count
+    "duty_cycle": sql("""SELECT site_id, count(*) AS session_count, round(sum(on_s), 3) AS total_on_s, 604799.0::DOUBLE AS window_duration_s, round(sum(on_s) / 604799 * 100, 6) AS duty_cycle_pct, count(*) FILTER (WHERE on_s < duration_s) AS clipped_count
         FROM (SELECT site_id, duration_s, (epoch_us(least(ended_at, TIMESTAMP '2024-01-16 23:59:59')) - epoch_us(greatest(ended_at - to_seconds(duration_s), TIMESTAMP '2024-01-10'))) / 1000000 AS on_s FROM furnace WHERE duration_s IS NOT NULL) WHERE on_s > 0 GROUP BY site_id"""),
     "temp_correlation": sql(f"SELECT site_id, floor, n, round(r, 6) AS r, {LABEL} AS label FROM (SELECT site_id, floor, count(*) AS n, {r_of('outdoor_temp_avg_f', 'total_runtime_s')} AS r FROM floor_days WHERE outdoor_temp_avg_f IS NOT NULL GROUP BY ALL)"),
     "session_temp_correlation": sql(f"""SELECT * REPLACE (round(r, 6) AS r), {LABEL} AS label FROM (SELECT site_id, count(*) AS total, count(outdoor_temp_f) AS with_temp, count(*) - count(outdoor_temp_f) AS without_temp,
