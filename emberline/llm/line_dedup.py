@@ -17,6 +17,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.llm.store import packed, unpacked
+
 BLANKS = " \t\n\x0b\x0c\r"
 RUNS = "array<struct<start:int,length:int>>"
 
@@ -89,6 +91,6 @@ def kept_lines(text: Column, kept: Column) -> Column:
 
 def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """``docs`` with the text of the kept lines; a text without dropped lines, null included, stays as it is."""
-    joined = with_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars, keep_first))
+    joined = with_bitmaps(packed(docs), keep_bitmaps(docs.select("doc_id", "text"), min_docs, min_chars, keep_first))
     text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join(kept_lines(F.col("text"), F.col("_kept")), "\n"))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(joined.withColumn("text", text), docs.columns)

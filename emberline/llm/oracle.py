@@ -22,3 +22,38 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (f.key IS NOT NULL) AS n_dro
 FROM keyed LEFT JOIN frequent f USING (key)
 GROUP BY doc_id
 """
+
+LLM_ORACLE["op9_decontaminate"] = r"""
+WITH docs AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+    FROM documents
+), items AS (
+    SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+    FROM benchmark
+), cut AS (
+    SELECT item_id, words, least(13, len(words)) AS size, unnest(range(len(words) - least(13, len(words)) + 1)) AS beg
+    FROM items WHERE len(words) > 0
+), wanted AS (
+    SELECT DISTINCT item_id, size, list_slice(words, beg + 1, beg + size) AS seq FROM cut
+), sizes AS (
+    SELECT DISTINCT size FROM wanted
+), doc_windows AS (
+    SELECT doc_id, size, words, unnest(range(len(words) - size + 1)) AS beg FROM docs, sizes WHERE len(words) >= size
+), hits AS (
+    SELECT d.doc_id, d.beg, d.size, w.item_id
+    FROM (SELECT doc_id, beg, size, list_slice(words, beg + 1, beg + size) AS seq FROM doc_windows) d JOIN wanted w USING (size, seq)
+), hit_words AS (
+    SELECT doc_id, count(DISTINCT pos) AS n_hit
+    FROM (SELECT doc_id, unnest(range(beg, beg + size)) AS pos FROM (SELECT DISTINCT doc_id, beg, size FROM hits))
+    GROUP BY doc_id
+), hit_items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""

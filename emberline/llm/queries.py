@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import line_dedup
-from emberline.llm.store import table
+from emberline.llm import decontaminate, line_dedup, packing
+from emberline.llm.store import table, written
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -30,3 +31,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("_n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
         F.sha2(F.when(F.col("_kept").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside 13-word benchmark windows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontaminate.judged(docs, table(spark, sf_dir, "benchmark"), share=0.05, window=13)
+    return marked.select(
+        "doc_id",
+        F.col("_n_words").alias("n_words"),
+        F.col("_n_hit").alias("n_hit"),
+        F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("_items"), ",").cast("binary"), 256).alias("items_sha256"),
+        F.col("_contaminated").alias("contaminated"),
+    )
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens; the digest of each piece's ids and its place."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+    narrow = written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    return packing.pack(narrow, capacity=2048)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from emberline.sources.scratch import scratch_path
 
@@ -20,6 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """``doc_id, text, _rest``: all other columns in one struct, so that no name of theirs can clash with a new column."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", text)]
+    return docs.select("doc_id", F.col(text).alias("text"), F.struct(*rest, F.lit(0).alias("_none")).alias("_rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the table that ``packed`` took, in their order."""
+    return df.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in columns])
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int):
     """Cut a batch into runs of rows with about ``limit`` bytes of ``column`` each; a longer value stands alone.
 

@@ -77,7 +77,7 @@ class Words:
 def find_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, lower: bool) -> Words:
     """Words of texts that lie one behind the other in ``data``; no word crosses from one text into the next."""
     n = len(data)
-    inside = ~separator[data]
+    inside = ~(separator[LOWER] if lower else separator)[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     starts = offsets[:-1][offsets[:-1] < offsets[1:]]
