@@ -57,3 +57,27 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
+
+LLM_ORACLE["op7_substring_dedup"] = r"""
+WITH docs AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), cut AS (
+    SELECT doc_id, words, unnest(range(len(words) - 19)) AS beg FROM docs WHERE len(words) >= 20
+), hashed AS (
+    SELECT doc_id, beg, md5(array_to_string(list_slice(words, beg + 1, beg + 20), ' ')) AS seq FROM cut
+), ranked AS (
+    SELECT doc_id, beg, row_number() OVER (PARTITION BY seq ORDER BY doc_id, beg) AS n FROM hashed
+), gone AS (
+    SELECT doc_id, list(DISTINCT pos) AS removed
+    FROM (SELECT doc_id, unnest(range(beg, beg + 20)) AS pos FROM ranked WHERE n > 1) GROUP BY doc_id
+), words AS (
+    SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM docs
+), kept AS (
+    SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.pos) AS kept
+    FROM words w LEFT JOIN (SELECT doc_id, unnest(removed) AS pos FROM gone) g ON w.doc_id = g.doc_id AND w.pos = g.pos
+    WHERE g.pos IS NULL GROUP BY w.doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(removed), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import decontaminate, line_dedup, packing
+from emberline.llm import decontaminate, line_dedup, packing, substring_dedup
 from emberline.llm.store import table, written
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
     narrow = written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     return packing.pack(narrow, capacity=2048)
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in 20-word windows that start earlier elsewhere go; counts and the digest of what stays."""
+    done = substring_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
+    return done.select(
+        "doc_id",
+        F.col("_n_words").alias("n_words"),
+        F.aggregate("_removed", F.lit(0).cast("long"), lambda total, s: total + s["length"]).alias("n_removed"),
+        F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"),
+    )
