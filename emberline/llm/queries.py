@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import decontaminate, line_dedup, packing, substring_dedup
+from emberline.llm import decontaminate, line_dedup, ngram_join, packing, substring_dedup
 from emberline.llm.store import table, written
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.aggregate("_removed", F.lit(0).cast("long"), lambda total, s: total + s["length"]).alias("n_removed"),
         F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+@query
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles are at least 90 % alike."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.component_ids(docs, size=3, similarity=(9, 10)).drop("v")

@@ -116,10 +116,10 @@ def shingle_sets(words: Words, size: int) -> list[np.ndarray]:
             out.append(np.unique(hashes[cuts[i] : cuts[i + 1]]))
         elif n:
             short = words.hash[words.first[i] : words.first[i + 1]]
-            total = np.uint64(n) * np.uint64(0xE7037ED1A0B428DB)
+            total = np.array([int(n)], np.uint64) * np.uint64(0xE7037ED1A0B428DB)
             for h in short:
-                total = mix(np.array([total ^ h], np.uint64))[0]
-            out.append(np.array([total], np.uint64))
+                total = mix(total ^ h)
+            out.append(total)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
