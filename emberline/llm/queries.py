@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import decontaminate, line_dedup, ngram_join, packing, substring_dedup
+from emberline.llm import decontaminate, language_id, line_dedup, ngram_join, packing, substring_dedup
 from emberline.llm.store import table, written
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,14 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of three-word shingles are at least 90 % alike."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_join.component_ids(docs, size=3, similarity=(9, 10)).drop("v")
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, from a model that never saw a quarter of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = language_id.train(docs.filter(~held_out).select("text", "lang"))
+    return language_id.with_language(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score")
+    )
