@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import decontaminate, language_id, line_dedup, ngram_join, packing, substring_dedup
+from emberline.llm import decontaminate, language_id, line_dedup, ngram_join, packing, quality, substring_dedup
 from emberline.llm.store import table, written
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.with_language(docs.select("doc_id", "text"), model).select(
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score")
     )
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document: weak label, number of votes, score, and whether it is judged good."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.with_quality(docs, quality.train(docs))
+    return judged.select(
+        "doc_id", F.col("_weak").alias("weak_label"), F.col("_votes").alias("n_votes"), F.col("_quality").alias("quality"), (F.col("_quality") >= 0.5).alias("good")
+    )
