@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import decontaminate, language_id, line_dedup, ngram_join, packing, quality, substring_dedup
+from emberline.llm import decontaminate, language_id, line_dedup, mpeg_audio, ngram_join, packing, quality, substring_dedup
 from emberline.llm.store import table, written
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", F.col("_weak").alias("weak_label"), F.col("_votes").alias("n_votes"), F.col("_quality").alias("quality"), (F.col("_quality") >= 0.5).alias("good")
     )
+
+
+@query
+def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as MPEG audio and read back."""
+    media = mpeg_audio.stored(table(spark, sf_dir, "documents").select("doc_id", "text"), unit=192)
+    back = mpeg_audio.with_facts(media)
+    feature = F.concat_ws(
+        ";", *[F.concat(F.lit(f"{name}="), F.coalesce(F.col("facts")[name].cast("string"), F.lit(""))) for name in ("layer", "rate", "frames", "table_frames", "samples", "duration", "bad_checksums", "min_kbps", "max_kbps")]
+    )
+    same = [F.col("facts")[name].alias(name) for name in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")]
+    return back.select("doc_id", "n_bytes", *same, feature.alias("feature"))
