@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import decontaminate, language_id, line_dedup, mpeg_audio, ngram_join, packing, quality, substring_dedup
+from emberline.llm import (
+    chat_events,
+    decontaminate,
+    language_id,
+    line_dedup,
+    mpeg_audio,
+    ngram_join,
+    packing,
+    quality,
+    substring_dedup,
+    zip_archives,
+)
 from emberline.llm.store import table, written
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +118,19 @@ def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     same = [F.col("facts")[name].alias(name) for name in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")]
     return back.select("doc_id", "n_bytes", *same, feature.alias("feature"))
+
+
+@query
+def op6_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records in ZIP packages, read back by ranges."""
+    archives = zip_archives.archived(table(spark, sf_dir, "pages"), least_bytes=100)
+    return zip_archives.records(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op8_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as event logs, rebuilt, rendered and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat_events.conversation_digests(chat_events.messages(chat_events.event_log(turns.union(extra))))
