@@ -89,8 +89,14 @@ def kept_lines(text: Column, kept: Column) -> Column:
     return F.when(kept.isNull(), lines).otherwise(F.flatten(F.transform(kept, lambda r: F.slice(lines, r["start"] + 1, r["length"]))))
 
 
-def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
-    """``docs`` with the text of the kept lines; a text without dropped lines, null included, stays as it is."""
+def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, drop_emptied: bool = False) -> DataFrame:
+    """``docs`` with the text of the kept lines; a text without dropped lines, null included, stays as it is.
+
+    With ``drop_emptied`` documents go of whose lines only blanks stay; documents that lost no line never go.
+    """
     joined = with_bitmaps(packed(docs), keep_bitmaps(docs.select("doc_id", "text"), min_docs, min_chars, keep_first))
     text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join(kept_lines(F.col("text"), F.col("_kept")), "\n"))
-    return unpacked(joined.withColumn("text", text), docs.columns)
+    shorter = joined.withColumn("text", text)
+    if drop_emptied:
+        shorter = shorter.filter(F.col("_kept").isNull() | (F.btrim("text", F.lit(BLANKS)) != ""))
+    return unpacked(shorter, docs.columns)
