@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,48 +27,80 @@ from pyspark.sql import functions as F
 from emberline.llm.store import slices, written
 
 SLICE_BYTES = 2 << 20
-CACHED_WORDS = 300_000
-CACHED_WORD_BYTES = 64
-
-
-class WordIds(dict):
-    """Ids of white-space separated words as little-endian 32-bit bytes, encoded once per word while the cache holds.
-
-    Valid for tokenizers whose pre-tokenizer never joins text across ASCII white space and drops it, such as
-    ``word_bpe_49k.json``; the ids of a text are then those of its words in turn.
+CACHED_PIECES = 500_000
+# Latin letters before U+0180 are composed already and have lower-case forms of one letter, but for U+0130
+NOT_PLAIN = re.compile("[\u0130\u0180-\U0010ffff]|<\\|")
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
+NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+# fixed values: the pre-token pattern, for these letters, and the byte alphabet of the vocabulary file
+PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\t-\r \x85\xa0{LETTERS}{NUMBERS}]+")
+PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTED) if b != 0x20}
+
+
+class TextIds:
+    """Ids of texts as little-endian 32-bit bytes, for tokenizers with the steps of ``word_bpe_49k.json``.
+
+    Nothing joins text across white space, so the ids of a text are those of its pre-tokens in turn. A text of Latin letters,
+    digits and signs is lower-cased and cut here as the tokenizer would; pre-tokens not seen lately go through its model in one
+    batch. Of other texts the words that are not plain take the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        return b"".join([self[w] for w in words])
-
-    def learn(self, texts: list[bytes]) -> None:
-        """Encode in one batch all words of ``texts`` that are not known yet."""
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        new = list({w for t in texts for w in t.split()} - self.keys())
-        for word, coded in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self[word] = np.array(coded.ids, "<u4").tobytes()
-
-    def forget_long(self, texts: list[bytes]) -> None:
-        if any(len(w) > CACHED_WORD_BYTES for t in texts for w in t.split()):
-            for w in [w for w in self if len(w) > CACHED_WORD_BYTES]:
-                del self[w]
-
-
-_TOKENIZERS: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.bare.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, new: list[str]) -> None:
+        if not new:
+            return
+        letters = " ".join(new).encode().decode("latin-1").translate(BYTE_LETTERS)
+        ids = np.array(self.bare.encode(letters, add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(new):
+            raise ValueError("the vocabulary has no word ends for some bytes")
+        raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        self.known.update(zip(new, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+
+    def cut(self, text: str) -> list[str] | None:
+        """Pre-tokens of a plain text; None for others."""
+        return None if NOT_PLAIN.search(text) else PRE_TOKENS.findall(text.lower())
+
+    def mixed(self, text: bytes) -> bytes:
+        """A text that is not plain, word by word."""
+        out = []
+        for word in text.split():
+            pieces = self.cut(word.decode())
+            if pieces is None:
+                out.append(np.array(self.whole.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                self.learn([p for p in dict.fromkeys(pieces) if p not in self.known])
+                out += [self.known[p] for p in pieces]
+        return b"".join(out)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.known) > CACHED_PIECES:
+            self.known.clear()
+        cuts = [self.cut(t.decode()) for t in texts]
+        self.learn(list({p for pieces in cuts if pieces for p in pieces} - self.known.keys()))
+        known = self.known
+        return [self.mixed(t) if pieces is None else b"".join([known[p] for p in pieces]) for t, pieces in zip(texts, cuts, strict=True)]
+
+
+_TOKENIZERS: dict[str, TextIds] = {}
+
+
+def text_ids(path: str) -> TextIds:
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordIds(path)
+        _TOKENIZERS[path] = TextIds(path)
     return _TOKENIZERS[path]
 
 
@@ -75,16 +108,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     """``doc_id, piece, start, length, ids``: the pieces of every document; ``ids`` are little-endian 32-bit integers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, tail, step = word_ids(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        coder, tail, step = text_ids(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             doc_ids = batch.column("doc_id")
             for low, _, data, offsets in slices(batch, "text", SLICE_BYTES):
                 raw = data.tobytes()
                 texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                coder.learn(texts)
                 owner, piece, start, length, ids = [], [], [], [], []
-                for i, text in enumerate(texts):
-                    coded = coder.ids(text) + tail
+                for i, coded in enumerate(coder.encode(texts)):
+                    coded += tail
                     for k, at in enumerate(range(0, len(coded), step)):
                         part = coded[at : at + step]
                         owner.append(low + i)
@@ -92,7 +124,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                         start.append(at // 4)
                         length.append(len(part) // 4)
                         ids.append(part)
-                coder.forget_long(texts)
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids.take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                     ["doc_id", "piece", "start", "length", "ids"],
