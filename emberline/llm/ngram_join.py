@@ -356,8 +356,15 @@ def similar_sets(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
-    """One document of each component, the one with the least ``doc_id``; documents with an empty set all stay."""
+    """One document of each component, the one with the least ``doc_id``; documents with an empty set all stay.
+
+    Of rows equal in ``doc_id`` and text, with words, one stays. Rows without a ``doc_id`` cannot be named and stay.
+    """
     ids = component_ids(docs.select("doc_id", "text"), size, similarity)
     gone = ids.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     rows = packed(docs).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    if not ids.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
+        blank = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r")) == ""
+        alone = blank | F.col("doc_id").isNull()
+        rows = rows.filter(alone).unionByName(rows.filter(~alone).dropDuplicates(["doc_id", "text"]))
     return unpacked(rows, docs.columns)
