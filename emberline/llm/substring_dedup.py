@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.store import packed, slices, unpacked, written
-from emberline.llm.words import WHITE, WORD_BASE, Words, find_words, mix, powers, prefix
+from emberline.llm.words import WHITE, WORD_BASE, Words, find_words, mix, powers, prefix, stretches
 
 SLICE_BYTES = 2 << 20
-BLOCK_BITS = 22
+BLOCK_BITS = 21
+LEAST_PARTS = 64  # blocks and buckets there are at least, so that small inputs use many tasks too
 CELLS_PER_BYTE = 0.32  # 16 cells an anchor, an anchor about every 50 bytes
 SECOND_BASE = 0x8CB92BA72F3D8DD7
-GROUP_WINDOWS = 2_000_000
+GROUP_WINDOWS = 500_000
+LONGEST_RUN = 255
 RUNS = "_doc long, runs binary"
 
 
@@ -80,7 +82,13 @@ def anchor_runs(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.nd
     new = np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (at[1:] != at[:-1] + 1)])
     begin = np.flatnonzero(new)
     sizes = np.diff(np.append(begin, len(at)))
-    return at[begin], sizes, anchors[begin], np.logical_or.reduceat(twice[at], begin) | (sizes > span)
+    again = np.logical_or.reduceat(twice[at], begin) | (sizes > span)
+    parts = -(-sizes // LONGEST_RUN)
+    if parts.max() == 1:
+        return at[begin], sizes, anchors[begin], again
+    piece = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    whole = np.repeat(np.arange(len(begin)), parts)
+    return at[begin][whole] + piece * LONGEST_RUN, np.minimum(sizes[whole] - piece * LONGEST_RUN, LONGEST_RUN), anchors[begin][whole], again[whole]
 
 
 def by_block(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +110,7 @@ def partition_sketches(docs: DataFrame, blocks: int, window: int, gram: int) ->
                 order, there, begin = by_block(cells)
                 inner = (cells[order] & np.uint64((1 << BLOCK_BITS) - 1)).astype("<u4")
                 small = np.minimum(counts[order], 2).astype(np.uint8)
-                cuts = list(zip(begin[:-1], begin[1:], strict=True))
+                cuts = stretches(begin[:-1], int(begin[-1]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(there), pa.array([inner[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([small[a:b].tobytes() for a, b in cuts], pa.binary())],
                     ["block", "cells", "counts"],
@@ -123,7 +131,7 @@ def asked_runs(docs: DataFrame, blocks: int, window: int, gram: int) -> DataFram
     """The runs of all slices, by the block of the sketch that knows their anchors; a negative block needs no answer."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "cells", "docs", "starts", "sizes"]
+        names = ["block", "cells", "docs", "counts", "starts", "sizes"]
         for batch in batches:
             ids = batch.column("_doc").to_numpy(zero_copy_only=False)
             for low, _, data, offsets in slices(batch, "text", SLICE_BYTES):
@@ -136,16 +144,31 @@ def asked_runs(docs: DataFrame, blocks: int, window: int, gram: int) -> DataFram
                 block = np.where(sure, -1 - (doc % 64), (cells >> np.uint64(BLOCK_BITS)).astype(np.int64))
                 order = np.argsort(block, kind="stable")
                 there, begin = np.unique(block[order], return_index=True)
-                cuts = list(zip(begin, np.append(begin[1:], len(order)), strict=True))
+                cuts = stretches(begin, len(order))
                 columns = [
                     (cells & np.uint64((1 << BLOCK_BITS) - 1)).astype("<u4")[order],
-                    ids[low + doc].astype("<i8")[order],
                     (at - words.first[doc]).astype("<i4")[order],
-                    sizes.astype("<i4")[order],
+                    sizes.astype(np.uint8)[order],
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(there), *[pa.array([c[a:b].tobytes() for a, b in cuts], pa.binary()) for c in columns]], names)
+                cell, start, size = [pa.array([c[a:b].tobytes() for a, b in cuts], pa.binary()) for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(there), cell, *named(ids[low + doc][order], cuts), start, size], names)
 
-    return docs.select("_doc", "text").mapInArrow(ask, "block long, cells binary, docs binary, starts binary, sizes binary")
+    return docs.select("_doc", "text").mapInArrow(ask, "block long, cells binary, docs binary, counts binary, starts binary, sizes binary")
+
+
+def named(owner: np.ndarray, cuts: list) -> tuple[pa.Array, pa.Array]:
+    """For each cut the runs of equal owners: the owners and how often each stands."""
+    docs, counts = [], []
+    for a, b in cuts:
+        part = owner[a:b]
+        begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        docs.append(part[begin].astype("<i8").tobytes())
+        counts.append(np.diff(np.append(begin, len(part))).astype("<u4").tobytes())
+    return pa.array(docs, pa.binary()), pa.array(counts, pa.binary())
+
+
+def owners(group: pa.Table) -> np.ndarray:
+    return np.repeat(joined(group, "docs", "<i8"), joined(group, "counts", "<u4"))
 
 
 def rows_by_doc(docs: np.ndarray, *columns: np.ndarray) -> pa.Table:
@@ -153,7 +176,7 @@ def rows_by_doc(docs: np.ndarray, *columns: np.ndarray) -> pa.Table:
     order = np.argsort(docs, kind="stable")
     values = np.stack([c[order].astype("<i4") for c in columns], axis=1) if len(order) else np.zeros((0, len(columns)), "<i4")
     there, begin = np.unique(docs[order], return_index=True)
-    cuts = zip(begin, np.append(begin[1:], len(order)), strict=True)
+    cuts = stretches(begin, len(order))
     return pa.table({"_doc": pa.array(there.astype(np.int64)), "runs": pa.array([values[a:b].tobytes() for a, b in cuts], pa.binary())})
 
 
@@ -162,7 +185,7 @@ def joined(group: pa.Table, column: str, kind: str) -> np.ndarray:
 
 
 def answer(asked: pa.Table, sketch: pa.Table) -> pa.Table:
-    docs, starts, sizes = joined(asked, "docs", "<i8"), joined(asked, "starts", "<i4"), joined(asked, "sizes", "<i4")
+    docs, starts, sizes = owners(asked), joined(asked, "starts", "<i4"), joined(asked, "sizes", np.uint8)
     if asked.num_rows and asked.column("block")[0].as_py() >= 0:
         bits = np.unpackbits(np.frombuffer(sketch.column("repeated")[0].as_py(), np.uint8)).astype(bool)
         again = bits[joined(asked, "cells", "<u4")]
@@ -174,7 +197,7 @@ def likely_windows(docs: DataFrame, buckets: int, window: int) -> DataFrame:
     """Fingerprints of the windows estimated repeated, by bucket; windows a slice holds before are ``later_*`` at once."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "high", "low", "docs", "starts", "later_docs", "later_starts"]
+        names = ["bucket", "high", "low", "docs", "counts", "starts", "later_docs", "later_starts"]
         for batch in batches:
             ids, runs = batch.column("_doc").to_numpy(), batch.column("_runs").to_pylist()
             for first, end, data, offsets in slices(batch, "text", SLICE_BYTES):
@@ -193,24 +216,26 @@ def likely_windows(docs: DataFrame, buckets: int, window: int) -> DataFrame:
                 order = np.lexsort((start, owner, low, high))
                 same = np.concatenate([[False], (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])]) if len(order) else np.zeros(0, bool)
                 later, order = order[same], order[~same]
+                order = np.sort(order)  # by document and start again
                 bucket = (high[order] % np.uint64(buckets)).astype(np.int64)
-                order, bucket = order[np.argsort(bucket, kind="stable")], np.sort(bucket)
+                by = np.argsort(bucket, kind="stable")
+                order, bucket = order[by], bucket[by]
                 there, begin = np.unique(bucket, return_index=True)
-                cuts = list(zip(begin, np.append(begin[1:], len(bucket)), strict=True))
+                cuts = stretches(begin, len(bucket))
                 put = lambda values, kind: pa.array([values[order][a:b].astype(kind).tobytes() for a, b in cuts], pa.binary())  # noqa: E731, B023
                 aside = lambda values, kind: pa.array([values[later].astype(kind).tobytes() if k == 0 else b"" for k in range(len(cuts))], pa.binary())  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(there), put(high, "<u8"), put(low, "<u4"), put(owner, "<i8"), put(start, "<i4"), aside(owner, "<i8"), aside(start, "<i4")], names
+                    [pa.array(there), put(high, "<u8"), put(low, "<u4"), *named(owner[order], cuts), put(start, "<i4"), aside(owner, "<i8"), aside(start, "<i4")], names
                 )
 
-    shape = "bucket long, high binary, low binary, docs binary, starts binary, later_docs binary, later_starts binary"
+    shape = "bucket long, high binary, low binary, docs binary, counts binary, starts binary, later_docs binary, later_starts binary"
     return docs.select("_doc", "text", "_runs").mapInArrow(cut, shape)
 
 
 def later_windows(group: pa.Table) -> pa.Table:
     """All occurrences of the windows of a bucket but the first of each."""
     high, low = joined(group, "high", "<u8"), joined(group, "low", "<u4")
-    docs, starts = joined(group, "docs", "<i8"), joined(group, "starts", "<i4")
+    docs, starts = owners(group), joined(group, "starts", "<i4")
     order = np.lexsort((starts, docs, low, high))
     same = np.concatenate([[False], (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])]) if len(order) else np.zeros(0, bool)
     again = order[same]
@@ -220,13 +245,13 @@ def later_windows(group: pa.Table) -> pa.Table:
 def repeated_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """``_doc, _starts`` of the documents with windows that start earlier too: packed starts of those windows."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size * CELLS_PER_BYTE / (1 << BLOCK_BITS)))
+    blocks = max(LEAST_PARTS, math.ceil(size * CELLS_PER_BYTE / (1 << BLOCK_BITS)))
     sketch = partition_sketches(docs, blocks, window, gram).groupBy("block").applyInArrow(merge_sketches, "block long, repeated binary")
     asked = asked_runs(docs, blocks, window, gram)
     runs = written(asked.groupBy("block").cogroup(sketch.groupBy("block")).applyInArrow(answer, RUNS), "likely")
     likely = runs.groupBy("_doc").agg(F.collect_list("runs").alias("_runs"))
     # a run has about half as many windows as its anchor is wide
-    buckets = max(1, math.ceil((runs.agg(F.sum(F.octet_length("runs"))).first()[0] or 0) / 8 * (window - gram + 2) / 2 / GROUP_WINDOWS))
+    buckets = max(LEAST_PARTS, math.ceil((runs.agg(F.sum(F.octet_length("runs"))).first()[0] or 0) / 8 * (window - gram + 2) / 2 / GROUP_WINDOWS))
     found = likely_windows(docs.select("_doc", "text").join(likely.hint("shuffle_hash"), "_doc"), buckets, window)
     return found.groupBy("bucket").applyInArrow(later_windows, RUNS).groupBy("_doc").agg(F.collect_list("runs").alias("_starts"))
 

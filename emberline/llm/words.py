@@ -56,6 +56,12 @@ def prefix(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def stretches(begin: np.ndarray, end: int) -> list[tuple[int, int]]:
+    """Stretches that begin at the given places, the last one up to ``end``; none if nothing begins."""
+    places = begin.tolist()
+    return list(zip(places, [*places[1:], end], strict=True)) if places else []
+
+
 @dataclass
 class Words:
     """Words of a run of texts: byte places, hashes, and where each text's words begin (``n + 1`` places)."""
