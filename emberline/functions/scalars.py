@@ -27,10 +27,20 @@ def by_floor(values: Mapping[str, float], default: float | None = None, floor: s
     return F.lit(default) if out is None else out.otherwise(F.lit(default))
 
 
+FIXED_POINT_END = 9e12
+DECIMAL_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def number_of(text: Column) -> Column:
+    """Decimal text as a finite number; null for everything else, Java literals such as ``5d`` or ``0x1p3`` included."""
+    bare = F.trim(text)
+    value = F.when(bare.rlike(DECIMAL_NUMBER), bare.try_cast("double"))
+    return F.when(F.abs(value) < float("inf"), value)
+
+
 def numeric_state(state: Column) -> Column:
-    """A sensor state as a number; null for missing, placeholder and non-numeric states."""
-    blank = state.isNull() | F.lower(F.trim(state)).isin("unavailable", "unknown", "")
-    return F.when(~blank, F.trim(state).try_cast("double"))
+    """A sensor state as a finite number; null for missing, placeholder and non-numeric states."""
+    return number_of(state)
 
 
 def parse_time(text: Column) -> Column:
@@ -63,8 +73,13 @@ def percent_change(last: Column, this: Column) -> Column:
 
 
 def mean(value: Column) -> Column:
-    """Mean of readings in fixed point (six decimals): the sum is exact, so the result does not depend on row order."""
-    return F.sum(F.round(value * 1_000_000).cast("long")) / F.count(value) / 1_000_000
+    """Mean of readings in fixed point (six decimals): the sum is exact, so the result does not depend on row order.
+
+    A group with a reading beyond fixed point takes the plain mean, so that no reading fails the job or is left out.
+    """
+    near = F.when(F.abs(value) < FIXED_POINT_END, value)
+    exact = F.sum(F.round(near * 1_000_000).cast("long").cast("decimal(20,0)")).cast("double") / F.nullif(F.count(value), F.lit(0)) / 1_000_000
+    return F.when(F.count(near) == F.count(value), exact).otherwise(F.avg(value))
 
 
 def correlation(x: Column, y: Column) -> Column:

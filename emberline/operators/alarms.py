@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,32 +164,41 @@ def short_calls(furnace_sessions: DataFrame, threshold_s: float = SHORT_CALL_S)
 def throttle(alerts: DataFrame, keys: Sequence[str] = ("site_id", "kind"), interval_s: float = ALERT_INTERVAL_S) -> DataFrame:
     """Mark the alerts that are sent: the first one, then the first at least ``interval_s`` after the last sent.
 
-    Whether an alert is sent depends on the last one *sent*, which no window frame can express. The fold runs over
-    sorted partitions in Arrow batches and keeps one row of state per key, so no group is ever held in memory.
+    Whether an alert is sent depends on the last one *sent*, which no window frame can express. Sorted partitions stream
+    through Arrow batches, from one sent alert straight to the next by a search in the sorted times; what is kept of a
+    key is its last sent time. Keys are compared as text in which null is a value of its own.
     """
     keys = list(keys)
     step = int(interval_s * 1_000_000)
-    fields = [f for f in alerts.schema.fields if f.name != "_at"]
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in alerts.schema.fields)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, last, held = None, None, 0
         for batch in batches:
-            sent, suppressed = [], []
-            for row in zip(*[batch[k] for k in keys], batch["_at"]):
-                if row[:-1] != key:
-                    key, last, held = row[:-1], None, 0
-                go = last is None or row[-1] - last >= step
-                suppressed.append(held if go else 0)
-                last, held = (row[-1], 0) if go else (last, held + 1)
-                sent.append(go)
-            yield batch.drop(columns="_at").assign(sent=sent, suppressed_before=suppressed)
+            names, times = batch.column("_key").to_pylist(), batch.column("_at").to_numpy()
+            codes = batch.column("_key").dictionary_encode().indices.to_numpy()
+            sent, before = np.zeros(len(times), bool), np.zeros(len(times), np.int64)
+            begins = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else codes
+            for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(times)]):
+                if names[begin] != key:
+                    key, last, held = names[begin], None, 0
+                at = begin
+                while at < end:
+                    go = at if last is None else begin + int(np.searchsorted(times[begin:end], last + step))
+                    held += min(go, end) - at
+                    if go < end:
+                        sent[go], before[go] = True, held
+                        last, held = int(times[go]), 0
+                    at = go + 1
+            columns = [batch.column(c) for c in batch.schema.names if c not in ("_key", "_at")]
+            named = [c for c in batch.schema.names if c not in ("_key", "_at")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sent), pa.array(before)], [*named, "sent", "suppressed_before"])
 
     return (
-        alerts.withColumn("_at", F.unix_micros("ts"))
-        .repartition(*keys)
-        .sortWithinPartitions(*keys, "ts", "seq")
-        .mapInPandas(fold, f"{out}, sent boolean, suppressed_before bigint")
+        alerts.withColumns({"_key": F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), "_at": F.unix_micros("ts")})
+        .repartition("_key")
+        .sortWithinPartitions("_key", "ts", "seq")
+        .mapInArrow(fold, f"{out}, sent boolean, suppressed_before bigint")
     )
 
 

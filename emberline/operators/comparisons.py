@@ -18,6 +18,11 @@ def latest_wins(rows: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataF
     return newest.select(*keys, "_r.*")
 
 
+def stored(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stored summaries as read: where they carry a ``seq``, the latest of a repeated key counts."""
+    return latest_wins(rows, keys) if "seq" in rows.columns else rows
+
+
 def distinct_dates(rows: DataFrame) -> DataFrame:
     return rows.select("site_id", "date").distinct()
 
@@ -28,7 +33,7 @@ def weekly_comparison(furnace_days: DataFrame, floors: Sequence[str] = FLOORS) -
     Day summaries are one row per site and day, so the ranking window holds days, not events.
     """
     recent = Window.partitionBy("site_id").orderBy(F.col("date").desc())
-    ranked = furnace_days.withColumn("_r", F.dense_rank().over(recent)).filter(F.col("_r") <= 14)
+    ranked = stored(furnace_days, ["site_id", "date"]).withColumn("_r", F.dense_rank().over(recent)).filter(F.col("_r") <= 14)
     weeks = {"this": F.col("_r") <= 7, "last": F.col("_r") > 7}
     aggs = [F.max("_r").alias("_days")]
     for week, test in weeks.items():
@@ -94,7 +99,8 @@ def floor_trend(floor_days: DataFrame, floor: str, end: Column, days: int = 14)
 
 def temp_correlation(floor_days: DataFrame) -> DataFrame:
     """Pearson r of the day's outdoor average and the floor's runtime."""
-    known = floor_days.filter(F.col("outdoor_temp_avg_f").isNotNull() & F.col("total_runtime_s").isNotNull())
+    days = stored(floor_days, ["site_id", "floor", "date"])
+    known = days.filter(F.col("outdoor_temp_avg_f").isNotNull() & F.col("total_runtime_s").isNotNull())
     out = known.groupBy("site_id", "floor").agg(
         F.count(F.lit(1)).alias("n"), correlation(F.col("outdoor_temp_avg_f"), F.col("total_runtime_s")).alias("r")
     )
@@ -122,10 +128,10 @@ def session_temp_correlation(furnace: DataFrame) -> DataFrame:
 def reconcile_daily(summaries: DataFrame, calls: DataFrame) -> DataFrame:
     """Day totals against totals recomputed from calls: pairs and days checked, and each mismatch with its delta.
 
-    Only days with a summary are compared; a summary without calls compares with zero.
+    Only days with a summary are compared, its latest version; a summary without calls compares with zero.
     """
     raw = _raw_totals(calls)
-    joined = summaries.select("site_id", "floor", "date", F.col("total_runtime_s").alias("summary_s")).join(
+    joined = stored(summaries, ["site_id", "floor", "date"]).select("site_id", "floor", "date", F.col("total_runtime_s").alias("summary_s")).join(
         raw, ["site_id", "floor", "date"], "left"
     )
     checked = joined.withColumn("raw_s", F.coalesce("raw_s", F.lit(0)))

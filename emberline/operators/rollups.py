@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions.scalars import mean, seconds_between
 from emberline.functions.timeline import scan
+from emberline.operators.comparisons import stored
 from emberline.schema import FLOORS, WARNING_KINDS
 
 DAY = ("site_id", "date")
@@ -138,10 +139,10 @@ def furnace_daily_summary(
     return daily.drop("_active")
 
 
-def day_summary(stored: DataFrame, recomputed: DataFrame) -> DataFrame:
+def day_summary(saved: DataFrame, recomputed: DataFrame) -> DataFrame:
     """Stored day summaries where they exist, else the figures recomputed from the events of the day."""
-    missing = recomputed.join(stored.select(*DAY), list(DAY), "left_anti")
-    return stored.withColumn("source", F.lit("stored")).unionByName(missing.withColumn("source", F.lit("recomputed")))
+    missing = recomputed.join(saved.select(*DAY), list(DAY), "left_anti")
+    return saved.withColumn("source", F.lit("stored")).unionByName(missing.withColumn("source", F.lit("recomputed")))
 
 
 def monthly_summary(furnace_days: DataFrame, floors: Sequence[str] = FLOORS, kinds: Sequence[str] = WARNING_KINDS) -> DataFrame:
@@ -150,7 +151,7 @@ def monthly_summary(furnace_days: DataFrame, floors: Sequence[str] = FLOORS, kin
     sums += [f"{m}_{f}{u}" for f in floors for m, u in (("runtime", "_s"), ("sessions", ""))]
     sums += [f"warn_{k}" for k in kinds]
     return (
-        furnace_days.groupBy("site_id", F.trunc("date", "MM").alias("_first"))
+        stored(furnace_days, ["site_id", "date"]).groupBy("site_id", F.trunc("date", "MM").alias("_first"))
         .agg(
             F.count(F.lit(1)).alias("day_count"),
             *[F.sum(c).alias(c) for c in sums],
@@ -192,8 +193,11 @@ def parse_bound(text: str, end_of_day: bool = False) -> datetime:
     return at + timedelta(days=1, seconds=-1) if end_of_day and len(text) == 10 else at
 
 
-def duty_cycle(furnace: DataFrame, start: str, end: str) -> DataFrame:
-    """Share of the window the furnace was on; sessions are clipped to the window, unknown durations are left out."""
+def duty_cycle(furnace: DataFrame, start: str, end: str, sites: DataFrame | None = None) -> DataFrame:
+    """Share of the window the furnace was on; sessions are clipped to the window, unknown durations are left out.
+
+    Every site of ``sites`` gets a row, those without a session in the window one of zeros.
+    """
     low, high = parse_bound(start), parse_bound(end, end_of_day=True)
     length = (high - low).total_seconds()
     lo, hi = (F.lit(t.isoformat(" ")).cast("timestamp") for t in (low, high))
@@ -204,10 +208,12 @@ def duty_cycle(furnace: DataFrame, start: str, end: str) -> DataFrame:
         .filter(F.col("began") < hi)
     )
     on = (F.unix_micros(F.least("ended_at", hi)) - F.unix_micros(F.greatest("began", lo))) / 1_000_000
-    clipped = inside.withColumn("on_s", on).filter(F.col("on_s") > 0)
-    total = F.sum("on_s")
+    clipped = inside.withColumn("on_s", on).filter(F.col("on_s") > 0).select("site_id", "on_s", "duration_s")
+    if sites is not None:
+        clipped = clipped.unionByName(sites.select("site_id").distinct(), allowMissingColumns=True)
+    total = F.coalesce(F.sum("on_s"), F.lit(0.0))
     return clipped.groupBy("site_id").agg(
-        F.count(F.lit(1)).alias("session_count"),
+        F.count("on_s").alias("session_count"),
         total.alias("total_on_s"),
         F.lit(length).alias("window_duration_s"),
         (total / length * 100).alias("duty_cycle_pct"),
@@ -215,10 +221,13 @@ def duty_cycle(furnace: DataFrame, start: str, end: str) -> DataFrame:
     )
 
 
-def live_status(calls: DataFrame, furnace: DataFrame, open_now: DataFrame, as_of: Column, floors: Sequence[str] = FLOORS) -> DataFrame:
+def live_status(
+    calls: DataFrame, furnace: DataFrame, open_now: DataFrame, as_of: Column, floors: Sequence[str] = FLOORS, sites: DataFrame | None = None
+) -> DataFrame:
     """Runtime of the current day including sessions still in flight at ``as_of``.
 
-    ``calls`` / ``furnace`` are ended sessions, ``open_now`` the open ones of both kinds, all up to ``as_of``.
+    ``calls`` / ``furnace`` are ended sessions, ``open_now`` the open ones of both kinds, all up to ``as_of``. Every site of
+    ``sites`` gets a row, idle ones with zeros.
     """
     today = F.to_date("ts") == F.to_date(as_of)
     running = seconds_between(F.col("on_since"), as_of)
@@ -227,6 +236,8 @@ def live_status(calls: DataFrame, furnace: DataFrame, open_now: DataFrame, as_of
         furnace=furnace.filter(today).select("site_id", "duration_s"),
         open=open_now.select("site_id", "floor", running.alias("duration_s")),
     )
+    if sites is not None:
+        facts = facts.unionByName(sites.select("site_id").distinct(), allowMissingColumns=True)
 
     def part(fact: str, floor: str | None) -> Column:
         return (F.col("fact") == fact) & (F.col("floor").isNull() if floor is None else F.col("floor") == floor)

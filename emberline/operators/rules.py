@@ -98,8 +98,8 @@ def heating_efficiency(
     min_duration_s: float = 60,
     lookback_days: int | None = 14,
 ) -> DataFrame:
-    """Degrees gained per minute of heating, over sessions that did gain, from midnight ``lookback_days`` ago."""
-    rows = gains.filter((F.col("duration_s") >= min_duration_s) & (F.col("temp_delta_f") > 0))
+    """Degrees gained per minute of heating, over sessions that did gain, from midnight ``lookback_days`` ago to ``as_of``."""
+    rows = gains.filter((F.col("duration_s") >= min_duration_s) & (F.col("temp_delta_f") > 0) & (F.col("ts") <= as_of))
     if lookback_days is not None:
         rows = rows.filter(F.col("ts") >= F.date_trunc("day", as_of) - F.expr(f"INTERVAL {lookback_days} DAYS"))
     return (

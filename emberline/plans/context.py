@@ -21,6 +21,7 @@ from emberline.schema import (
     WARNING_LABELS,
 )
 
+# fixed values: the events the context view shows
 CONTEXT_EVENTS = (
     SESSION_ENDED,
     FURNACE_DAILY,
@@ -38,10 +39,10 @@ def lookback(as_of: Column, hours: float) -> Column:
 
 
 def context_events(log: DataFrame, as_of: Column, hours: float, events: Sequence[str] = CONTEXT_EVENTS) -> DataFrame:
-    """Events of the lookback window, and the day summaries of the day before it."""
+    """Events of the lookback window, which ends at ``as_of``, and the day summaries of the day before it."""
     since = lookback(as_of, hours)
     summary = F.col("event_type").isin(FURNACE_DAILY, FLOOR_DAILY) & (F.col("date") == F.date_sub(F.to_date(since), 1))
-    return log.filter(F.col("event_type").isin(*events) & ((F.col("ts") >= since) | F.coalesce(summary, F.lit(False))))
+    return log.filter(F.col("event_type").isin(*events) & (F.col("ts").between(since, as_of) | F.coalesce(summary, F.lit(False))))
 
 
 def recent_sessions(sessions: DataFrame, n: int = 8) -> DataFrame:
@@ -58,7 +59,7 @@ def recent_warnings(
     for kind, text in labels.items():
         test = F.col("event_type") == kind
         label = F.when(test, text) if label is None else label.when(test, text)
-    rows = log.filter(F.col("event_type").isin(*labels) & (F.col("ts") >= lookback(as_of, hours)))
+    rows = log.filter(F.col("event_type").isin(*labels) & F.col("ts").between(lookback(as_of, hours), as_of))
     return rows.withColumn("label", label)
 
 

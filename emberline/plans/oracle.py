@@ -192,7 +192,8 @@ def cte(until: str | None = None) -> dict[str, str]:
         + each("CAST(coalesce(sum(d) FILTER (WHERE fact = 'call' AND floor = '{f}'), 0) AS BIGINT) AS {f}_committed_s, CAST(coalesce(sum(d) FILTER (WHERE fact = 'open' AND floor = '{f}'), 0) AS BIGINT) AS {f}_in_flight_s")
         + f""" FROM (SELECT site_id, 'call' AS fact, floor, duration_s AS d FROM calls WHERE CAST(ts AS DATE) = CAST({LIVE_AT} AS DATE)
             UNION ALL SELECT site_id, 'furnace', NULL, duration_s FROM furnace WHERE CAST(ts AS DATE) = CAST({LIVE_AT} AS DATE)
-            UNION ALL SELECT site_id, 'open', floor, {secs('on_since', LIVE_AT)} FROM open_now) GROUP BY site_id""",
+            UNION ALL SELECT site_id, 'open', floor, {secs('on_since', LIVE_AT)} FROM open_now
+            UNION ALL SELECT DISTINCT site_id, 'idle', NULL, NULL::BIGINT FROM ev) GROUP BY site_id""",
         "live_t": "SELECT *, furnace_committed_s + furnace_in_flight_s AS furnace_today_s, " + each("{f}_committed_s + {f}_in_flight_s AS {f}_today_s") + " FROM live",
         "anom0": """SELECT * FROM (SELECT site_id, floor, date, total_runtime_s AS runtime_s, avg(total_runtime_s) OVER w AS m, stddev_pop(total_runtime_s) OVER w AS sd,
             count(*) OVER w AS n FROM floor_days WINDOW w AS (PARTITION BY site_id, floor ORDER BY date ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING))
@@ -202,7 +203,7 @@ def cte(until: str | None = None) -> dict[str, str]:
         "base": """SELECT floor AS key, quantile_cont(duration_s, 0.95) AS p95 FROM calls WHERE duration_s IS NOT NULL GROUP BY floor""",
         "eff": f"""SELECT cohort, floor, round(sum(gain) / (sum(d) / 60), 3) AS score_f_per_min, count(*) AS session_count, round(sum(d) / 60, 1) AS total_runtime_min, round(sum(gain), 1) AS total_temp_gain_f
             FROM (SELECT site_id % 10 AS cohort, floor, ended_at AS ts, {secs('cycle_ts', 'ended_at')} AS d, end_temp - start_temp AS gain FROM cycles WHERE closed)
-            WHERE d >= 60 AND gain > 0 AND ts >= {AS_OF} - INTERVAL 14 DAY GROUP BY cohort, floor HAVING count(*) >= 5""",
+            WHERE d >= 60 AND gain > 0 AND ts >= {AS_OF} - INTERVAL 14 DAY AND ts <= {AS_OF} GROUP BY cohort, floor HAVING count(*) >= 5""",
         "marked": """SELECT *, CASE WHEN rn <= greatest(1, n * 3 // 4) THEN 'baseline' ELSE 'window' END AS part FROM (
             SELECT *, site_id % 10 AS cohort, row_number() OVER (PARTITION BY site_id % 10 ORDER BY ts, seq) AS rn, count(*) OVER (PARTITION BY site_id % 10) AS n FROM calls) WHERE n >= 8""",
         "shift": f"""SELECT cohort, floor, period, round(oc / ot, 3) AS observed_share, round(hc / ht, 3) AS historical_share,
@@ -222,7 +223,8 @@ def cte(until: str | None = None) -> dict[str, str]:
         "rt": "SELECT site_id, floor, ts, seq, CAST(ts AS DATE) AS date, duration_s, CAST(sum(duration_s) OVER (PARTITION BY site_id, floor, CAST(ts AS DATE) ORDER BY ts, seq) AS BIGINT) AS runtime_today_s FROM calls WHERE duration_s IS NOT NULL",
         "raw_totals": "SELECT site_id, floor, CAST(ended_at AS DATE) AS date, sum(duration_s) AS raw_s FROM calls WHERE duration_s IS NOT NULL GROUP BY ALL",
         "checked": """SELECT f.site_id, f.floor, f.date, f.total_runtime_s AS summary_s, CAST(coalesce(r.raw_s, 0) AS BIGINT) AS raw_s, CAST(f.total_runtime_s - coalesce(r.raw_s, 0) AS BIGINT) AS delta_s
-            FROM floor_days f LEFT JOIN (SELECT site_id, floor, CAST(ts AS DATE) AS date, sum(duration_s) AS raw_s FROM calls WHERE duration_s IS NOT NULL AND hour(ts) < 12 GROUP BY ALL) r USING (site_id, floor, date)""",
+            FROM (SELECT * REPLACE (total_runtime_s + CASE WHEN day(date) % 7 = 0 THEN 60 ELSE 0 END AS total_runtime_s) FROM floor_days) f
+            LEFT JOIN (SELECT site_id, floor, CAST(ts AS DATE) AS date, sum(duration_s) AS raw_s FROM calls WHERE duration_s IS NOT NULL GROUP BY ALL) r USING (site_id, floor, date)""",
     }
 
 
@@ -298,7 +300,7 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'thermostat_current_temp_updated', site_id, floor, ts, NULL, NULL, setpoint, NULL FROM chg WHERE ct_changed
         UNION ALL SELECT 'thermostat_mode_changed', site_id, floor, ts, NULL, NULL, setpoint, NULL FROM chg WHERE md_changed
         UNION ALL SELECT 'thermostat_setpoint_reached', site_id, floor, ts, NULL, NULL, setpoint, NULL FROM chg WHERE reached)""", **AS),
-    "session_export": sql("SELECT site_id, date_trunc('millisecond', ended_at - to_seconds(duration_s)) AS started_at, date_trunc('millisecond', ended_at) AS ended_at, duration_s, outdoor_temp_f, entity_id FROM furnace_o WHERE duration_s IS NOT NULL"),
+    "session_export": sql("SELECT site_id, ended_at - to_seconds(duration_s) AS started_at, ended_at, duration_s, outdoor_temp_f, entity_id FROM furnace_o WHERE duration_s IS NOT NULL"),
     "entity_lookup": sql("""SELECT entity_id, 'climate' AS kind, floor, count(*) AS n, count(DISTINCT site_id) AS sites FROM climate GROUP BY ALL
         UNION ALL SELECT entity_id, 'furnace', NULL, count(*), count(DISTINCT site_id) FROM furnace_obs GROUP BY ALL
         UNION ALL SELECT 'sensor.outdoor_temperature', 'outdoor', NULL, count(*), count(DISTINCT site_id) FROM ev WHERE event_type = 'view'"""),
@@ -310,8 +312,11 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'floor_daily_summary', site_id, floor, CAST(date + 1 AS TIMESTAMP), total_runtime_s, date FROM floor_days
         UNION ALL SELECT 'furnace_daily_summary', site_id, NULL, CAST(date + 1 AS TIMESTAMP), total_furnace_runtime_s, date FROM fdays
         UNION ALL SELECT 'furnace_short_call_warning', site_id, NULL, ts, duration_s, NULL FROM short
-        UNION ALL SELECT 'observer_silence_warning', site_id, NULL, ts, gap_s, NULL FROM silence)
-        WHERE ts >= TIMESTAMP '2024-01-17 12:00:00' OR date = DATE '2024-01-16'""", **AS),
+        UNION ALL SELECT 'observer_silence_warning', site_id, NULL, ts, gap_s, NULL FROM silence
+        UNION ALL SELECT 'floor_2_long_call_warning', site_id, floor, ts, NULL, NULL FROM long
+        UNION ALL SELECT 'floor_no_response_warning', site_id, floor, ts, NULL, NULL FROM nr
+        UNION ALL SELECT 'floor_runtime_anomaly', site_id, floor, CAST(date + 1 AS TIMESTAMP), runtime_s, NULL FROM anom)
+        WHERE (ts >= TIMESTAMP '2024-01-17 12:00:00' AND ts <= TIMESTAMP '2024-01-20 12:00:00') OR date = DATE '2024-01-16'""", **AS),
     "call_edges": sql("SELECT * FROM call_edges"),
     "floor_calls": sql("SELECT site_id, entity_id, floor, seq, started_at, ended_at, duration_s FROM calls"),
     "furnace_sessions": sql("SELECT site_id, entity_id, seq, started_at, ended_at, duration_s, outdoor_temp_f FROM furnace_o"),
@@ -341,8 +346,8 @@ ORACLE: dict[str, str] = {
         FROM (SELECT site_id, CAST(unnest(generate_series(TIMESTAMP '2024-01-16', max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM floor_days WHERE date BETWEEN DATE '2024-01-16' AND DATE '2024-01-29' GROUP BY site_id) s
         LEFT JOIN floor_days f ON f.site_id = s.site_id AND f.date = s.date GROUP BY s.site_id, s.date"""),
     "floor_trend": sql(f"SELECT site_id, {D}, total_calls, total_runtime_s, avg_duration_s, max_duration_s, outdoor_temp_avg_f FROM floor_days WHERE floor = 'floor_2' AND date BETWEEN DATE '2024-01-16' AND DATE '2024-01-29'"),
-    "duty_cycle": sql("""SELECT site_id, count(*) AS session_count, round(sum(on_s), 3) AS total_on_s, 604799.0::DOUBLE AS window_duration_s, round(sum(on_s) / 604799 * 100, 6) AS duty_cycle_pct, count(*) FILTER (WHERE on_s < duration_s) AS clipped_count
-        FROM (SELECT site_id, duration_s, (epoch_us(least(ended_at, TIMESTAMP '2024-01-16 23:59:59')) - epoch_us(greatest(ended_at - to_seconds(duration_s), TIMESTAMP '2024-01-10'))) / 1000000 AS on_s FROM furnace WHERE duration_s IS NOT NULL) WHERE on_s > 0 GROUP BY site_id"""),
+    "duty_cycle": sql("""SELECT site_id, count(on_s) AS session_count, round(coalesce(sum(on_s), 0.0::DOUBLE), 3) AS total_on_s, 604799.0::DOUBLE AS window_duration_s, round(coalesce(sum(on_s), 0.0::DOUBLE) / 604799 * 100, 6) AS duty_cycle_pct, count(*) FILTER (WHERE on_s < duration_s) AS clipped_count
+        FROM (SELECT DISTINCT site_id FROM ev) LEFT JOIN (SELECT * FROM (SELECT site_id, duration_s, (epoch_us(least(ended_at, TIMESTAMP '2024-01-16 23:59:59')) - epoch_us(greatest(ended_at - to_seconds(duration_s), TIMESTAMP '2024-01-10'))) / 1000000 AS on_s FROM furnace WHERE duration_s IS NOT NULL) WHERE on_s > 0) USING (site_id) GROUP BY site_id"""),
     "temp_correlation": sql(f"SELECT site_id, floor, n, round(r, 6) AS r, {LABEL} AS label FROM (SELECT site_id, floor, count(*) AS n, {r_of('outdoor_temp_avg_f', 'total_runtime_s')} AS r FROM floor_days WHERE outdoor_temp_avg_f IS NOT NULL GROUP BY ALL)"),
     "session_temp_correlation": sql(f"""SELECT * REPLACE (round(r, 6) AS r), {LABEL} AS label FROM (SELECT site_id, count(*) AS total, count(outdoor_temp_f) AS with_temp, count(*) - count(outdoor_temp_f) AS without_temp,
         count(DISTINCT CAST(ended_at AS DATE)) AS days, strftime(min(ended_at), '%Y-%m-%d') AS first_date, strftime(max(ended_at), '%Y-%m-%d') AS last_date,
@@ -378,7 +383,10 @@ ORACLE: dict[str, str] = {
     "late_alerts": sql("SELECT site_id, ts, event_id * 4 + 1 AS seq, sent_at, coalesce((epoch_us(sent_at) - epoch_us(ts)) / 1000000 > 300, false) AS late FROM (SELECT *, lead(ts) OVER (PARTITION BY site_id ORDER BY ts, event_id) AS sent_at FROM ev)", **AS),
     "recent_sessions": sql("SELECT site_id, entity_id, seq, started_at, ended_at, duration_s, outdoor_temp_f, rank FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ts DESC, seq DESC) AS rank FROM furnace_o) WHERE rank <= 8"),
     "recent_warnings": sql("""SELECT * FROM (SELECT site_id, 'Floor 2 long call' AS label, floor, ts, NULL::BIGINT AS duration_s FROM long UNION ALL SELECT site_id, 'Furnace short call', NULL, ts, duration_s FROM short
-        UNION ALL SELECT site_id, 'Observer silence', NULL, ts, NULL FROM silence) WHERE ts >= TIMESTAMP '2024-01-25 00:00:00'""", **AS),
+        UNION ALL SELECT site_id, 'Observer silence', NULL, ts, NULL FROM silence
+        UNION ALL SELECT site_id, 'Floor not responding', floor, ts, NULL FROM nr
+        UNION ALL SELECT site_id, 'Anomaly detected', floor, CAST(date + 1 AS TIMESTAMP), runtime_s FROM anom)
+        WHERE ts BETWEEN TIMESTAMP '2024-01-25 00:00:00' AND TIMESTAMP '2024-01-28 00:00:00'""", **AS),
     "latest_gauges": sql("SELECT site_id, metric, floor, max_by(value, (ts, seq)) AS value, max(ts) AS ts FROM gs GROUP BY ALL"),
     "gauge_series": sql("SELECT * FROM series"),
     "runtime_today": sql(f"SELECT * REPLACE ({D}) FROM rt"),

@@ -20,13 +20,14 @@ from emberline.plans.fleet import Fleet, present
 from emberline.schema import (
     CALL,
     CLIMATE,
-    FLOOR_CALL_ENDED,
     FLOOR_DAILY,
     FURNACE,
     FURNACE_DAILY,
     LONG_CALL,
+    NO_RESPONSE,
     OUTDOOR,
     OVERSHOOT,
+    RUNTIME_ANOMALY,
     SESSION_ENDED,
     SETPOINT_MISS,
     SHORT_CALL,
@@ -185,9 +186,9 @@ def session_export(f: Fleet) -> DataFrame:
     spark = f.events.sparkSession
     path = scratch_path(spark, "sessions")
     sinks.write_csv(sinks.session_export(f.furnace_with_outdoor), path)
-    return spark.read.option("header", True).schema(
-        "site_id bigint, started_at timestamp, ended_at timestamp, duration_s bigint, outdoor_temp_f double, entity_id string"
-    ).csv(path)
+    return sinks.read_csv(
+        spark, path, "site_id bigint, started_at timestamp, ended_at timestamp, duration_s bigint, outdoor_temp_f double, entity_id string"
+    )
 
 
 # --- projection and predicates ----------------------------------------------------------------------------------------
@@ -225,12 +226,14 @@ def context_events(f: Fleet) -> DataFrame:
     midnight = F.date_add("date", 1).cast("timestamp")
     log = sinks.derived_union(
         {
-            FLOOR_CALL_ENDED: f.calls.select(*cols, "duration_s"),
             SESSION_ENDED: f.furnace.select(*cols, "duration_s"),
             FLOOR_DAILY: f.floor_days.select("site_id", "floor", midnight.alias("ts"), "date", F.col("total_runtime_s").alias("duration_s")),
             FURNACE_DAILY: f.furnace_days.select("site_id", midnight.alias("ts"), "date", F.col("total_furnace_runtime_s").alias("duration_s")),
             SHORT_CALL: alarms.short_calls(f.furnace, SCALE["short_call_s"]).select(*cols, "duration_s"),
             SILENCE: alarms.silence_gaps(f.climate, at(AS_OF), SCALE["silence_s"]).select("site_id", "ts", "seq", F.col("gap_s").alias("duration_s")),
+            LONG_CALL: _long_calls(f).select(*cols),
+            NO_RESPONSE: _no_response(f).select(*cols),
+            RUNTIME_ANOMALY: _runtime_anomalies(f),
         }
     )
     rows = context.context_events(log, at(LIVE_AT), hours=72)
@@ -358,6 +361,12 @@ def other_zones_calling(f: Fleet) -> DataFrame:
 # --- roll-ups ---------------------------------------------------------------------------------------------------------
 
 
+def _stored_twice(days: DataFrame, total: str) -> DataFrame:
+    """Summaries as a store holds them after a correction: an older version with another total, then the right one."""
+    older = days.withColumns({total: F.col(total) + 5, "seq": F.lit(0)})
+    return older.unionByName(days.withColumn("seq", F.lit(1)))
+
+
 @query()
 def floor_daily_summary(f: Fleet) -> DataFrame:
     """A1"""
@@ -388,22 +397,20 @@ def day_summary(f: Fleet) -> DataFrame:
 @query(until=AS_OF)
 def monthly_summary(f: Fleet) -> DataFrame:
     """A4"""
-    return rollups.monthly_summary(_furnace_days_with_warnings(f, setpoints=False))
+    return rollups.monthly_summary(_stored_twice(_furnace_days_with_warnings(f, setpoints=False), "total_furnace_runtime_s"))
 
 
 @query()
 def weekly_comparison(f: Fleet) -> DataFrame:
     """A5, A6, P9, T4"""
-    out = comparisons.weekly_comparison(f.furnace_days)
+    out = comparisons.weekly_comparison(_stored_twice(f.furnace_days, "total_furnace_runtime_s"))
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 @query()
 def runtime_trend(f: Fleet) -> DataFrame:
     """A7, J11, T2-style dedupe of repeated summaries."""
-    stored = f.floor_days.withColumn("seq", F.lit(0))
-    repeated = stored.unionByName(stored.withColumn("seq", F.lit(1)))
-    return comparisons.runtime_trend(comparisons.latest_wins(repeated, ["site_id", "floor", "date"]), day("2024-01-29"))
+    return comparisons.runtime_trend(comparisons.stored(_stored_twice(f.floor_days, "total_runtime_s"), ["site_id", "floor", "date"]), day("2024-01-29"))
 
 
 @query()
@@ -415,14 +422,14 @@ def floor_trend(f: Fleet) -> DataFrame:
 @query()
 def duty_cycle(f: Fleet) -> DataFrame:
     """A8, J5"""
-    out = rollups.duty_cycle(f.furnace, "2024-01-10", "2024-01-16")
+    out = rollups.duty_cycle(f.furnace, "2024-01-10", "2024-01-16", sites=f.days)
     return out.withColumns({"total_on_s": F.round("total_on_s", 3), "duty_cycle_pct": F.round("duty_cycle_pct", 6)})
 
 
 @query()
 def temp_correlation(f: Fleet) -> DataFrame:
     """A9, P10"""
-    return comparisons.temp_correlation(f.floor_days).withColumn("r", F.round("r", 6))
+    return comparisons.temp_correlation(_stored_twice(f.floor_days, "total_runtime_s")).withColumn("r", F.round("r", 6))
 
 
 @query()
@@ -453,7 +460,7 @@ def warnings_daily(f: Fleet) -> DataFrame:
 def _live(f: Fleet) -> DataFrame:
     calls = edges.open_sessions(f.observations(CALL), CALL)
     open_now = calls.unionByName(edges.open_sessions(f.observations(FURNACE), FURNACE))
-    return rollups.live_status(f.calls, f.furnace, open_now, at(LIVE_AT))
+    return rollups.live_status(f.calls, f.furnace, open_now, at(LIVE_AT), sites=f.days)
 
 
 @query(until=LIVE_AT)
@@ -462,19 +469,22 @@ def live_status(f: Fleet) -> DataFrame:
     return _live(f)
 
 
+def _stored_totals(f: Fleet) -> DataFrame:
+    """Day totals as stored: an outdated version of each, and a last one that is a minute off on every seventh of the month."""
+    off = F.when(F.dayofmonth("date") % 7 == 0, 60).otherwise(0)
+    return _stored_twice(f.floor_days.withColumn("total_runtime_s", F.col("total_runtime_s") + off), "total_runtime_s")
+
+
 @query()
 def reconcile_daily(f: Fleet) -> DataFrame:
-    """The day totals of sessions up to noon against all sessions."""
-    morning = f.calls.filter(F.hour("ts") < 12)
-    checked = comparisons.reconcile_daily(f.floor_days, morning)
-    return checked.filter("mismatch").drop("mismatch")
+    """Stored day totals, of which some are repeated or wrong, against all calls."""
+    return comparisons.reconcile_daily(_stored_totals(f), f.calls).filter("mismatch").drop("mismatch")
 
 
 @query()
 def reconcile_totals(f: Fleet) -> DataFrame:
     """Days and pairs checked."""
-    morning = f.calls.filter(F.hour("ts") < 12)
-    return comparisons.reconcile_totals(comparisons.reconcile_daily(f.floor_days, morning))
+    return comparisons.reconcile_totals(comparisons.reconcile_daily(_stored_totals(f), f.calls))
 
 
 @query()
@@ -565,6 +575,15 @@ def _long_calls(f: Fleet) -> DataFrame:
     return alarms.long_calls(f.call_edges, f.climate, at(AS_OF), SCALE["long_call_s"], SCALE["floors"])
 
 
+def _no_response(f: Fleet) -> DataFrame:
+    return alarms.floor_no_response(f.call_edges, f.climate, at(AS_OF), SCALE["no_response_s"], SCALE["no_response_default_s"])
+
+
+def _runtime_anomalies(f: Fleet) -> DataFrame:
+    found = rules.floor_runtime_anomaly(f.floor_days)
+    return found.select("site_id", "floor", F.date_add("date", 1).cast("timestamp").alias("ts"), F.col("runtime_s").alias("duration_s"))
+
+
 @query(until=AS_OF)
 def long_call_warnings(f: Fleet) -> DataFrame:
     """L1, J4"""
@@ -586,9 +605,7 @@ def silence_gaps(f: Fleet) -> DataFrame:
 @query(until=AS_OF)
 def floor_no_response(f: Fleet) -> DataFrame:
     """L4, J6"""
-    return alarms.floor_no_response(
-        f.call_edges, f.climate, at(AS_OF), SCALE["no_response_s"], SCALE["no_response_default_s"]
-    )
+    return _no_response(f)
 
 
 @query(until=AS_OF)
@@ -622,6 +639,8 @@ def recent_warnings(f: Fleet) -> DataFrame:
             LONG_CALL: _long_calls(f).select("site_id", "floor", "ts", "seq"),
             SHORT_CALL: alarms.short_calls(f.furnace, SCALE["short_call_s"]).select("site_id", "ts", "seq", "duration_s"),
             SILENCE: alarms.silence_gaps(f.climate, at(AS_OF), SCALE["silence_s"]).select("site_id", "ts", "seq"),
+            NO_RESPONSE: _no_response(f).select("site_id", "floor", "ts", "seq"),
+            RUNTIME_ANOMALY: _runtime_anomalies(f),
         }
     )
     rows = context.recent_warnings(log, at("2024-01-28 00:00:00"), hours=72)

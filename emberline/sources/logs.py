@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberline.functions.scalars import parse_time
+from emberline.functions.scalars import number_of, parse_time
 from emberline.schema import ATTRIBUTES, CLIMATE, ENTITIES, OUTDOOR
 
 STATE_CHANGED = "state_changed"
@@ -149,7 +149,7 @@ def validate_observations(
     has_data = F.col("_data_keys").isNotNull()
     binary, outdoor = entity.startswith("binary_sensor."), entity.isin(*named(OUTDOOR))
     climate = entity.isin(*named(CLIMATE)) & state.isNotNull()
-    numeric = state.isin(*OUTDOOR_EXEMPT) | F.trim(state).try_cast("double").isNotNull()
+    numeric = state.isin(*OUTDOOR_EXEMPT) | number_of(state).isNotNull()
     checks = [
         ("missing_top_level", any_absent("_keys", TOP_LEVEL)),
         ("bad_schema", ~F.coalesce(event_name(F.col("_v.schema")) == event, F.lit(False))),

@@ -34,8 +34,15 @@ def session_export(sessions: DataFrame) -> DataFrame:
     return known.select("site_id", start.alias("started_at"), "ended_at", "duration_s", "outdoor_temp_f", "entity_id")
 
 
+TIMESTAMP_TEXT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    rows.write.mode("overwrite").options(header=True, timestampFormat=TIMESTAMP_TEXT).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.options(header=True, timestampFormat=TIMESTAMP_TEXT).schema(schema).csv(path)
 
 
 def save_baseline(baseline: DataFrame, path: str) -> None:
