@@ -247,8 +247,10 @@ def sql(select: str, until: str | None = None) -> str:
 
 D = "strftime(date, '%Y-%m-%d') AS date"
 DOTS = "CAST(strftime({0}, '%Y-%m-%d') AS VARCHAR)"
-MEASURED = "CASE WHEN d = 9 AND site_id % 2 = 0 THEN 'invalid_json' ELSE concat_ws(',', CASE WHEN d = 1 THEN 'bad_source' END, CASE WHEN d = 3 THEN 'empty_new_state' END, CASE WHEN d IN (3, 5) THEN 'bad_climate_mode' END, CASE WHEN d = 7 THEN 'climate_temperature_not_numeric' END, CASE WHEN d = 7 THEN 'climate_current_temperature_not_numeric' END) END"
-LINES = f"SELECT site_id, seq, {MEASURED} AS errors, d = 9 AND site_id % 2 <> 0 AS unknown_entity FROM (SELECT *, seq % 10 AS d FROM climate)"
+LINES = """SELECT site_id, event_id * 4 + 1 AS seq, CASE event_id % 16 WHEN 1 THEN 'bad_source' WHEN 2 THEN 'invalid_json' WHEN 3 THEN 'empty_new_state,bad_climate_mode'
+    WHEN 4 THEN 'not_an_object' WHEN 5 THEN 'bad_climate_mode' WHEN 6 THEN 'bad_schema' WHEN 7 THEN 'climate_temperature_not_numeric,climate_current_temperature_not_numeric'
+    WHEN 8 THEN 'bad_ts' WHEN 10 THEN 'data_not_object' WHEN 11 THEN 'missing_data_fields' WHEN 12 THEN 'bad_binary_state' WHEN 13 THEN 'bad_outdoor_state'
+    WHEN 14 THEN 'missing_top_level,bad_source' ELSE '' END AS errors, event_id % 16 = 9 AS unknown_entity FROM ev"""
 CHANGE = "SELECT site_id, floor, ts, seq, setpoint, current_temp, hvac_mode, hvac_action FROM chg WHERE {0}"
 GROWTH = (
     "CASE WHEN last_furnace_s <> 0 THEN round((this_furnace_s - last_furnace_s) / last_furnace_s * 100, 6) END AS furnace_pct, "
@@ -301,9 +303,11 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'thermostat_mode_changed', site_id, floor, ts, NULL, NULL, setpoint, NULL FROM chg WHERE md_changed
         UNION ALL SELECT 'thermostat_setpoint_reached', site_id, floor, ts, NULL, NULL, setpoint, NULL FROM chg WHERE reached)""", **AS),
     "session_export": sql("SELECT site_id, ended_at - to_seconds(duration_s) AS started_at, ended_at, duration_s, outdoor_temp_f, entity_id FROM furnace_o WHERE duration_s IS NOT NULL"),
-    "entity_lookup": sql("""SELECT entity_id, 'climate' AS kind, floor, count(*) AS n, count(DISTINCT site_id) AS sites FROM climate GROUP BY ALL
+    "entity_lookup": sql("""SELECT s.source, e.* FROM (
+        SELECT entity_id, 'climate' AS kind, floor, count(*) AS n, count(DISTINCT site_id) AS sites FROM climate WHERE site_id % 7 <> 0 GROUP BY ALL
+        UNION ALL SELECT entity_id, 'call', floor, count(*), count(DISTINCT site_id) FROM call_obs GROUP BY ALL
         UNION ALL SELECT entity_id, 'furnace', NULL, count(*), count(DISTINCT site_id) FROM furnace_obs GROUP BY ALL
-        UNION ALL SELECT 'sensor.outdoor_temperature', 'outdoor', NULL, count(*), count(DISTINCT site_id) FROM ev WHERE event_type = 'view'"""),
+        UNION ALL SELECT 'sensor.outdoor_temperature', 'outdoor', NULL, count(*), count(DISTINCT site_id) FROM ev WHERE event_type = 'view') e, (VALUES ('scheme'), ('table')) s(source)"""),
     "outdoor_readings": sql("SELECT * FROM outdoor"),
     "anomaly_confidence": sql(f"""SELECT *, {SEVERITY} AS severity FROM (SELECT site_id, event_id, z, round(least(1.0, greatest(0.0, (z - 2) / 3)), 6) AS confidence FROM (
         SELECT site_id, event_id, round(abs(value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0), 6) AS z FROM ev WINDOW w AS (PARTITION BY site_id)))"""),

@@ -20,6 +20,7 @@ from emberline.plans.fleet import Fleet, present
 from emberline.schema import (
     CALL,
     CLIMATE,
+    ENTITIES,
     FLOOR_DAILY,
     FURNACE,
     FURNACE_DAILY,
@@ -135,30 +136,30 @@ def flatten_state_changes(f: Fleet) -> DataFrame:
 
 
 def _lines_with_defects(f: Fleet) -> DataFrame:
-    """Log lines of which some carry a defect, chosen by the event's own value."""
-    rows = f.observations(CLIMATE).withColumn("d", F.floor("seq") % 10)
-    lines = rows.select("site_id", "seq", "d", "ts", "entity_id", "old_state", "new_state", "attributes")
-    text = "value"
-    good = lines.select(
-        "site_id", "seq", "d",
-        F.to_json(
-            F.struct(
-                "site_id", "seq", F.lit("observer.state_changed.v1").alias("schema"),
-                F.when(F.col("d") == 1, "other").otherwise(logs.SOURCE).alias("source"),
-                F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("ts"),
-                F.struct(
-                    F.when(F.col("d") == 9, "climate.attic").otherwise(F.col("entity_id")).alias("entity_id"),
-                    F.lit("heat").alias("old_state"),
-                    F.when(F.col("d") == 3, "").when(F.col("d") == 5, "dry").otherwise(F.col("new_state")).alias("new_state"),
-                    F.when(F.col("d") != 7, F.col("attributes")).alias("attributes"),
-                ).alias("data"),
-            )
-        ).alias(text),
-    )
-    # lines of defect 9 with an even site are no JSON
-    broken = (F.col("d") == 9) & (F.col("site_id") % 2 == 0)
-    bad = F.replace(text, F.lit('"ts":'), F.lit('"ts"'))
-    return good.withColumn(text, F.when(broken, bad).otherwise(F.col(text))).drop("d")
+    """Log lines, one per event; all but four of sixteen carry a defect, together every violation there is."""
+    rows = f.observations(CLIMATE).withColumn("d", F.floor(F.col("seq") / 4) % 16)
+    numbers = '"attributes":{"temperature":70,"current_temperature":68.5,"hvac_action":"heating"}'
+    climate = '{"entity_id":"climate.floor_1_thermostat","old_state":"heat","new_state":"%s"%s}'
+    other = '{"entity_id":"%s","old_state":"off","new_state":"%s"}'
+    data = {
+        3: climate % ("", f",{numbers}"),
+        5: climate % ("dry", f",{numbers}"),
+        7: climate % ("heat", ""),
+        9: other % ("climate.attic", "heat"),
+        10: '"x"',
+        11: '{"entity_id":"binary_sensor.furnace_heating","new_state":"on"}',
+        12: other % ("binary_sensor.furnace_heating", "open"),
+        13: other % ("sensor.outdoor_temperature", "5d"),
+        15: other % ("sensor.outdoor_temperature", "unavailable"),
+    }
+    body = F.lit(climate % ("heat", f",{numbers}"))
+    for d, text in data.items():
+        body = F.when(F.col("d") == d, F.lit(text)).otherwise(body)
+    schema = F.when(F.col("d") == 6, "observer.other.v1").otherwise("observer.state_changed.v1")
+    source = F.when(F.col("d") == 14, "").otherwise(F.concat(F.lit('"source":"'), F.when(F.col("d") == 1, "other").otherwise(logs.SOURCE), F.lit('",')))
+    ts = F.when(F.col("d") == 8, "").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"))
+    line = F.format_string('{"site_id":%d,"seq":%d,"schema":"%s",%s"ts"%s"%s","data":%s}', "site_id", "seq", schema, source, F.when(F.col("d") == 2, "").otherwise(":"), ts, body)
+    return rows.select("site_id", "seq", F.when(F.col("d") == 4, "[1, 2]").otherwise(line).alias("value"))
 
 
 @query()
@@ -196,11 +197,13 @@ def session_export(f: Fleet) -> DataFrame:
 
 @query()
 def entity_lookup(f: Fleet) -> DataFrame:
-    """Kind and floor by entity."""
-    rows = f.observations(CLIMATE, FURNACE, OUTDOOR).drop("kind", "floor")
-    return edges.entity_lookup(rows).groupBy("entity_id", "kind", "floor").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("site_id").alias("sites")
-    )
+    """Kind and floor by entity, from the naming scheme and from a dimension table; unknown entities are dropped."""
+    rows = f.observations(CALL, CLIMATE, FURNACE, OUTDOOR)
+    attic = (F.col("kind") == CLIMATE) & (F.col("site_id") % 7 == 0)
+    rows = rows.withColumn("entity_id", F.when(attic, "climate.attic").otherwise(F.col("entity_id"))).drop("kind", "floor")
+    dimension = f.events.sparkSession.createDataFrame([(e, k, floor) for e, (k, floor) in ENTITIES.items()], "entity_id string, kind string, floor string")
+    both = edges.entity_lookup(rows).withColumn("source", F.lit("scheme")).unionByName(edges.entity_lookup(rows, dimension).withColumn("source", F.lit("table")), allowMissingColumns=True)
+    return both.groupBy("source", "entity_id", "kind", "floor").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("site_id").alias("sites"))
 
 
 @query()
