@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from emberline.llm.store import packed, slices, unpacked
 from emberline.llm.words import BYTE_VALUES, LOWER, Words, find_words, mix
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
+SCORED_WORDS = 10_000  # words whose features are held at once
 UNKNOWN = "und"
 HASH_BITS = 16
 GRAMS = (1, 2, 3, 4)
@@ -84,8 +85,11 @@ def emissions(model: Model, data: np.ndarray, words: Words) -> np.ndarray:
     hashes, first, back = np.unique(words.hash, return_index=True, return_inverse=True)
     if not len(hashes):
         return np.zeros((0, len(model.languages)))
-    features, begin = word_features(data, words.start[first], words.end[first])
-    scores = np.add.reduceat(model.weights[features], begin[:-1], axis=0) + model.trust * lexicon_rows(model, hashes)
+    scores = model.trust * lexicon_rows(model, hashes)
+    for low in range(0, len(hashes), SCORED_WORDS):
+        some = first[low : low + SCORED_WORDS]
+        features, begin = word_features(data, words.start[some], words.end[some])
+        scores[low : low + SCORED_WORDS] += np.add.reduceat(model.weights[features], begin[:-1], axis=0)
     return scores[back]
 
 
@@ -211,11 +215,19 @@ def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = packed(docs)
 
+    def answer(rows: pa.RecordBatch, langs: list, scores: list, parts: list) -> pa.RecordBatch:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("lang", pa.string())]))
+        new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(parts, kind)]
+        return pa.RecordBatch.from_arrays([*rows.columns, *new], [*rows.schema.names, "_lang", "_score", "_parts"])
+
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            langs, scores, parts = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows, [[] for _ in range(batch.num_rows)]
-            for low, high, data, offsets in slices(batch, "text", SLICE_BYTES) if model else ():
+            for low, high, data, offsets in slices(batch, "text", SLICE_BYTES):
+                langs, scores, parts = [UNKNOWN] * (high - low), [0.0] * (high - low), [[] for _ in range(high - low)]
+                if model is None:
+                    yield answer(batch.slice(low, high - low), langs, scores, parts)
+                    continue
                 words = find_words(data, offsets, BETWEEN, lower=True)
                 marginals, _ = forward_backward(emissions(model, data, words), words.first, model.moves)
                 counts = words.counts
@@ -232,14 +244,12 @@ def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
                 ascii_letters = np.add.reduceat(np.concatenate([~BETWEEN[data] & (data < 128), [False]]).astype(np.int64), offsets[:-1]) if len(data) else np.zeros(high - low)
                 for i in some.tolist():
                     if ascii_letters[i] or has_letter(data[offsets[i] : offsets[i + 1]].tobytes()):
-                        langs[low + i] = model.languages[best[i]]
-                        scores[low + i] = min(1.0, float(sums[i, best[i]] / total[i]))
+                        langs[i] = model.languages[best[i]]
+                        scores[i] = min(1.0, float(sums[i, best[i]] / total[i]))
                 for a, b, i in zip(begins.tolist(), ends.tolist(), owner.tolist(), strict=True):
-                    if langs[low + i] != UNKNOWN:
-                        parts[low + i].append({"start": a - int(words.first[i]), "length": b - a, "lang": model.languages[label_of[a]]})
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("lang", pa.string())]))
-            new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(parts, kind)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "_lang", "_score", "_parts"])
+                    if langs[i] != UNKNOWN:
+                        parts[i].append({"start": a - int(words.first[i]), "length": b - a, "lang": model.languages[label_of[a]]})
+                yield answer(batch.slice(low, high - low), langs, scores, parts)
 
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(label, shape + ", _lang string, _score double, _parts array<struct<start:int,length:int,lang:string>>")
