@@ -9,7 +9,7 @@ similar sets share one, whatever the rest.
 Equal sets are one vertex from the start, so copies are never paired. Sets that share a signature meet in a bucket of bounded
 size. A bucket pairs its members with its least one; after these pairs are verified on the whole sets and merged into components, only
 members of *different* components in a bucket are compared, by parity sketches whose distance never exceeds the symmetric
-difference, and only what that exact bound leaves is verified. So a group of thousands of near copies costs a star, not all pairs,
+difference, and only what that exact bound leaves is verified: first the nearest pair of any two components, then all that is left. So a group of thousands of near copies costs a star, not all pairs,
 and no link between components is lost.
 
 Defined results: documents without words or text have an empty set and link with nothing; equal sets link; repeated rows and
@@ -32,11 +32,14 @@ from pyspark.sql import functions as F
 
 from emberline.llm.components import connected
 from emberline.llm.store import packed, slices, unpacked, written
-from emberline.llm.words import WHITE, find_words, mix, prefix, shingle_sets
+from emberline.llm.words import WHITE, find_words, mix, prefix, shingle_sets, stretches
 
 SLICE_BYTES = 2 << 20
 BUCKET_ENTRIES = 1_000_000
-COMPARED_ROWS = 512
+BROADCAST_IDS = 250_000  # a few MB; beyond it the texts are shuffled
+LEAST_BUCKETS = 64  # so that small inputs use many tasks too
+COMPARED_ROWS = 512  # rows of a group compared with all others at once, fewer in a large group
+COMPARED_CELLS = 1 << 20
 PARTS = 3  # second-level parts of a partition; one of them may differ
 SEED = np.uint64(0x2545F4914F6CDD1D)
 
@@ -62,7 +65,7 @@ class Bands:
         return self.difference(self.ends[band] + self.ends[band + 1])
 
     def sketch_bits(self, n: int) -> int:
-        return 1 << max(6, (4 * self.bound(self.band(n)) - 1).bit_length())
+        return 1 << max(6, (5 * self.bound(self.band(n)) - 1).bit_length())
 
     def signature_count(self, n: int) -> int:
         return sum(signature_number(self.bound(b)) for b in (self.band(n) - 1, self.band(n)) if b > 0)
@@ -78,9 +81,10 @@ def kept_parts() -> np.ndarray:
     return np.array(list(combinations(range(PARTS), PARTS - 1)))
 
 
-def signatures(members: np.ndarray, mixed: np.ndarray, bands: Bands) -> np.ndarray:
-    """All signatures of a set, given as sorted hashes and the prefix sums of the mixed hashes."""
-    out = []
+def signatures(members: np.ndarray, mixed: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures of a set, given as sorted hashes and the prefix sums of the mixed hashes, and which of them are weak: their
+    parts hold no member at all, as those of many unlike sets."""
+    out, weak = [], []
     band = bands.band(len(members))
     for b in (band - 1, band):
         k = bands.bound(b) if b > 0 else 0
@@ -93,7 +97,8 @@ def signatures(members: np.ndarray, mixed: np.ndarray, bands: Bands) -> np.ndarr
         subsets = kept_parts()
         total = sums[:, subsets].sum(axis=2, dtype=np.uint64) + np.arange(len(subsets), dtype=np.uint64) * SEED
         out.append(mix(total.ravel() + np.array([b], np.uint64) * np.uint64(0xD1B54A32D192ED03)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        weak.append((np.diff(cuts).reshape(-1, PARTS)[:, subsets].sum(axis=2) == 0).ravel())
+    return (np.concatenate(out), np.concatenate(weak)) if out else (np.zeros(0, np.uint64), np.zeros(0, bool))
 
 
 def vertex(members: np.ndarray, mixed: np.ndarray) -> int:
@@ -107,24 +112,33 @@ def parity_sketch(members: np.ndarray, bits: int) -> bytes:
 
 
 def document_sets(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """``doc_id, _row, v, n, sketch`` per document: vertex (null for the empty set), set size, parity sketch."""
+    """``doc_id, v, n, sketch, weak`` per document: vertex (null for the empty set), set size, parity sketch, weak signatures."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, n, sketches = [], [], []
+            v, n, sketches, weak = [], [], [], []
             for _, _, data, offsets in slices(batch, "text", SLICE_BYTES):
                 for members in shingle_sets(find_words(data, offsets, WHITE, lower=True), size):
                     n.append(len(members))
-                    v.append(vertex(members, prefix(mix(members))) if len(members) else None)
-                    sketches.append(parity_sketch(members, bands.sketch_bits(len(members))) if len(members) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(v, pa.int64()), pa.array(n, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "v", "n", "sketch"])
+                    if not len(members):
+                        v.append(None)
+                        sketches.append(None)
+                        weak.append(None)
+                        continue
+                    mixed = prefix(mix(members))
+                    sigs, empty = signatures(members, mixed, bands)
+                    v.append(vertex(members, mixed))
+                    sketches.append(parity_sketch(members, bands.sketch_bits(len(members))))
+                    weak.append(sigs[empty].view(np.int64).tolist())
+            columns = [batch.column("doc_id"), pa.array(v, pa.int64()), pa.array(n, pa.int64()), pa.array(sketches, pa.binary()), pa.array(weak, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "v", "n", "sketch", "weak"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(build, f"doc_id {kind}, v long, n long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(build, f"doc_id {kind}, v long, n long, sketch binary, weak array<long>")
 
 
 def signature_blobs(docs: DataFrame, size: int, bands: Bands, buckets: int) -> DataFrame:
-    """The signatures of each slice by bucket: ``bucket, vs, counts, sigs``, with each vertex once and its signatures after one another."""
+    """The signatures of each slice that are not weak, by bucket: ``bucket, vs, counts, sigs``, with each vertex once and its signatures after one another."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +152,8 @@ def signature_blobs(docs: DataFrame, size: int, bands: Bands, buckets: int) -> D
                     if v not in seen:
                         seen.add(v)
                         vs.append(v)
-                        all_sigs.append(signatures(members, mixed, bands))
+                        found, empty = signatures(members, mixed, bands)
+                        all_sigs.append(found[~empty])
                 sigs = np.concatenate(all_sigs) if all_sigs else np.zeros(0, np.uint64)
                 owner = np.repeat(np.arange(len(vs)), [len(s) for s in all_sigs]) if vs else np.zeros(0, np.int64)
                 bucket = (sigs % np.uint64(buckets)).astype(np.int64)
@@ -146,7 +161,7 @@ def signature_blobs(docs: DataFrame, size: int, bands: Bands, buckets: int) -> D
                 there, begin = np.unique(bucket[order], return_index=True)
                 short, names = (sigs >> np.uint64(32)).astype("<u4"), np.array(vs, "<i8")
                 columns: tuple[list, list, list] = ([], [], [])
-                for a, b in zip(begin, np.append(begin[1:], len(order)), strict=True):
+                for a, b in stretches(begin, len(order)):
                     mine, counts = np.unique(owner[order[a:b]], return_counts=True)
                     columns[0].append(names[mine].tobytes())
                     columns[1].append(counts.astype("<u4").tobytes())
@@ -220,11 +235,72 @@ def close_pairs(pairs: DataFrame, facts: DataFrame, bands: Bands) -> DataFrame:
     return both.mapInArrow(judge, "a long, b long")
 
 
-def bucket_pairs(bands: Bands):
-    """Of a bucket, the pairs of different components that sizes and sketches do not exclude."""
+def compared(sketches: list[bytes], sizes: np.ndarray, bands: Bands, comps: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs ``i < j`` of a group (of different components, if given) that sizes and sketches do not exclude, with their sketch
+    distances. Rows are compared in blocks, so memory is bounded."""
+    raw = [np.frombuffer(s, np.uint8) for s in sketches]
+    length, n = min(map(len, raw)), len(raw)
+    bits = np.stack([folded(x, length) for x in raw]).view(np.uint64)
+    step = max(8, min(COMPARED_ROWS, COMPARED_CELLS // n))
+    for low in range(0, n, step):
+        rows = slice(low, min(low + step, n))
+        limit = (bands.q - bands.p) * (sizes[rows, None] + sizes[None, :]) // (bands.q + bands.p)
+        near = (np.abs(sizes[rows, None] - sizes[None, :]) <= limit) & (np.arange(low, rows.stop)[:, None] < np.arange(n)[None, :])
+        if comps is not None:
+            near &= comps[rows, None] != comps[None, :]
+        i, j = np.nonzero(near)
+        for cut in range(0, len(i), 1 << 16):
+            x, y = i[cut : cut + (1 << 16)], j[cut : cut + (1 << 16)]
+            distance = np.bitwise_count(bits[low + x] ^ bits[y]).sum(axis=1)
+            ok = distance <= limit[x, y]
+            yield low + x[ok], y[ok], distance[ok].astype(np.int64)
+
+
+def weak_groups(bands: Bands):
+    """The groups of weak signatures, cut down to members for which sizes and sketches leave a partner."""
+
+    def live(group: pa.Table) -> pa.Table:
+        sig, v, n = (group.column(c).to_numpy() for c in ("sig", "v", "n"))
+        sketches, order = group.column("sketch").to_pylist(), np.lexsort((v, sig))
+        begin = np.flatnonzero(np.concatenate([[True], sig[order][1:] != sig[order][:-1]]))
+        members, sizes = [], []
+        for a, b in stretches(begin, len(order)):
+            some = order[a:b]
+            if len(some) > 1:
+                kept = np.zeros(len(some), bool)
+                for i, j, _ in compared([sketches[k] for k in some], n[some], bands):
+                    kept[i] = kept[j] = True
+                if kept.any():
+                    members.append(v[some[kept]])
+                    sizes.append(int(kept.sum()))
+        packed_members = np.concatenate(members).astype("<i8").tobytes() if members else b""
+        return pa.table({"bucket": group.column("bucket").slice(0, 1), "members": pa.array([packed_members], pa.binary()), "sizes": pa.array([np.array(sizes, "<u4").tobytes()], pa.binary())})
+
+    return live
+
+
+def unresolved(members: pa.Table, comps: pa.Table) -> pa.Table:
+    """The groups of a bucket whose members are in several components."""
+    if not members.num_rows or not comps.num_rows:
+        return members.slice(0, 0)
+    known = comps.column("v").to_numpy()
+    order = np.argsort(known)
+    v = np.frombuffer(members.column("members")[0].as_py(), "<i8")
+    sizes = np.frombuffer(members.column("sizes")[0].as_py(), "<u4").astype(np.int64)
+    comp, first = comps.column("comp").to_numpy()[order][np.searchsorted(known[order], v)], np.cumsum(sizes) - sizes
+    many = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first) if len(first) else np.zeros(0, bool)
+    if not many.any():
+        return members.slice(0, 0)
+    kept = pa.array([v[np.repeat(many, sizes)].tobytes()], pa.binary()), pa.array([sizes[many].astype("<u4").tobytes()], pa.binary())
+    return pa.table({"bucket": members.column("bucket"), "members": kept[0], "sizes": kept[1]})
+
+
+def bucket_pairs(bands: Bands, nearest: bool):
+    """Of a bucket, the pairs of different components that sizes and sketches do not exclude; with ``nearest`` only the one with
+    the least sketch distance of any two components."""
 
     def pair(members: pa.Table, facts: pa.Table) -> pa.Table:
-        out: list[np.ndarray] = []
+        out: list[np.ndarray] = []  # a, b, and the two components and the distance
         if members.num_rows and facts.num_rows:
             known = facts.column("v").to_numpy()
             order = np.argsort(known)
@@ -233,34 +309,36 @@ def bucket_pairs(bands: Bands):
             v = np.frombuffer(members.column("members")[0].as_py(), "<i8")
             at = np.searchsorted(known[order], v)
             sizes = np.frombuffer(members.column("sizes")[0].as_py(), "<u4").astype(np.int64)
-            first = np.cumsum(sizes) - sizes
-            mixed = np.minimum.reduceat(comp[at], first) != np.maximum.reduceat(comp[at], first) if len(first) else np.zeros(0, bool)
             done = set()
-            for begin, n in zip(first[mixed].tolist(), sizes[mixed].tolist(), strict=True):
+            for begin, n in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
                 group = at[begin : begin + n]
                 if (key := group.tobytes()) in done:
                     continue
                 done.add(key)
-                raw = [np.frombuffer(sketches[order[i]], np.uint8) for i in group]
-                length = min(map(len, raw))
-                bits = np.stack([folded(x, length) for x in raw]).view(np.uint64)
-                for low in range(0, n, COMPARED_ROWS):
-                    rows = slice(low, min(low + COMPARED_ROWS, n))
-                    limit = (bands.q - bands.p) * (size[group[rows], None] + size[None, group]) // (bands.q + bands.p)
-                    near = (comp[group[rows], None] != comp[None, group]) & (np.abs(size[group[rows], None] - size[None, group]) <= limit)
-                    near &= np.arange(low, rows.stop)[:, None] < np.arange(n)[None, :]
-                    i, j = np.nonzero(near)
-                    for cut in range(0, len(i), 1 << 16):
-                        x, y = i[cut : cut + (1 << 16)], j[cut : cut + (1 << 16)]
-                        distance = np.bitwise_count(bits[low + x] ^ bits[y]).sum(axis=1)
-                        ok = distance <= limit[x, y]
-                        out.append(np.stack([v[begin + low + x[ok]], v[begin + y[ok]]], axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+                for i, j, distance in compared([sketches[order[k]] for k in group], size[group], bands, comp[group]):
+                    ends = np.sort(np.stack([comp[group[i]], comp[group[j]]], axis=1), axis=1)
+                    out.append(np.column_stack([v[begin + i], v[begin + j], ends, distance]))
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 5), np.int64)
+        if nearest and len(pairs):
+            pairs = pairs[np.lexsort((pairs[:, 4], pairs[:, 3], pairs[:, 2]))]
+            pairs = pairs[np.concatenate([[True], (pairs[1:, 2:4] != pairs[:-1, 2:4]).any(axis=1)])]
         return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
 
     return pair
 
 
+def bucket_members(groups: DataFrame) -> DataFrame:
+    """``bucket, v``: each member of a bucket's groups once."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, raw in zip(batch.column("bucket").to_pylist(), batch.column("members").to_pylist(), strict=True):
+                v = np.unique(np.frombuffer(raw, "<i8"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), bucket)), pa.array(v)], ["bucket", "v"])
+
+    return groups.select("bucket", "members").mapInArrow(members, "bucket long, v long")
+
+
 def candidate_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``v, members``: the sets of the representatives in ``wanted`` (``doc_id``)."""
 
@@ -272,7 +350,8 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     [pa.array([vertex(s, prefix(mix(s))) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["v", "members"]
                 )
 
-    near = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["_id"]), "left_semi")
+    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted.hint("shuffle_hash")
+    near = docs.select("doc_id", "text").join(ids, docs["doc_id"].eqNullSafe(wanted["_id"]), "left_semi")
     return near.select("text").mapInArrow(build, "v long, members binary")
 
 
@@ -311,34 +390,35 @@ def classes(docs: DataFrame, size: int, similarity: tuple[int, int], every_link:
     """Sets per document, components of vertices, links between vertices (all of them if ``every_link``)."""
     spark, bands = docs.sparkSession, Bands(*similarity)
     sets = written(document_sets(docs, size, bands), "sets")
-    facts = written(sets.filter("v is not null").groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "facts")
+    facts = written(sets.filter("v is not null").groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("weak").alias("weak")), "facts")
     # every size is known, so the number of signatures is too: 0.1 to 1 for a shingle
     per_size = facts.groupBy("n").count().withColumn("sigs", F.col("count") * F.col("n")).agg(F.sum("sigs")).first()[0] or 0
     rate = 3.2 * (bands.q - bands.p) / (bands.q + bands.p) * PARTS
-    buckets = max(1, math.ceil(per_size * rate / BUCKET_ENTRIES))
-    blobs = signature_blobs(docs, size, bands, buckets)
-    groups = written(blobs.groupBy("bucket").applyInArrow(shared_signatures, "bucket long, members binary, sizes binary"), "groups")
-
-    def bucket_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, members in zip(batch.column("bucket").to_pylist(), batch.column("members").to_pylist(), strict=True):
-                v = np.unique(np.frombuffer(members, "<i8"))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), bucket)), pa.array(v)], ["bucket", "v"])
-
-    members = groups.select("bucket", "members").mapInArrow(bucket_members, "bucket long, v long")
-    wanted = members.select("v").distinct().join(facts.select("v", "rep"), "v").select(F.col("rep").alias("_id")).distinct()
+    buckets = max(LEAST_BUCKETS, math.ceil(per_size * rate / BUCKET_ENTRIES))
+    shape = "bucket long, members binary, sizes binary"
+    strong = signature_blobs(docs, size, bands, buckets).groupBy("bucket").applyInArrow(shared_signatures, shape)
+    # weak signatures bring their sketches along, so that sets with nothing in common do not become candidates
+    entries = facts.select("v", "n", "sketch", F.explode("weak").alias("sig")).withColumn("bucket", -1 - F.pmod("sig", F.lit(buckets)))
+    weak = entries.groupBy("bucket").applyInArrow(weak_groups(bands), shape)
+    groups = written(strong.union(weak).filter(F.octet_length("members") > 0), "groups")
+    wanted = written(bucket_members(groups).select("v").distinct().join(facts.select("v", "rep"), "v").select(F.col("rep").alias("_id")).distinct(), "wanted")
     held = written(candidate_sets(docs, wanted, size), "members")
     no_links = spark.createDataFrame([], "a long, b long")
     links = no_links if every_link else written(verified(close_pairs(star_pairs(groups), facts, bands), held, bands), "links")
     roots = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    labelled = facts.join(roots.select(F.col("node").alias("v"), "root"), "v", "left").select("v", "n", "sketch", F.coalesce("root", "v").alias("comp"))
-    known = members.join(labelled, "v").select("bucket", "v", "n", "comp", "sketch")
-    rest = groups.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(bucket_pairs(bands), "a long, b long").distinct()
-    more = written(verified(rest, held, bands), "links")
-    edges = more.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    if not more.isEmpty():
-        roots = connected(edges.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-    return sets, roots, links.union(more)
+    # the nearest pair of any two components first, which merges most; then every pair that is left between components
+    for nearest in (False,) if every_link else (True, False):
+        labelled = facts.join(roots.select(F.col("node").alias("v"), "root"), "v", "left").select("v", "n", "sketch", F.coalesce("root", "v").alias("comp"))
+        comps = bucket_members(groups).join(labelled.select("v", "comp"), "v")
+        groups = written(groups.groupBy("bucket").cogroup(comps.groupBy("bucket")).applyInArrow(unresolved, shape), "groups")
+        known = bucket_members(groups).join(labelled, "v").select("bucket", "v", "n", "comp", "sketch")
+        rest = groups.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(bucket_pairs(bands, nearest), "a long, b long").distinct()
+        more = written(verified(rest, held, bands), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            edges = more.select(F.col("a").alias("u"), F.col("b").alias("v"))
+            roots = connected(edges.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    return sets, roots, links
 
 
 def component_ids(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
