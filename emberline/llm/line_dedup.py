@@ -17,7 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.store import packed, unpacked
+from emberline.llm.store import packed, unpacked, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 RUNS = "array<struct<start:int,length:int>>"
@@ -60,7 +60,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     A key in at least ``min_docs`` documents loses all its lines, or with ``keep_first`` all but the first in order of
     ``doc_id`` and position. ``kept`` lists the runs of kept lines. Documents without a row keep everything.
     """
-    runs = occurrences(docs, min_chars).repartitionByRange("key", "doc_id", "pos").sortWithinPartitions("key", "doc_id", "pos")
+    # written first: the range partitioning samples its input, and both uses below read it again
+    runs = written(occurrences(docs, min_chars), "lines").repartitionByRange("key", "doc_id", "pos").sortWithinPartitions("key", "doc_id", "pos")
     repeated = (
         runs.groupBy("key")
         .agg(F.sum(F.col("fresh").cast("long")).alias("_docs"), F.min(F.struct("doc_id", "_text", "pos")).alias("_first"))
