@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from emberline.llm.store import packed, slices, unpacked
 from emberline.llm.words import BYTE_VALUES, LOWER, Words, find_words, mix
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 SCORED_WORDS = 10_000  # words whose features are held at once
 UNKNOWN = "und"
 HASH_BITS = 16
@@ -134,7 +134,13 @@ def fit(rows: list[tuple[str, str]], turns: int = 2, seed: int = 7, batch_words:
     words = find_words(data, offsets, BETWEEN, lower=True)
     label = np.repeat(np.array([languages.index(lang) for _, lang in rows]), words.counts)
     hashes, where, kind = np.unique(words.hash, return_index=True, return_inverse=True)
-    features, begin = word_features(data, words.start[where], words.end[where]) if len(hashes) else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+    parts, ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for low in range(0, len(hashes), SCORED_WORDS):
+        some = where[low : low + SCORED_WORDS]
+        block, inner = word_features(data, words.start[some], words.end[some])
+        parts.append(block)
+        ends.append(inner[1:] + ends[-1][-1])
+    features, begin = np.concatenate(parts), np.concatenate(ends)
     counts = np.stack([np.bincount(kind[label == i], minlength=len(hashes)) for i in range(len(languages))], axis=1) if len(hashes) else np.zeros((0, len(languages)))
     often = counts.sum(axis=1) >= MIN_LEXICON
     share = np.log((counts + 0.5) / (counts.sum(axis=0) + 1))
@@ -201,7 +207,7 @@ def fitting_rows(docs: DataFrame, sample_rows: int) -> list[tuple[str, str]]:
     return [(r["text"], r["lang"]) for r in likely.orderBy("_place", "text", "lang").limit(sample_rows).collect()]
 
 
-def train(docs: DataFrame, sample_rows: int = 1500) -> Model | None:
+def train(docs: DataFrame, sample_rows: int = 1000) -> Model | None:
     """A model from ``text`` and ``lang`` of the given documents."""
     return fit(fitting_rows(docs, sample_rows))
 
