@@ -4,7 +4,9 @@ Heuristic labellers vote good, bad or nothing on every document. Votes are count
 ``3 ** labellers`` patterns, summed per task), and expectation-maximisation on these counts estimates how often each labeller
 is right for good and for bad documents, and how many are good. The posterior of each document's pattern is its weak label.
 A logistic regression over hashed words and word pairs, with the labellers' measures as further features, is fitted to
-the posteriors of at most ``sample_rows`` documents (a documented bound) and scores every document.
+the posteriors of at most ``sample_rows`` distinct texts with words (a documented bound) and scores every document. A text is drawn
+with a chance that grows with the number of its copies and has a weight, so that the sample stands for all rows and a group of copies has
+one place in it.
 
 Defined results: a null text counts as empty, gets no vote and the score of the intercept; with no documents or a single
 pattern the prior decides; repeated documents get equal results; an empty table gives none; other columns pass through.
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.store import packed, slices
+from emberline.llm.store import distinct_texts, packed, slices, text_hash
 from emberline.llm.words import WHITE, WORD_BASE, Words, find_words, mix
 
 SLICE_BYTES = 2 << 20
@@ -130,15 +132,15 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total, -700, 700)))
 
 
-def fit_scorer(values: np.ndarray, words: Words, target: np.ndarray, turns: int = 150, rate: float = 0.2) -> Scorer:
-    """Logistic regression on the posteriors by full-batch adaptive steps."""
+def fit_scorer(values: np.ndarray, words: Words, target: np.ndarray, weight: np.ndarray, turns: int = 150, rate: float = 0.2) -> Scorer:
+    """Logistic regression on the posteriors by full-batch adaptive steps; each text counts by its weight."""
     feature, doc = hashed_features(words)
-    n = max(len(values), 1)
-    share = 1.0 / np.maximum(np.bincount(doc, minlength=n), 1)
+    part = weight / max(weight.sum(), 1e-300)
+    share = 1.0 / np.maximum(np.bincount(doc, minlength=max(len(values), 1)), 1)
     model, spent = Scorer(np.zeros(1 << HASH_BITS), np.zeros(values.shape[1]), 0.0), np.full(1 << HASH_BITS, 1e-12)
     spent_d, spent_b = np.full(values.shape[1], 1e-12), 1e-12
     for _ in range(turns if len(values) else 0):
-        miss = (model.score(values, words) - target) / n
+        miss = (model.score(values, words) - target) * part
         step = np.bincount(feature, (miss * share)[doc], 1 << HASH_BITS) + 1e-7 * model.weights
         spent += step**2
         model.weights -= rate * step / np.sqrt(spent)
@@ -172,15 +174,31 @@ def label_model(docs: DataFrame) -> LabelModel:
     return fit_labels(np.array([r["pattern"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.float64))
 
 
+def fitting_texts(docs: DataFrame, sample_rows: int) -> list[tuple[str, float]]:
+    """At most ``sample_rows`` distinct texts with words, and how many documents each stands for.
+
+    Priority sampling: the texts with the least ``u / copies`` for a ``u`` in (0, 1] that the text's hash gives. With ``t`` as the inverse of the next
+    one's, each stands for ``max(copies, t)`` documents: frequent texts are surely drawn and count as often as they occur.
+    """
+    some = docs.select("text").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    counted = some.groupBy(text_hash().alias("_hash")).agg(F.count(F.lit(1)).alias("n"))
+    place = (F.shiftrightunsigned("_hash", 11) + 1) / F.lit(float(1 << 53)) / F.col("n")
+    first = counted.withColumn("place", place).orderBy("place", "_hash").limit(sample_rows + 1).collect()
+    stands = 1 / first[sample_rows]["place"] if len(first) > sample_rows else 0.0
+    weights = {r["_hash"]: max(float(r["n"]), stands) for r in first[:sample_rows]}
+    return sorted((r["text"], weights[r["_hash"]]) for r in distinct_texts(some, list(weights)).collect()) if weights else []
+
+
 def train(docs: DataFrame, sample_rows: int = 2000) -> tuple[LabelModel, Scorer]:
     labels = label_model(docs)
-    total = docs.select("doc_id").count()
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    some = docs.select("text", place.alias("_place")).filter(F.col("_place") <= int(min(1.0, 1.5 * sample_rows / max(total, 1)) * (1 << 30)))
-    raw = [(r["text"] or "").encode() for r in some.orderBy("_place", "text").limit(sample_rows).collect()]
+    texts = fitting_texts(docs, sample_rows)
+    raw = [text.encode() for text, _ in texts]
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
     words, values, vote = text_facts(np.frombuffer(b"".join(raw), np.uint8), offsets)
-    return labels, fit_scorer(values, words, labels.posterior(vote))
+    scorer = fit_scorer(values, words, labels.posterior(vote), np.array([w for _, w in texts], np.float64))
+    if not texts:
+        scorer.bias = float(np.log(labels.prior) - np.log1p(-labels.prior))
+    return labels, scorer
 
 
 def with_quality(docs: DataFrame, models: tuple[LabelModel, Scorer]) -> DataFrame:

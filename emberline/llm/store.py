@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.sources.scratch import scratch_path
@@ -32,6 +32,15 @@ def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in columns])
 
 
+def text_hash() -> Column:
+    return F.xxhash64("text")
+
+
+def distinct_texts(docs: DataFrame, hashes: list[int]) -> DataFrame:
+    """``_hash, text``: each distinct text with one of a bounded number of hashes, once."""
+    return docs.select(text_hash().alias("_hash"), "text").filter(F.col("_hash").isin(hashes)).distinct()
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int):
     """Cut a batch into runs of rows with about ``limit`` bytes of ``column`` each; a longer value stands alone.
 

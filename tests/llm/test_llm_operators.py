@@ -362,6 +362,21 @@ def test_quality_odd(odd, empty):
     assert quality.with_quality(empty, quality.train(empty)).count() == 0
 
 
+def test_quality_sample_is_distinct_texts_with_words(spark):
+    rng = random.Random(3)
+    fair = [" ".join(rng.choices(["river", "stone", "garden", "letter", "window", "morning"], k=30)) for _ in range(60)]
+    junk = [" ".join(rng.choices(["$$$", "BUY!!", "<<NOW>>", "***", "{}#@"], k=30)) for _ in range(60)]
+    copies = {t: 300 if i == 0 else 1 for i, t in enumerate(fair + junk)}
+    rows = [(t,) for t, n in copies.items() for _ in range(n)] + [(None,)] * 400 + [("",), (" \n\t",)] * 50
+    docs = spark.createDataFrame([(i, t) for i, (t,) in enumerate(rows)], "doc_id long, text string").repartition(5)
+    drawn = quality.fitting_texts(docs, 40)
+    assert len(drawn) == len(dict(drawn)) == 40 and set(dict(drawn)) <= set(copies)
+    assert dict(drawn)[fair[0]] == 300 and 60 < sum(dict(drawn).values()) - 300 < 240  # stands for the 119 others
+    assert dict(quality.fitting_texts(docs, 500)) == copies
+    scores = {r["text"]: r["_quality"] for r in quality.with_quality(docs, quality.train(docs, 40)).collect()}
+    assert min(scores[t] for t in fair) > max(scores[t] for t in junk)
+
+
 # MPEG audio
 
 
