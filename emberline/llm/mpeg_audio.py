@@ -10,7 +10,8 @@ seek table, then MPEG-1 layer III frames at 48 kHz, mono, protected, whose side
 payload as ancillary data. All frames but the last have the largest size; the last has the smallest that holds the rest.
 
 Defined results: a null text is empty; a payload is padded with blanks to a positive multiple of the unit; equal texts give equal
-bytes; a stream without frames has no duration and no offsets; damaged frames are counted and skipped; an empty table gives none.
+bytes; a stream without frames has no duration and no offsets; damaged frames are counted and skipped, but a stored payload that is no
+longer whole is an error; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -110,15 +111,16 @@ def read_id3(data: bytes) -> tuple[int, dict[str, str]]:
     return min(at, len(data)), tags
 
 
-def end_of_frames(data: bytes, begin: int) -> int:
-    """Where ID3v1 and APE tags at the end begin."""
-    end = len(data)
-    if end - begin >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-    if end - begin >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
-        size, flags = struct.unpack("<I4xI", data[end - 20 : end - 8])
-        end = max(begin, end - size - (32 if flags & 0x80000000 else 0))
-    return end
+def possible_ends(data: bytes, begin: int) -> list[int]:
+    """Where the frames may end: at the end, or where ID3v1 and APE tags at the end would begin. A frame's body may look like such a tag."""
+    ends = [len(data)]
+    if len(data) - begin >= 128 and data[-128:-125] == b"TAG":
+        ends.append(len(data) - 128)
+    for end in list(ends):
+        if end - begin >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
+            size, flags = struct.unpack("<I4xI", data[end - 20 : end - 8])
+            ends.append(max(begin, end - size - (32 if flags & 0x80000000 else 0)))
+    return sorted(set(ends))
 
 
 @dataclass
@@ -180,22 +182,23 @@ def read_table(frame: bytes, header: Header) -> dict | None:
 
 
 def parse(data: bytes) -> Stream:
-    """All facts of a stream of MPEG audio."""
-    at, tags = read_id3(data)
-    out, end, same, synced = Stream(tags=tags), end_of_frames(data, at), None, False
+    """All facts of a stream of MPEG audio. Tags at the end are told from a frame's body by where the last complete frame ends."""
+    begin, tags = read_id3(data)
+    out, ends, same, synced = Stream(tags=tags), possible_ends(data, begin), None, False
+    at, end, last, framed = begin, len(data), begin, 0
     while at + 4 <= end:
         header = read_header(data[at : at + 4])
-        good = header is not None and (same is None or header.same == same) and at + header.size <= end
-        if good and not synced:
-            after = at + header.size
+        after = at + header.size if header is not None else end
+        good = header is not None and (same is None or header.same == same) and after <= end
+        if good and after not in ends and (not synced or any(at < e < after for e in ends)):
             following = read_header(data[after : after + 4])
-            good = after == end or (following is not None and following.same == header.same)
+            good = following is not None and following.same == header.same
         if not good:
+            if synced and at in ends:
+                break
             synced = False
             nxt = data.find(b"\xff", at + 1, end)
-            nxt = end if nxt < 0 else nxt
-            out.skipped_bytes += nxt - at
-            at = nxt
+            at = end if nxt < 0 else nxt
             continue
         first, synced, same = same is None, True, header.same
         frame = data[at : at + header.size]
@@ -211,8 +214,9 @@ def parse(data: bytes) -> Stream:
             out.sizes.append(header.size)
             out.samples += header.samples
             out.bitrates.add(header.kbps)
-        at += header.size
-    out.skipped_bytes += max(0, end - at)
+        at = last = after
+        framed += header.size
+    out.skipped_bytes = min(e for e in ends if e >= last) - begin - framed
     return out
 
 
@@ -247,10 +251,13 @@ def carry(payload: bytes) -> bytes:
 
 
 def payload_of(data: bytes, stream: Stream) -> bytes:
-    """The bytes ``carry`` stored: ancillary data of the frames, up to the length the tag tells."""
+    """The bytes ``carry`` stored: ancillary data of the frames, up to the length the tag tells; it is an error if fewer are left."""
     size = int(stream.tags.get("TXXX:payload_bytes", 0))
     view = memoryview(data)
-    return b"".join([view[at + 23 : at + n] for at, n in zip(stream.offsets, stream.sizes, strict=True)])[:size]
+    payload = b"".join([view[at + 23 : at + n] for at, n in zip(stream.offsets, stream.sizes, strict=True)])[:size]
+    if len(payload) < size:
+        raise ValueError(f"the stream holds {len(payload)} of {size} payload bytes")
+    return payload
 
 
 def stored(docs: DataFrame, unit: int = 192) -> DataFrame:

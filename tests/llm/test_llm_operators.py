@@ -393,6 +393,28 @@ def test_mpeg_round_trip(payload):
     assert stream.duration == Fraction(1152 * len(stream.offsets), 48000)
 
 
+@pytest.mark.parametrize("size", [300, 800, 937, 4000])
+@pytest.mark.parametrize("flags", [0, 0x80000000])
+def test_mpeg_payload_may_look_like_a_tag(size, flags):
+    plain = mpeg_audio.carry(b"x" * size)
+    pad = len(plain) - plain.rindex(b"x") - 1
+    final = mpeg_audio.parse(plain).sizes[-1]
+    looks = [(128, b"TAG")] + [(32, b"APETAGEX" + struct.pack("<IIII", 2000, n, 1, flags)) for n in (32, 200, final - 32, final, 10**6)]
+    looks += [(160, b"APETAGEX" + struct.pack("<IIII8x", 2000, max(final - 128, 32), 1, flags) + b"TAG")]
+    for place, mark in looks:
+        at = size - (place - pad)
+        if at + len(mark) > size or at < 0:
+            continue
+        payload = b"x" * at + mark + b"x" * (size - at - len(mark))
+        data = mpeg_audio.carry(payload)
+        assert data[len(data) - place :].startswith(mark)
+        for tail in (b"", b"TAG" + bytes(125), b"APETAGEX" + struct.pack("<IIII8x", 2000, 32, 0, 0) + b"TAG" + bytes(125)):
+            stream = mpeg_audio.parse(data + tail)
+            assert mpeg_audio.payload_of(data + tail, stream) == payload and stream.skipped_bytes == 0
+        with pytest.raises(ValueError):
+            mpeg_audio.facts(data[:-1])
+
+
 def test_mpeg_damage_and_tables():
     good = mpeg_audio.carry(b"abc" * 2000)
     clean = mpeg_audio.parse(good)
