@@ -5,8 +5,8 @@ languages among the fitting rows). Emissions and learned transitions give, by fo
 language at each word, so text that switches its language is labelled part by part. A document's language is the one with the
 largest sum, its score that sum over the number of words.
 
-The model is fitted on at most ``sample_rows`` labelled documents (a documented bound; chosen by a hash of the text), whose words
-are cut into stretches and joined across languages, so that switches occur. Prediction reads whole texts and nothing else.
+The model is fitted on distinct labelled texts with words, ``sample_rows`` in all and equally many of each language as far as it has them, but
+``LEAST_TEXTS`` of each language at least (a documented bound; chosen by a hash of the text). Their words are cut into stretches and joined across languages, so that switches occur. Prediction reads whole texts and nothing else.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without any labelled row every text is ``und``;
 digits and signs are between words; repeated documents get equal results; an empty table gives none; other columns pass through.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.store import packed, slices, unpacked
+from emberline.llm.store import distinct_texts, packed, slices, text_hash, unpacked, written
 from emberline.llm.words import BYTE_VALUES, LOWER, Words, find_words, mix
 
 SLICE_BYTES = 2 << 20
@@ -31,6 +31,7 @@ UNKNOWN = "und"
 HASH_BITS = 16
 GRAMS = (1, 2, 3, 4)
 MIN_LEXICON = 3
+LEAST_TEXTS = 20  # of each language, also where that is more than the sample's share
 BETWEEN = np.ones(256, bool)
 BETWEEN[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -197,17 +198,39 @@ def fit(rows: list[tuple[str, str]], turns: int = 2, seed: int = 7, batch_words:
     return model
 
 
-def fitting_rows(docs: DataFrame, sample_rows: int) -> list[tuple[str, str]]:
-    """At most ``sample_rows`` labelled documents, those with the least hash of their text."""
-    known = docs.filter("lang is not null and text is not null")
-    total = known.select("lang").count()
-    share = min(1.0, 1.5 * sample_rows / max(total, 1))
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    likely = known.select("text", "lang", place.alias("_place")).filter(F.col("_place") <= int(share * (1 << 30)))
-    return [(r["text"], r["lang"]) for r in likely.orderBy("_place", "text", "lang").limit(sample_rows).collect()]
+def places_by_language(totals: dict[str, int], sample_rows: int) -> dict[str, int]:
+    """How many texts of each language are fitted: equal numbers; what a language does not have goes to the others."""
+    out, left = {}, sample_rows
+    for i, lang in enumerate(sorted(totals, key=lambda x: (totals[x], x))):
+        out[lang] = min(totals[lang], max(left // (len(totals) - i), LEAST_TEXTS))
+        left = max(0, left - out[lang])
+    return out
 
 
-def train(docs: DataFrame, sample_rows: int = 1000) -> Model | None:
+def fitting_rows(docs: DataFrame, sample_rows: int) -> list[tuple[str, str]]:
+    """Distinct labelled texts with words, of each language those with the least hash; a text with several labels has its most frequent one."""
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"[A-Za-z\x{80}-\x{10FFFF}]")).select("text", "lang")
+    labels = known.groupBy(text_hash().alias("_hash"), "lang").agg(F.count(F.lit(1)).alias("n"))
+    texts = written(labels.groupBy("_hash").agg(F.max_by("lang", F.struct("n", "lang")).alias("lang")), "fitting-texts")
+    totals = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = places_by_language(totals, sample_rows)
+    if not wanted:
+        return []
+    # so many more than wanted that fewer practically never come
+    shares = {lang: min(1.0, (n + 8 * n**0.5 + 30) / totals[lang]) for lang, n in wanted.items()}
+    bound = F.create_map([F.lit(x) for lang, share in shares.items() for x in (lang, int(share * (1 << 53)))])
+    place = F.shiftrightunsigned("_hash", 11)
+    near = texts.filter(place <= bound[F.col("lang")]).select("_hash", "lang", place.alias("_place")).collect()
+    chosen, taken = {}, dict.fromkeys(wanted, 0)
+    for r in sorted(near, key=lambda r: (r["_place"], r["_hash"])):
+        if taken[r["lang"]] < wanted[r["lang"]]:
+            chosen[r["_hash"]] = r["lang"]
+            taken[r["lang"]] += 1
+    found = {r["_hash"]: r["text"] for r in distinct_texts(known, list(chosen)).collect()}
+    return [(found[h], lang) for h, lang in chosen.items()]
+
+
+def train(docs: DataFrame, sample_rows: int = 1500) -> Model | None:
     """A model from ``text`` and ``lang`` of the given documents."""
     return fit(fitting_rows(docs, sample_rows))
 

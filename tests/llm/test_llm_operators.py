@@ -339,6 +339,22 @@ def test_language_parts_and_odd(spark, odd, empty):
     assert none is None and language_id.with_language(odd, none).filter("_lang <> 'und' or _score <> 0").count() == 0
 
 
+def test_language_sample_is_distinct_texts_of_each_language(spark):
+    rng = random.Random(8)
+    said = {"aa": [f"ka{x}ro" for x in "abcdefgh"], "bb": [f"{x}enti" for x in "mnopqrst"], "cc": [f"ul{x}ush" for x in "bdfgkpvz"]}
+    text = lambda lang: " ".join(rng.choices(said[lang], k=30))
+    plain = [(text(lang), lang) for lang in ["aa"] * 1500 + ["bb"] * 60 + ["cc"] * 12]
+    copies = [(plain[i][0], "aa") for i in range(40) for _ in range(50)]
+    other = [(plain[0][0], "bb"), (None, "dd"), ("12 -- 3", "dd"), (text("aa"), None)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(plain + copies + other)], "doc_id long, text string, lang string").repartition(5)
+    drawn = language_id.fitting_rows(docs, 72)
+    assert len(dict(drawn)) == len(drawn) and set(drawn) <= set(plain)
+    assert {lang: sum(x == lang for _, x in drawn) for lang in said} == {"aa": 30, "bb": 30, "cc": 12}
+    new = [(i, text(lang), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 5)]
+    got = language_id.with_language(spark.createDataFrame(new, "doc_id long, text string, lang string"), language_id.train(docs, 72))
+    assert {r["doc_id"]: r["_lang"] for r in got.collect()} == {i: lang for i, _, lang in new}
+
+
 # quality
 
 
