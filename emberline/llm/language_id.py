@@ -240,22 +240,23 @@ def has_letter(text: bytes) -> bool:
 
 
 def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``doc_id, text, _rest`` with ``_lang``, ``_score`` and ``_parts``: runs of words of one language (``start, length, lang``)."""
+    """``doc_id, text, _rest`` with ``_lang``, ``_score``, ``_certainty`` (mean over words of the most likely language's probability)
+    and ``_parts``: runs of words of one language (``start, length, lang``)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = packed(docs)
 
-    def answer(rows: pa.RecordBatch, langs: list, scores: list, parts: list) -> pa.RecordBatch:
+    def answer(rows: pa.RecordBatch, langs: list, scores: list, sure: list, parts: list) -> pa.RecordBatch:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("lang", pa.string())]))
-        new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(parts, kind)]
-        return pa.RecordBatch.from_arrays([*rows.columns, *new], [*rows.schema.names, "_lang", "_score", "_parts"])
+        new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.float64()), pa.array(parts, kind)]
+        return pa.RecordBatch.from_arrays([*rows.columns, *new], [*rows.schema.names, "_lang", "_score", "_certainty", "_parts"])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
             for low, high, data, offsets in slices(batch, "text", SLICE_BYTES):
-                langs, scores, parts = [UNKNOWN] * (high - low), [0.0] * (high - low), [[] for _ in range(high - low)]
+                langs, scores, sure, parts = [UNKNOWN] * (high - low), [0.0] * (high - low), [0.0] * (high - low), [[] for _ in range(high - low)]
                 if model is None:
-                    yield answer(batch.slice(low, high - low), langs, scores, parts)
+                    yield answer(batch.slice(low, high - low), langs, scores, sure, parts)
                     continue
                 words = find_words(data, offsets, BETWEEN, lower=True)
                 marginals, _ = forward_backward(emissions(model, data, words), words.first, model.moves)
@@ -264,27 +265,30 @@ def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
                 some = np.flatnonzero(counts)
                 if len(some):
                     sums[some] = np.add.reduceat(marginals, words.first[:-1][some], axis=0)
+                    best_sums = np.add.reduceat(marginals.max(axis=1), words.first[:-1][some])
                 best, total = sums.argmax(axis=1), np.maximum(counts, 1)
                 label_of = marginals.argmax(axis=1)
                 change = np.flatnonzero(np.concatenate([[True], label_of[1:] != label_of[:-1]])) if len(label_of) else np.zeros(0, np.int64)
                 begins = np.union1d(change, words.first[:-1][some])
-                ends = np.append(begins[1:], len(label_of))
+                ends = np.append(begins[1:], len(label_of))[: len(begins)]
                 owner = np.searchsorted(words.first, begins, side="right") - 1
                 ascii_letters = np.add.reduceat(np.concatenate([~BETWEEN[data] & (data < 128), [False]]).astype(np.int64), offsets[:-1]) if len(data) else np.zeros(high - low)
-                for i in some.tolist():
+                for k, i in enumerate(some.tolist()):
                     if ascii_letters[i] or has_letter(data[offsets[i] : offsets[i + 1]].tobytes()):
                         langs[i] = model.languages[best[i]]
                         scores[i] = min(1.0, float(sums[i, best[i]] / total[i]))
+                        sure[i] = min(1.0, float(best_sums[k] / total[i]))
                 for a, b, i in zip(begins.tolist(), ends.tolist(), owner.tolist(), strict=True):
                     if langs[i] != UNKNOWN:
                         parts[i].append({"start": a - int(words.first[i]), "length": b - a, "lang": model.languages[label_of[a]]})
-                yield answer(batch.slice(low, high - low), langs, scores, parts)
+                yield answer(batch.slice(low, high - low), langs, scores, sure, parts)
 
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(label, shape + ", _lang string, _score double, _parts array<struct<start:int,length:int,lang:string>>")
+    return rows.mapInArrow(label, shape + ", _lang string, _score double, _certainty double, _parts array<struct<start:int,length:int,lang:string>>")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, min_score: float = 0.4) -> DataFrame:
-    """The documents with a language: not ``und``, and a score of at least ``min_score``."""
+def keep_identified(docs: DataFrame, model: Model | None, min_certainty: float = 0.0) -> DataFrame:
+    """The documents with a language: not ``und``, and words labelled with a certainty of at least ``min_certainty`` in the mean. A document that
+    mixes languages has a low score, but not a low certainty."""
     found = with_language(docs, model)
-    return unpacked(found.filter((F.col("_lang") != UNKNOWN) & (F.col("_score") >= min_score)), docs.columns)
+    return unpacked(found.filter((F.col("_lang") != UNKNOWN) & (F.col("_certainty") >= min_certainty)), docs.columns)

@@ -355,6 +355,18 @@ def test_language_sample_is_distinct_texts_of_each_language(spark):
     assert {r["doc_id"]: r["_lang"] for r in got.collect()} == {i: lang for i, _, lang in new}
 
 
+def test_documents_that_mix_languages_stay(spark):
+    rng = random.Random(5)
+    said = {"aa": [f"ka{x}ro" for x in "abcdefgh"], "bb": [f"{x}enti" for x in "mnopqrst"], "cc": [f"ul{x}ush" for x in "bdfgkpvz"], "dd": [f"g{x}yng" for x in "aeioumlr"]}
+    known = [(i, " ".join(rng.choices(said[lang], k=40)), lang) for i, lang in enumerate([*said] * 30)]
+    model = language_id.train(spark.createDataFrame(known, "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame([(1, " ".join(w for words in said.values() for w in words * 2)), (2, "12 -- 3")], "doc_id long, text string")
+    mixed = language_id.with_language(docs, model).filter("doc_id = 1").first()
+    assert mixed["_score"] < 0.4 and mixed["_certainty"] > 0.9 and len(mixed["_parts"]) == 4
+    assert [r["doc_id"] for r in language_id.keep_identified(docs, model).collect()] == [1]
+    assert [r["doc_id"] for r in language_id.keep_identified(docs, model, 0.9).collect()] == [1]
+
+
 # quality
 
 
