@@ -110,3 +110,76 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(escaped + length(role) + 24) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+LLM_ORACLE["op11_ranked_search"] = r"""
+WITH words AS (
+    SELECT row_number() OVER () AS doc, doc_id,
+           unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents
+), lengths AS (
+    SELECT doc, doc_id, count(*) AS n FROM words GROUP BY doc, doc_id
+), totals AS (
+    SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lengths
+), sized AS (
+    SELECT doc, doc_id, 50 + (50 * n * n_docs) // n_terms AS m FROM lengths, totals
+), counted AS (
+    SELECT doc, term, count(*) AS tf FROM words GROUP BY doc, term
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), totals
+), items AS (
+    SELECT DISTINCT item_id, text, term
+    FROM (SELECT item_id, text, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+), scores AS (
+    SELECT item_id, text, doc, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+    FROM items JOIN counted USING (term) JOIN weights USING (term) JOIN sized USING (doc)
+    GROUP BY item_id, text, doc, doc_id
+), ranked AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+    FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+LLM_ORACLE["op13_spelling_variants"] = r"""
+WITH RECURSIVE steps(byte, c, k) AS (
+    SELECT range, range, 0 FROM range(256)
+    UNION ALL
+    SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
+), checksums AS (
+    SELECT list(c ORDER BY byte) AS cs FROM steps WHERE k = 8
+), runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents
+), pairs AS (
+    SELECT doc_id, run, count(*) AS c, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS digits FROM runs GROUP BY doc_id, run
+), marked AS (
+    SELECT run, c, xor(4294967295, list_reduce(
+               list_prepend(4294967295, list_transform(range(len(digits) // 2),
+                   lambda i: CAST(instr('0123456789ABCDEF', digits[2 * i + 1]) * 16 + instr('0123456789ABCDEF', digits[2 * i + 2]) - 17 AS BIGINT))),
+               lambda h, b: xor(h >> 8, cs[(xor(h, b) & 255) + 1]))) AS h
+    FROM pairs, checksums
+), words AS (
+    SELECT word, CAST(sum(c) AS BIGINT) AS n
+    FROM (SELECT CASE WHEN h % 97 = 0 THEN run[:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS word, c FROM marked)
+    GROUP BY word HAVING len(word) >= 5 AND sum(c) >= 3
+), places AS (
+    SELECT word, n, unnest(range(len(word) + 1)) AS i FROM words
+), patterns AS (
+    SELECT word, n, word[:i] || '*' || word[i + 1:] AS pattern FROM places
+    UNION ALL SELECT word, n, word[:i] || '*' || word[i + 2:] FROM places WHERE i < len(word)
+), near AS (
+    SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM patterns a JOIN patterns b USING (pattern) WHERE a.word <> b.word
+), forms AS (
+    SELECT word, n, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word, n
+), judged AS (
+    SELECT word, CASE WHEN other_n >= 2 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+    FROM words LEFT JOIN forms USING (word, n)
+), chains AS (
+    SELECT word, word AS root, form AS next FROM judged
+    UNION ALL
+    SELECT c.word, j.word, j.form FROM chains c JOIN judged j ON j.word = c.next
+)
+SELECT j.word, j.form, c.root, j.n, j.n_near, j.form_n FROM judged j JOIN chains c ON c.word = j.word AND c.next IS NULL
+"""

@@ -16,7 +16,10 @@ from emberline.llm import (
     mpeg_audio,
     ngram_join,
     packing,
+    pieces,
     quality,
+    ranked_search,
+    spelling,
     substring_dedup,
     zip_archives,
 )
@@ -134,3 +137,29 @@ def op8_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
     return chat_events.conversation_digests(chat_events.messages(chat_events.event_log(turns.union(extra))))
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents for every benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), top=50)
+
+
+@query
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as SentencePiece ids and decoded again; counts and digests."""
+    done = pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    digits = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(digits.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with their near words, the form each is a variant of, and the root of its forms."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.word_counts(docs, drop_rate=97), min_length=5, min_count=3, ratio=2)

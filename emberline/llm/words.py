@@ -24,6 +24,9 @@ NOT_ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+BLOCK_BYTES = 1 << 20  # bytes hashed at once, so that the memory beside a text is a small multiple of it
+KEPT_POWERS = 1 << 21  # powers that are held for the next call; longer runs are computed anew
+
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -35,7 +38,8 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.cumprod(have)
-        _POWERS[base] = have
+        if size <= KEPT_POWERS:
+            _POWERS[base] = have
     return have[:n]
 
 
@@ -80,10 +84,30 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, lower: bool) -> Words:
-    """Words of texts that lie one behind the other in ``data``; no word crosses from one text into the next."""
-    n = len(data)
-    inside = ~(separator[LOWER] if lower else separator)[data]
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Hashes of ascending, disjoint spans of bytes; ``values`` gives each byte's value. Works on about ``BLOCK_BYTES`` at once."""
+    hashes = np.zeros(len(start), np.uint64)
+    low = 0
+    while low < len(start):
+        begin = int(start[low])
+        high = max(int(np.searchsorted(end, begin + BLOCK_BYTES, side="right")), low + 1)
+        stop = int(end[high - 1])
+        if stop - begin <= BLOCK_BYTES:
+            sums = prefix(values[data[begin:stop]] * powers(BASE, stop - begin))
+            at = start[low:high] - begin
+            hashes[low:high] = (sums[end[low:high] - begin] - sums[at]) * powers(BASE_INVERSE, stop - begin + 1)[at]
+        else:  # one long span, summed up part by part
+            for cut in range(begin, stop, BLOCK_BYTES):
+                part = data[cut : min(cut + BLOCK_BYTES, stop)]
+                total = (values[part] * powers(BASE, len(part))).sum(dtype=np.uint64)
+                hashes[low : low + 1] += total * np.array([pow(BASE, cut - begin, 2**64)], np.uint64)
+        low = high
+    hashes += (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+    return mix(hashes)
+
+
+def runs_inside(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the maximal runs of marked bytes begin and end; none crosses from one text into the next."""
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     starts = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -92,12 +116,14 @@ def find_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, low
     ends[:-1] &= ~inside[1:]
     lasts = offsets[1:][offsets[:-1] < offsets[1:]] - 1
     ends[lasts] = inside[lasts]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    values = BYTE_VALUES[LOWER] if lower else BYTE_VALUES
-    sums = prefix(values[data] * powers(BASE, n))
-    hashes = (sums[end] - sums[start]) * powers(BASE_INVERSE, n)[start]
-    hashes += (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    return Words(start, end, mix(hashes), np.searchsorted(start, offsets))
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def find_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, lower: bool) -> Words:
+    """Words of texts that lie one behind the other in ``data``; no word crosses from one text into the next."""
+    start, end = runs_inside(~(separator[LOWER] if lower else separator)[data], offsets)
+    hashes = span_hashes(data, start, end, BYTE_VALUES[LOWER] if lower else BYTE_VALUES)
+    return Words(start, end, hashes, np.searchsorted(start, offsets))
 
 
 def windows(words: Words, size: int, base: int = WORD_BASE) -> tuple[np.ndarray, np.ndarray]:
