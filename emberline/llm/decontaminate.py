@@ -10,7 +10,7 @@ window of the item's size.
 Documents are never shuffled: windows go to the tasks in blocks of at most ``block`` windows, so what is broadcast has a
 fixed bound, and a larger benchmark takes more passes. Frequencies are summed per task before the exchange.
 
-Defined results: a null text or one without words has no hit; null or wordless items match nothing; items with equal ids or
+Defined results: a null text or one without words has no hit; null or wordless texts of items match nothing; an item without an id hits words and adds no id; items with equal ids or
 texts count once per id; repeated documents are judged alike; an empty benchmark hits nothing; an empty table gives none;
 other columns pass through untouched.
 """
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ def item_windows(items: DataFrame, window: int | None) -> DataFrame:
                         owners.append(ids[low + i])
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.array(owners, pa.string())], ["words", "n", "item"])
 
-    rows = items.select(F.col("item_id").cast("string").alias("item"), "text").filter("item is not null").mapInArrow(cut, "words string, n int, item string")
+    rows = items.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(cut, "words string, n int, item string")
     return rows.groupBy("words", "n").agg(F.collect_set("item").alias("items"))
 
 
@@ -239,7 +240,8 @@ def judged(docs: DataFrame, items: DataFrame, share: float = 0.05, **options) ->
     """``with_hits`` with ``_n_hit`` and ``_contaminated``: at least ``share`` of the words, and at least one, are hit."""
     hit = F.aggregate("_hits", F.lit(0).cast("long"), lambda total, s: total + s["length"])
     marked = with_hits(docs, items, **options).withColumn("_n_hit", hit)
-    return marked.withColumn("_contaminated", (F.col("_n_hit") > 0) & (F.col("_n_hit") * round(1 / share) >= F.col("_n_words")))
+    part = Fraction(share).limit_denominator(1_000_000)
+    return marked.withColumn("_contaminated", (F.col("_n_hit") > 0) & (F.col("_n_hit") * part.denominator >= F.col("_n_words") * part.numerator))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = 0.05, **options) -> DataFrame:

@@ -40,6 +40,7 @@ BROADCAST_IDS = 250_000  # a few MB; beyond it the texts are shuffled
 LEAST_BUCKETS = 64  # so that small inputs use many tasks too
 COMPARED_ROWS = 512  # rows of a group compared with all others at once, fewer in a large group
 COMPARED_CELLS = 1 << 20
+STAR = 256  # partners of a set that one task compares with it
 PARTS = 3  # second-level parts of a partition; one of them may differ
 SEED = np.uint64(0x2545F4914F6CDD1D)
 
@@ -357,8 +358,10 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """The pairs ``a, b`` that are similar, on the whole sets. The sets of an ``a`` and its partners stream through one task;
-    an ``a`` with many partners is spread over as many as eight."""
-    spread = pairs.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(8)))
+    an ``a`` with more than ``STAR`` partners is spread over as many as they need."""
+    pairs = written(pairs, "pairs")
+    wide = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("_tasks")).filter("_tasks > 1")
+    spread = pairs.join(wide, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("_tasks", F.lit(1).cast("long"))).alias("_salt"))
     wanted = spread.select("a", "_salt", F.col("b").alias("v")).union(spread.select("a", "_salt", F.col("a").alias("v")).distinct())
     rows = wanted.join(sets, "v").withColumn("_rest", F.col("v") != F.col("a"))
     streams = rows.repartition("a", "_salt").sortWithinPartitions("a", "_salt", "_rest")
@@ -435,16 +438,32 @@ def similar_sets(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (
     return sets.select("doc_id", "n", "v"), links
 
 
+def with_vertex(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` (with a ``text``) and the vertex ``_v`` of each, null for an empty set."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = []
+            for _, _, data, offsets in slices(batch, "text", SLICE_BYTES):
+                sets = shingle_sets(find_words(data, offsets, WHITE, lower=True), size)
+                v += [vertex(s, prefix(mix(s))) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(v, pa.int64())], [*batch.schema.names, "_v"])
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(build, f"{shape}, _v long")
+
+
 def keep_one(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """One document of each component, the one with the least ``doc_id``; documents with an empty set all stay.
 
-    Of rows equal in ``doc_id`` and text, with words, one stays. Rows without a ``doc_id`` cannot be named and stay.
+    Rows that share a ``doc_id`` stand each for its own text; of those with equal sets one stays. Rows without a ``doc_id`` cannot be named and stay.
     """
     ids = component_ids(docs.select("doc_id", "text"), size, similarity)
-    gone = ids.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    rows = packed(docs).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    if not ids.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
-        blank = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r")) == ""
-        alone = blank | F.col("doc_id").isNull()
-        rows = rows.filter(alone).unionByName(rows.filter(~alone).dropDuplicates(["doc_id", "text"]))
-    return unpacked(rows, docs.columns)
+    gone = ids.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("v").alias("_gone_v")).distinct()
+    rows = packed(docs)
+    if ids.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
+        return unpacked(rows.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"), docs.columns)
+    told = with_vertex(rows, size)
+    rows = told.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_v") == F.col("_gone_v")), "left_anti")
+    alone = F.col("_v").isNull() | F.col("doc_id").isNull()
+    return unpacked(rows.filter(alone).unionByName(rows.filter(~alone).dropDuplicates(["doc_id", "_v"])), docs.columns)

@@ -28,6 +28,7 @@ from emberline.llm.store import slices, written
 
 SLICE_BYTES = 2 << 20
 CACHED_PIECES = 500_000
+TURNS = 1024  # rounds of packing that sequence numbers tell apart
 # Latin letters before U+0180 are composed already and have lower-case forms of one letter, but for U+0130
 NOT_PLAIN = re.compile("[\u0130\u0180-\U0010ffff]|<\\|")
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
@@ -218,7 +219,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 20_000) -> D
     count = rest.count()
     while count:
         groups = math.ceil(count / group_rows)
-        keyed = rest.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(groups)) * 64 + turn)
+        # by row and not by id, so that pieces without an id or of repeated ids are spread like all others
+        keyed = rest.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(groups)) * TURNS + turn)
         shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema) + ", sequence_id long, offset long, _open boolean"
         packed = written(keyed.groupBy("_group").applyInArrow(pack_group(capacity, 24, groups == 1), shape), "packed")
         done.append(packed.filter(~F.col("_open")).drop("_group", "_open"))

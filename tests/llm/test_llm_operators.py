@@ -104,6 +104,20 @@ def test_line_dedup_is_native(spark, odd):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
+def test_keep_one_tells_rows_with_one_id_apart(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t"
+    docs = spark.createDataFrame([(1, near), (2, near), (2, "a clean text that nobody else has written so far"), (3, near + " u"), (3, near + " u"), (4, "")], "doc_id long, text string")
+    kept = sorted((r["doc_id"], r["text"][:7]) for r in ngram_join.keep_one(docs).collect())
+    assert kept == [(1, near[:7]), (2, "a clean"), (4, "")]
+
+
+def test_wide_stars_are_spread_and_keep_their_links(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "STAR", 4)
+    base = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*base, f"x{i}"])) for i in range(40)], "doc_id long, text string")
+    assert {r["component_id"] for r in ngram_join.component_ids(docs).collect()} == {0}
+
+
 # decontamination
 
 
@@ -111,7 +125,7 @@ def test_decontaminate_odd(spark, odd, empty):
     items = spark.createDataFrame([(1, "text twice over"), (2, None), (3, ""), (None, "one"), (4, "W5 w6 w7"), (4, "W5 w6 w7")], "item_id long, text string")
     marked = decontaminate.judged(odd, items)
     got = {r["doc_id"]: (r["_n_words"], r["_n_hit"], r["_items"], r["_contaminated"]) for r in marked.collect()}
-    assert got[1] == (0, 0, [], False) and got[4] == (1, 0, [], False)
+    assert got[1] == (0, 0, [], False) and got[4] == (1, 1, [], True)  # an item without an id hits
     assert got[5] == got[6] == (8, 3, ["1"], True)
     assert got[7] == (30_000, 93, ["4"], False)
     assert decontaminate.drop_contaminated(odd, items).columns == odd.columns
@@ -120,6 +134,14 @@ def test_decontaminate_odd(spark, odd, empty):
     assert decontaminate.judged(empty, items).count() == 0
 
 
+def test_items_without_an_id_hit_words_and_shares_are_exact(spark):
+    passage = " ".join(f"p{i}" for i in range(13))
+    docs = spark.createDataFrame([(1, passage + " " + " ".join(f"o{i}" for i in range(17))), (2, passage + " o" * 18)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage)], "item_id long, text string")
+    got = {r["doc_id"]: (r["_n_hit"], r["_items"], r["_contaminated"]) for r in decontaminate.judged(docs, items, share=13 / 30).collect()}
+    assert got == {1: (13, [], True), 2: (13, [], False)}
+
+
 def test_decontaminate_blocks_and_similarity(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(60)]
@@ -236,6 +258,21 @@ def test_packing_odd(odd, empty):
     assert packing.pack(packing.token_pieces(empty, TOKENIZER)).count() == 0
 
 
+def test_pieces_without_ids_are_spread(spark, monkeypatch):
+    seen = []
+    plain = packing.pack_group
+
+    def watched(capacity, bits, last):
+        seen.append(last)
+        return plain(capacity, bits, last)
+
+    monkeypatch.setattr(packing, "pack_group", watched)
+    pieces = spark.range(3000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST(0 AS INT) AS piece", "CAST(0 AS BIGINT) AS start", "id % 50 + 1 AS length")
+    packed = packing.pack(pieces, capacity=64, group_rows=500)
+    first = packed.select((F.shiftright("sequence_id", 24)).alias("g")).filter("g % 1024 = 0").groupBy("g").count().collect()
+    assert packed.count() == 3000 and seen[0] is False and len(first) >= 5
+
+
 @given(st.lists(st.integers(1, 40), max_size=9))
 @settings(max_examples=80, deadline=None)
 def test_lower_bound_is_one(lengths):
@@ -347,9 +384,13 @@ def test_language_sample_is_distinct_texts_of_each_language(spark):
     copies = [(plain[i][0], "aa") for i in range(40) for _ in range(50)]
     other = [(plain[0][0], "bb"), (None, "dd"), ("12 -- 3", "dd"), (text("aa"), None)]
     docs = spark.createDataFrame([(i, *r) for i, r in enumerate(plain + copies + other)], "doc_id long, text string, lang string").repartition(5)
-    drawn = language_id.fitting_rows(docs, 72)
+    taken = lambda *bounds: [(r["text"], r["lang"]) for r in language_id.fitting_rows(docs, *bounds).collect()]
+    drawn = taken(72)
     assert len(dict(drawn)) == len(drawn) and set(drawn) <= set(plain)
     assert {lang: sum(x == lang for _, x in drawn) for lang in said} == {"aa": 30, "bb": 30, "cc": 12}
+    few = taken(72, 3000)
+    assert {lang for _, lang in few} == set(said) and sum(len(t) for t, _ in few) <= 3000 and set(few) <= set(plain)
+    assert sorted(lang for _, lang in taken(72, 3)) == sorted(said)  # the shortest, where none fits
     new = [(i, text(lang), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 5)]
     got = language_id.with_language(spark.createDataFrame(new, "doc_id long, text string, lang string"), language_id.train(docs, 72))
     assert {r["doc_id"]: r["_lang"] for r in got.collect()} == {i: lang for i, _, lang in new}
@@ -397,14 +438,40 @@ def test_quality_sample_is_distinct_texts_with_words(spark):
     copies = {t: 300 if i == 0 else 1 for i, t in enumerate(fair + junk)}
     rows = [(t,) for t, n in copies.items() for _ in range(n)] + [(None,)] * 400 + [("",), (" \n\t",)] * 50
     docs = spark.createDataFrame([(i, t) for i, (t,) in enumerate(rows)], "doc_id long, text string").repartition(5)
-    drawn = quality.fitting_texts(docs, 40)
+    taken = lambda *bounds: [(r["text"], r["weight"]) for r in quality.fitting_texts(docs, *bounds).collect()]
+    drawn = taken(40)
+    assert sum(len(t) for t, _ in taken(40, 8000)) <= 8000
     assert len(drawn) == len(dict(drawn)) == 40 and set(dict(drawn)) <= set(copies)
     assert dict(drawn)[fair[0]] == 300 and 60 < sum(dict(drawn).values()) - 300 < 240  # stands for the 119 others
-    assert dict(quality.fitting_texts(docs, 500)) == copies
+    assert dict(taken(500)) == copies
     scores = {r["text"]: r["_quality"] for r in quality.with_quality(docs, quality.train(docs, 40)).collect()}
     assert min(scores[t] for t in fair) > max(scores[t] for t in junk)
 
 
+def test_label_model_is_the_plain_expectation_maximisation():
+    """The pattern counts give the same model as a loop over single documents."""
+    rng = np.random.default_rng(9)
+    k = len(quality.LABELLERS)
+    vote = rng.integers(0, 3, (400, k))
+    patterns, counts = np.unique(quality.pattern(vote), return_counts=True)
+    got = quality.fit_labels(patterns, counts.astype(float), turns=5)
+    prior, chance = 0.8, np.tile(np.array([[[0.4, 0.5, 0.1]], [[0.1, 0.5, 0.4]]]), (1, k, 1))
+    for _ in range(5):
+        good = []
+        for row in vote.tolist():
+            yes, no = prior, 1 - prior
+            for i, v in enumerate(row):
+                yes, no = yes * chance[1, i, v], no * chance[0, i, v]
+            good.append(yes / (yes + no))
+        sums = np.ones((2, k, 3))
+        for row, g in zip(vote.tolist(), good, strict=True):
+            for i, v in enumerate(row):
+                sums[0, i, v] += 1 - g
+                sums[1, i, v] += g
+        prior, chance = (sum(good) + 1) / (len(vote) + 2), sums / sums.sum(axis=2, keepdims=True)
+    assert abs(got.prior - prior) < 1e-9 and np.allclose(got.chances, chance)
+
+
 # MPEG audio
 
 

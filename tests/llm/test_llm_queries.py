@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from emberline.llm import language_id
+from emberline.llm import language_id, packing
 from emberline.llm.oracle import LLM_ORACLE
 from emberline.llm.queries import LLM_QUERIES
 
@@ -103,7 +103,8 @@ def check_packing(rows, texts):
             assert r["offset"] == at
             at += r["length"]
         assert at <= 2048
-    assert len(by_sequence) <= -(-total // 2048) * 1.02 + 2
+    lengths = np.array([r["length"] for r in rows])
+    assert -(-total // 2048) <= packing.lower_bound(lengths, 2048) <= len(by_sequence) <= packing.lower_bound(lengths, 2048) + 1
 
 
 def test_packing(spark, texts):

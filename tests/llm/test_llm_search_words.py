@@ -129,10 +129,7 @@ def test_pieces_slices_of_few_bytes():
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         held.add(pa.array(ids), np.frombuffer(b"".join(texts), np.uint8), offsets)
     row = held.row(pa.int64())
-    import zstandard
-
-    sizes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["sizes"]), "<u4").astype(np.int64)
-    chunks = pieces.split(zstandard.ZstdDecompressor().decompress(row["chunks"]), sizes)
+    chunks = pieces.expanded(row["chunks"]).tobytes().split(b"\xff")[:-1]
     assert [chunks[i] for i in pieces.from_bytes(row["codes"])] == [b"a", b"b", b" a", b" b", b"a"]
     assert np.frombuffer(row["counts"], "<i8").tolist() == [3, 0, 2] and len(set(chunks)) == row["n_chunks"] == 4
 
