@@ -5,17 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-SALTS = 32
 
+def keyed_join(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows with ``per_key`` (one row per key), which is broadcast where its measured size allows.
 
-def salted_join(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join rows with ``per_key`` (one row per key), each key spread over ``salts`` partitions.
-
-    The salt hashes the columns ``spread`` of a row, so it is stable over retries; ``per_key`` is repeated per salt.
-    When ``per_key`` is small enough for Catalyst to broadcast it, the salt costs nothing but the repeats.
+    Where it does not, both sides are shuffled, and adaptive execution splits the rows of a hot key by measured size and repeats the key's one row
+    for each part (``spark.sql.adaptive.skewJoin.enabled``, on by default).
     """
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return rows.join(per_key, list(keys), how)

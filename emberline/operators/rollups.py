@@ -113,6 +113,21 @@ def furnace_daily_summary(
         setpoint=None if setpoints is None else setpoints.select("site_id", F.to_date("ts").alias("date"), "floor", "setpoint"),
         warning=None if warnings is None else warnings.select("site_id", F.to_date("ts").alias("date"), "kind"),
     )
+    return daily_figures(facts, floors, kinds, days is not None, setpoints is not None, warnings is not None)
+
+
+def daily_figures(
+    facts: DataFrame,
+    floors: Sequence[str] = FLOORS,
+    kinds: Sequence[str] = WARNING_KINDS,
+    active_only: bool = True,
+    setpoints: bool = False,
+    warnings: bool = False,
+) -> DataFrame:
+    """The wide row per site and day from ``(site_id, date, fact, floor, duration_s, temperature_f[, setpoint][, kind])``, one aggregation.
+
+    ``active_only`` leaves out days without a fact ``day``.
+    """
     is_furnace, is_call = F.col("fact") == "furnace", F.col("fact") == "call"
     aggs = [
         F.coalesce(F.sum(F.when(is_furnace, F.col("duration_s"))), F.lit(0)).alias("total_furnace_runtime_s"),
@@ -129,12 +144,12 @@ def furnace_daily_summary(
         ]
     none = F.lit(None).cast("double")
     for f in floors:
-        value = none if setpoints is None else F.round(mean(F.when(F.col("floor") == f, F.col("setpoint"))), 1)
-        aggs.append((F.first(none) if setpoints is None else value).alias(f"setpoint_{f}_f"))
-    for k in kinds if warnings is not None else ():
+        value = F.round(mean(F.when(F.col("floor") == f, F.col("setpoint"))), 1) if setpoints else F.first(none)
+        aggs.append(value.alias(f"setpoint_{f}_f"))
+    for k in kinds if warnings else ():
         aggs.append(F.count_if(F.col("kind") == k).alias(f"warn_{k}"))
     daily = facts.groupBy(*DAY).agg(F.max(F.when(F.col("fact") == "day", F.lit(True))).alias("_active"), *aggs)
-    if days is not None:
+    if active_only:
         daily = daily.filter("_active")
     return daily.drop("_active")
 

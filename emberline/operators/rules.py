@@ -8,14 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.scalars import by_floor, confidence, day_period, iso_week, seconds_between, severity
-from emberline.functions.skew import salted_join
+from emberline.functions.skew import keyed_join
 from emberline.schema import LONG_SESSION_DEFAULT_S, LONG_SESSION_S, SHORT_SESSION_S
 
 
 def floor_runtime_anomaly(
     floor_days: DataFrame, lookback: int = 14, multiplier: float = 1.5, min_history: int = 3, min_mean_s: float = 300
 ) -> DataFrame:
-    """Days whose runtime exceeds ``multiplier`` times the mean of the preceding summaries of the floor.
+    """Days whose runtime exceeds ``multiplier`` times the mean of the preceding summaries of the floor."""
+    fired = with_runtime_baseline(floor_days, lookback, multiplier, min_history, min_mean_s).filter("fired").drop("fired")
+    flat = F.col("baseline_stddev_s") == 0
+    z = F.try_divide(F.col("runtime_s") - F.col("baseline_mean_s"), F.col("baseline_stddev_s"))
+    return fired.withColumn("confidence", F.when(flat, 0.5).otherwise(confidence(z))).withColumn(
+        "severity", F.when(flat, "medium").otherwise(severity(F.col("confidence")))
+    )
+
+
+def with_runtime_baseline(
+    floor_days: DataFrame, lookback: int = 14, multiplier: float = 1.5, min_history: int = 3, min_mean_s: float = 300, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Every day of a floor with the figures of the summaries before it, and whether it ``fired``; the columns ``carry`` stay.
 
     The window runs over day summaries, at most one row per floor and day.
     """
@@ -29,17 +41,11 @@ def floor_runtime_anomaly(
         F.avg(runtime).over(prior).alias("baseline_mean_s"),
         F.stddev_pop(runtime).over(prior).alias("baseline_stddev_s"),
         F.count(runtime).over(prior).alias("history_count"),
+        *carry,
     )
-    fired = rows.withColumn("threshold_s", F.col("baseline_mean_s") * multiplier).filter(
-        (F.col("history_count") >= min_history)
-        & (F.col("baseline_mean_s") >= min_mean_s)
-        & (F.col("runtime_s") > F.col("threshold_s"))
-    )
-    flat = F.col("baseline_stddev_s") == 0
-    z = F.try_divide(F.col("runtime_s") - F.col("baseline_mean_s"), F.col("baseline_stddev_s"))
-    return fired.withColumn("confidence", F.when(flat, 0.5).otherwise(confidence(z))).withColumn(
-        "severity", F.when(flat, "medium").otherwise(severity(F.col("confidence")))
-    )
+    threshold = F.col("baseline_mean_s") * multiplier
+    enough = (F.col("history_count") >= min_history) & (F.col("baseline_mean_s") >= min_mean_s)
+    return rows.withColumns({"threshold_s": threshold, "fired": F.coalesce(enough & (F.col("runtime_s") > threshold), F.lit(False))})
 
 
 def session_duration_anomaly(
@@ -55,7 +61,7 @@ def session_duration_anomaly(
         "key", F.coalesce("floor", "entity_id", F.lit("unknown"))
     )
     limits = baseline.select(*on, F.col("p95").alias("baseline_p95_s"))
-    rows = salted_join(keyed, limits, on, ["site_id", "seq"], "left")
+    rows = keyed_join(keyed, limits, on, "left")
     least = by_floor(fallback_s, default_s).cast("double")
     limit = F.greatest(F.col("baseline_p95_s") * 1.5, least)
     rows = rows.withColumns({"_short": F.col("duration_s") < short_s, "_limit": limit})
@@ -157,7 +163,7 @@ def split_by_position(
         .filter((F.col("_total") >= min_sessions) & (F.col("_through") >= F.col("_cut")) & (F.col("_through") - F.col("_n") < F.col("_cut")))
         .select(*group, F.col("_hour").alias("_border"), (F.col("_cut") - F.col("_through") + F.col("_n")).alias("_keep"))
     )
-    rows = salted_join(sessions, border, group, ["ts", "seq"]).withColumn("_hour", hour)
+    rows = keyed_join(sessions, border, group).withColumn("_hour", hour)
     clear = rows.filter(F.col("_hour") != F.col("_border")).withColumn("part", F.when(F.col("_hour") < F.col("_border"), "baseline").otherwise("window"))
     in_hour = Window.partitionBy(*group).orderBy("ts", "seq")
     tied = rows.filter(F.col("_hour") == F.col("_border")).withColumn("_i", F.row_number().over(in_hour))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.scalars import by_floor, seconds_between
@@ -42,10 +42,10 @@ def climate_rows(observations: DataFrame) -> DataFrame:
     )
 
 
-def changes(climate: DataFrame) -> DataFrame:
+def changes(climate: DataFrame, keys: Sequence[str] = ENTITY) -> DataFrame:
     """Each reading with its predecessor and what changed. Null readings overwrite, so nulls are never skipped."""
     fields = ("setpoint", "current_temp", "hvac_mode", "hvac_action")
-    rows = scan(climate, ENTITY, previous={f"prev_{f}": F.col(f) for f in fields})
+    rows = scan(climate, keys, previous={f"prev_{f}": F.col(f) for f in fields})
 
     def differs(field: str):
         return F.col(field).isNotNull() & ~F.col(field).eqNullSafe(F.col(f"prev_{field}"))
@@ -79,22 +79,22 @@ def change_events(changed: DataFrame) -> DataFrame:
     return changed.select(*fields, F.explode(events).alias("event_type"))
 
 
-def heating_rows(climate: DataFrame) -> DataFrame:
-    """Readings that belong to a heating cycle, tagged with its start. The closing reading belongs to the cycle."""
-    rows = changes(climate)
+def with_cycles(changed: DataFrame, keys: Sequence[str] = ENTITY) -> DataFrame:
+    """Readings with their changes and the heating cycle they belong to (``in_cycle``), the closing reading included."""
     starts = F.col("heating") & ~F.col("was_heating")
     rows = scan(
-        rows,
-        ENTITY,
+        changed,
+        keys,
         latest={
             "_start": F.when(starts, F.struct("ts", "seq", F.col("current_temp").alias("temp"))),
             "_reach": F.when(F.col("reached"), F.struct("ts", "seq")),
         },
     )
-    in_cycle = F.col("heating") | F.col("was_heating")
+    in_cycle = (F.col("heating") | F.col("was_heating")) & F.col("_start").isNotNull()
     after_start = moment("_reach.ts", "_reach.seq") > moment("_start.ts", "_start.seq")
-    return rows.filter(in_cycle & F.col("_start").isNotNull()).withColumns(
+    return rows.withColumns(
         {
+            "in_cycle": in_cycle,
             "cycle_ts": F.col("_start.ts"),
             "cycle_seq": F.col("_start.seq"),
             "start_temp": F.col("_start.temp"),
@@ -105,9 +105,17 @@ def heating_rows(climate: DataFrame) -> DataFrame:
     ).drop("_start", "_reach")
 
 
+def heating_rows(climate: DataFrame) -> DataFrame:
+    """Readings that belong to a heating cycle, tagged with its start. The closing reading belongs to the cycle."""
+    return with_cycles(changes(climate)).filter("in_cycle").drop("in_cycle")
+
+
 def heating_cycles(climate: DataFrame) -> DataFrame:
+    return cycle_summary(heating_rows(climate))
+
+
+def cycle_summary(rows: DataFrame) -> DataFrame:
     """One row per heating cycle: bounds, temperatures, reaches and adjustments; context columns when present."""
-    rows = heating_rows(climate)
     closing = lambda c: F.max(F.when(F.col("closes"), F.col(c)))
     later = F.col("reached_so_far") & F.col("heating") & F.col("temp_changed")
     after_reach = F.col("reached") | later
@@ -123,6 +131,7 @@ def heating_cycles(climate: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("readings"),
         F.max(F.when(F.col("closes"), F.lit(True))).isNotNull().alias("closed"),
         closing("ts").alias("ended_at"),
+        closing("seq").alias("ended_seq"),
         closing("setpoint").alias("end_setpoint"),
         closing("current_temp").alias("end_temp"),
         F.max(F.when(F.col("reached"), F.col("ts"))).alias("reached_at"),
@@ -159,14 +168,25 @@ def time_to_temp(climate: DataFrame) -> DataFrame:
     )
 
 
+def reached_and_closed() -> Column:
+    return F.col("closed") & F.col("reached_at").isNotNull()
+
+
+def closed_below() -> Column:
+    """A cycle that ended below a setpoint above its start temperature."""
+    delta = F.col("end_setpoint") - F.col("start_temp")
+    return F.col("closed") & F.col("reached_at").isNull() & (delta > 0) & (F.coalesce("closest_reading", "start_temp") < F.col("end_setpoint"))
+
+
 def overshoot(cycles: DataFrame) -> DataFrame:
     """Closed cycles that reached their setpoint; the peak needs more than one reading from the reach on."""
-    return cycles.filter(F.col("closed") & F.col("reached_at").isNotNull()).select(
+    return cycles.filter(reached_and_closed()).select(
         "site_id",
         "entity_id",
         "floor",
         F.col("cycle_ts").alias("started_at"),
         "ended_at",
+        F.col("ended_seq").alias("seq"),
         "start_temp",
         F.col("end_setpoint").alias("setpoint"),
         (F.col("end_setpoint") - F.col("start_temp")).alias("setpoint_delta"),
@@ -182,17 +202,17 @@ def setpoint_miss(cycles: DataFrame) -> DataFrame:
     """Closed cycles that never reached a setpoint above their start temperature, with the likely cause."""
     closest = F.coalesce("closest_reading", "start_temp")
     delta = F.col("end_setpoint") - F.col("start_temp")
-    missed = F.col("closed") & F.col("reached_at").isNull() & (delta > 0) & (closest < F.col("end_setpoint"))
     cause = F.when(F.col("adjusted"), "thermostat_adjustment").otherwise("unknown")
     context = [c for c in ("outdoor_temp_f",) if c in cycles.columns]
     if "zones" in cycles.columns:
         context.append(zone_names(F.col("zones"), F.col("floor")).alias("other_zones"))
-    return cycles.filter(missed).select(
+    return cycles.filter(closed_below()).select(
         "site_id",
         "entity_id",
         "floor",
         F.col("cycle_ts").alias("started_at"),
         "ended_at",
+        F.col("ended_seq").alias("seq"),
         "start_temp",
         F.col("end_setpoint").alias("setpoint"),
         delta.alias("setpoint_delta"),

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.functions.skew import salted_join
+from emberline.functions.skew import keyed_join
 from emberline.schema import (
     FLOOR_DAILY,
     FLOORS,
@@ -103,5 +103,5 @@ def restart_tag(outcomes: DataFrame, run_id: Column, full_cycle: Column) -> Data
     rows = outcomes.withColumn("run_id", run_id)
     at = F.struct("ts", "seq")
     first = rows.groupBy("site_id", "run_id").agg(F.min(F.when(full_cycle, at)).alias("_first"))
-    tagged = salted_join(rows, first, ["site_id", "run_id"], ["ts", "seq"])
+    tagged = keyed_join(rows, first, ["site_id", "run_id"])
     return tagged.withColumn("across_restart", F.col("_first").isNull() | (at <= F.col("_first"))).drop("_first")

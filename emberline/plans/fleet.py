@@ -7,12 +7,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline import schema
 from emberline.functions.timeline import SLICE
-from emberline.operators import alarms, asof, edges, gauges, rollups, rules, thermostat
+from emberline.operators import asof, comparisons, edges, gauges, rollups, thermostat
+from emberline.plans import derived
 from emberline.schema import CALL, CLIMATE, FURNACE, OUTDOOR
 from emberline.sources import sinks
-from emberline.sources.event_table import observations
+from emberline.sources.event_table import all_observations, observations
+from emberline.sources.scratch import scratch_path
 
 
 class Fleet:
@@ -83,74 +84,28 @@ class Fleet:
             self.call_edges, self.furnace_edges, self.furnace, thermostat.changes(self.climate), self.outdoor
         )
 
+    @cached_property
+    def timeline(self) -> DataFrame:
+        """The fused scan of all observations, written once to the shared folder."""
+        spark = self.events.sparkSession
+        path = scratch_path(spark, "timeline")
+        derived.timeline(all_observations(self.events), look_up_old=True).write.parquet(path)
+        return spark.read.parquet(path)
+
+    def stored_p95(self) -> dict[str, float]:
+        """The long end of call durations by floor, from a stored baseline; a row per floor."""
+        spark = self.events.sparkSession
+        path = scratch_path(spark, "baseline")
+        sinks.save_baseline(comparisons.duration_baseline(derived.sessions(self.timeline), keys=["key"]), path)
+        return {r["key"]: r["p95"] for r in sinks.load_baseline(spark, path).select("key", "p95").collect()}
+
     def derived_log(self, as_of, scale: dict) -> DataFrame:
-        """Every derived event as one log ``(event_type, site_id, floor, ts, seq, ...)``, absent fields null.
-
-        Day summaries and the anomalies found in them are stamped with the end of their day.
-        """
-        key = ("site_id", "floor", "ts", "seq")
-        day_end = F.date_add("date", 1).cast("timestamp").alias("ts")
-        ended = F.col("ended_at").alias("ts")
-        started = F.col("edge") == "started"
-        climate = self.climate_in_context
-        cycles = thermostat.heating_cycles(climate)
-        long_calls = alarms.long_calls(self.call_edges, self.climate, as_of, scale["long_call_s"], scale["floors"])
-        no_response = alarms.floor_no_response(
-            self.call_edges, self.climate, as_of, scale["no_response_s"], scale["no_response_default_s"]
-        )
-        slow = thermostat.slow_to_heat(climate, scale["slow_to_heat_s"])
-        silence = alarms.silence_gaps(self.climate, as_of, scale["silence_s"])
-        total = F.col("total_runtime_s").alias("duration_s")
-        log = sinks.derived_union(
-            {
-                schema.FLOOR_CALL_STARTED: self.call_edges.filter(started).select(*key),
-                schema.FLOOR_CALL_ENDED: self.calls.select(*key, "duration_s"),
-                schema.SESSION_STARTED: self.furnace_edges.filter(started).select(*key),
-                schema.SESSION_ENDED: self.furnace_with_outdoor.select(*key, "duration_s", "outdoor_temp_f"),
-                schema.OUTDOOR_UPDATED: self.outdoor.select("site_id", "ts", "seq", "temperature_f"),
-                schema.TIME_TO_TEMP: thermostat.time_to_temp(climate).select(*key, "duration_s", "start_temp", "setpoint", "outdoor_temp_f"),
-                schema.OVERSHOOT: thermostat.overshoot(cycles).select(
-                    "site_id", "floor", ended, F.col("overshoot_s").alias("duration_s"), "start_temp", "setpoint", "outdoor_temp_f"
-                ),
-                schema.SETPOINT_MISS: thermostat.setpoint_miss(cycles).select(
-                    "site_id", "floor", ended, "duration_s", "start_temp", "setpoint", "outdoor_temp_f"
-                ),
-                schema.SLOW_TO_HEAT: slow.select(*key, F.col("elapsed_s").alias("duration_s"), "start_temp", "setpoint", "outdoor_temp_f"),
-                schema.LONG_CALL: long_calls.select(*key, "setpoint"),
-                schema.LONG_CALL_ESCALATION: alarms.long_call_escalations(long_calls).select(*key, "setpoint"),
-                schema.NO_RESPONSE: no_response.select(*key, "start_temp"),
-                schema.SILENCE: silence.select("site_id", "ts", "seq", F.col("gap_s").alias("duration_s")),
-                schema.SHORT_CALL: alarms.short_calls(self.furnace, scale["short_call_s"]).select(*key, "duration_s"),
-                schema.FLOOR_DAILY: self.floor_days.select("site_id", "floor", day_end, "date", total),
-                schema.FURNACE_DAILY: self.furnace_days.select(
-                    "site_id", day_end, "date", F.col("total_furnace_runtime_s").alias("duration_s")
-                ),
-                schema.RUNTIME_ANOMALY: rules.floor_runtime_anomaly(self.floor_days).select(
-                    "site_id", "floor", day_end, "date", F.col("runtime_s").alias("duration_s")
-                ),
-            }
-        )
-        changes = thermostat.change_events(thermostat.changes(self.climate))
-        return log.unionByName(changes, allowMissingColumns=True)
+        """Every derived event as one log ``(event_type, site_id, floor, ts, seq, ...)``; ``scale`` names the thresholds."""
+        return derived.derived_log(self.timeline, as_of, scale, self.stored_p95())
 
     def warnings(self, as_of, scale: dict) -> DataFrame:
-        """All warning kinds; ``scale`` names the thresholds."""
-        long_calls = alarms.long_calls(self.call_edges, self.climate, as_of, scale["long_call_s"], scale["floors"])
-        return alarms.warnings_log(
-            {
-                "floor_2_long_call": long_calls,
-                "floor_2_escalation": alarms.long_call_escalations(long_calls),
-                "floor_no_response": alarms.floor_no_response(
-                    self.call_edges, self.climate, as_of, scale["no_response_s"], scale["no_response_default_s"]
-                ),
-                "zone_slow_to_heat": thermostat.slow_to_heat(self.climate, scale["slow_to_heat_s"]),
-                "observer_silence": alarms.silence_gaps(self.climate, as_of, scale["silence_s"]),
-                "setpoint_miss": thermostat.setpoint_miss(thermostat.heating_cycles(self.climate)).select(
-                    "site_id", "floor", F.col("ended_at").alias("ts"), F.lit(0).alias("seq")
-                ),
-                "furnace_short_call": alarms.short_calls(self.furnace, scale["short_call_s"]),
-            }
-        )
+        """All warning kinds as ``(site_id, kind, ts, seq, floor)``."""
+        return derived.warnings(self.timeline, as_of, scale)
 
 
 def present(df: DataFrame) -> DataFrame:

@@ -118,7 +118,7 @@ def cte(until: str | None = None) -> dict[str, str]:
             WHERE h.reached AND h.start_temp IS NOT NULL""",
         "over": f"""SELECT c.site_id, c.entity_id, c.floor, c.cycle_ts AS started_at, c.ended_at, c.start_temp, c.end_setpoint AS setpoint,
             c.end_setpoint - c.start_temp AS setpoint_delta, c.end_temp, {secs('c.reached_at', 'c.ended_at')} AS overshoot_s,
-            CASE WHEN n_post > 1 THEN peak END AS peak_temp, o.outdoor_temp_f, z.other_zones
+            CASE WHEN n_post > 1 THEN peak END AS peak_temp, o.outdoor_temp_f, z.other_zones, c.end_seq AS seq
             FROM cycles c JOIN climate_o o ON o.site_id = c.site_id AND o.seq = c.end_seq JOIN zones_start z ON z.site_id = c.site_id AND z.seq = c.cycle_seq
             WHERE closed AND reached_at IS NOT NULL""",
         "miss": f"""SELECT c.site_id, c.entity_id, c.floor, c.cycle_ts AS started_at, c.ended_at, c.end_seq, c.start_temp, c.end_setpoint AS setpoint,
@@ -182,6 +182,12 @@ def cte(until: str | None = None) -> dict[str, str]:
             FROM (SELECT site_id, metric, floor, unnest(range(min(tick), max(tick) + 1)) AS tick FROM ticks GROUP BY site_id, metric, floor) g
             ASOF JOIN (SELECT * REPLACE (coalesce(floor, '-') AS floor) FROM ticks) t
             ON t.site_id = g.site_id AND t.metric = g.metric AND t.floor = coalesce(g.floor, '-') AND g.tick >= t.tick""",
+        "snapshots": """SELECT g.site_id, make_timestamp(g.tick * 21600000000) AS ts, c.floor, c.current_temp, c.setpoint, c.hvac_action,
+        CASE WHEN CAST(o.ts AS DATE) = CAST(make_timestamp(g.tick * 21600000000) AS DATE) THEN o.temperature_f END AS outdoor_temp_f
+        FROM (SELECT site_id, floor, make_timestamp(tick * 21600000000) AS at, tick FROM (SELECT site_id, unnest(range(min(t), max(t) + 1)) AS tick FROM (
+          SELECT site_id, CAST(ceil(epoch_us(ts) / 21600000000.0) AS BIGINT) AS t FROM climate) GROUP BY site_id) CROSS JOIN (VALUES ('floor_1'), ('floor_2'), ('floor_3')) z(floor)) g
+        ASOF JOIN climate c ON c.site_id = g.site_id AND c.floor = g.floor AND g.at >= c.ts
+        ASOF LEFT JOIN outdoor o ON o.site_id = g.site_id AND g.at >= o.ts""",
         "snapshot": "SELECT site_id, "
         + each("max_by(value, (ts, seq)) FILTER (WHERE metric = 'floor_temperature_f' AND floor = '{f}') AS {f}_temp_f, max_by(value, (ts, seq)) FILTER (WHERE metric = 'floor_setpoint_f' AND floor = '{f}') AS {f}_setpoint_f, max_by(value, (ts, seq)) FILTER (WHERE metric = 'floor_call_active' AND floor = '{f}') AS {f}_calling")
         + ", max_by(value, (ts, seq)) FILTER (WHERE metric = 'outdoor_temperature_f') AS outdoor_temp_f, max_by(value, (ts, seq)) FILTER (WHERE metric = 'furnace_active') AS furnace_active FROM gs GROUP BY site_id",
@@ -280,28 +286,32 @@ ORACLE: dict[str, str] = {
     "validate_observations": sql(LINES),
     "validation_summary": sql(f"""SELECT measure, count(*) AS n FROM (SELECT unnest(list_filter(string_split(errors, ','), lambda e: e <> '')
         || ['total', CASE WHEN errors = '' THEN 'valid' ELSE 'invalid' END] || CASE WHEN unknown_entity THEN ['unknown_entity'] ELSE [] END) AS measure FROM ({LINES})) GROUP BY measure"""),
-    "derived_union": sql("""SELECT event_type, site_id, floor, ts, duration_s, temperature_f, setpoint, outdoor_temp_f FROM (
-        SELECT 'floor_call_started' AS event_type, site_id, floor, ts, NULL::BIGINT AS duration_s, NULL::DOUBLE AS temperature_f, NULL::DOUBLE AS setpoint, NULL::DOUBLE AS outdoor_temp_f FROM call_edges WHERE edge = 'started'
-        UNION ALL SELECT 'floor_call_ended', site_id, floor, ts, duration_s, NULL, NULL, NULL FROM calls
-        UNION ALL SELECT 'heating_session_started', site_id, NULL, ts, NULL, NULL, NULL, NULL FROM furnace_edges WHERE edge = 'started'
-        UNION ALL SELECT 'heating_session_ended', site_id, NULL, ts, duration_s, NULL, NULL, outdoor_temp_f FROM furnace_o
-        UNION ALL SELECT 'outdoor_temp_updated', site_id, NULL, ts, NULL, temperature_f, NULL, NULL FROM outdoor
-        UNION ALL SELECT 'zone_time_to_temp', site_id, floor, ts, duration_s, NULL, setpoint, outdoor_temp_f FROM tt
-        UNION ALL SELECT 'zone_overshoot', site_id, floor, ended_at, overshoot_s, NULL, setpoint, outdoor_temp_f FROM over
-        UNION ALL SELECT 'zone_setpoint_miss', m.site_id, m.floor, m.ended_at, m.duration_s, NULL, m.setpoint, o.outdoor_temp_f FROM miss m JOIN climate_o o ON o.site_id = m.site_id AND o.seq = m.end_seq
-        UNION ALL SELECT 'zone_slow_to_heat_warning', s.site_id, s.floor, s.ts, s.elapsed_s, NULL, s.setpoint, o.outdoor_temp_f FROM slow s JOIN climate_o o USING (site_id, seq)
-        UNION ALL SELECT 'floor_2_long_call_warning', site_id, floor, ts, NULL, NULL, setpoint, NULL FROM long
-        UNION ALL SELECT 'floor_2_long_call_escalation', site_id, floor, ts, NULL, NULL, setpoint, NULL FROM esc
-        UNION ALL SELECT 'floor_no_response_warning', site_id, floor, ts, NULL, NULL, NULL, NULL FROM nr
-        UNION ALL SELECT 'observer_silence_warning', site_id, NULL, ts, gap_s, NULL, NULL, NULL FROM silence
-        UNION ALL SELECT 'furnace_short_call_warning', site_id, NULL, ts, duration_s, NULL, NULL, NULL FROM short
-        UNION ALL SELECT 'floor_daily_summary', site_id, floor, CAST(date + 1 AS TIMESTAMP), total_runtime_s, NULL, NULL, NULL FROM floor_days
-        UNION ALL SELECT 'furnace_daily_summary', site_id, NULL, CAST(date + 1 AS TIMESTAMP), total_furnace_runtime_s, NULL, NULL, NULL FROM fdays
-        UNION ALL SELECT 'floor_runtime_anomaly', site_id, floor, CAST(date + 1 AS TIMESTAMP), runtime_s, NULL, NULL, NULL FROM anom
-        UNION ALL SELECT 'thermostat_setpoint_changed', site_id, floor, ts, NULL, NULL, setpoint, NULL FROM chg WHERE sp_changed
-        UNION ALL SELECT 'thermostat_current_temp_updated', site_id, floor, ts, NULL, NULL, setpoint, NULL FROM chg WHERE ct_changed
-        UNION ALL SELECT 'thermostat_mode_changed', site_id, floor, ts, NULL, NULL, setpoint, NULL FROM chg WHERE md_changed
-        UNION ALL SELECT 'thermostat_setpoint_reached', site_id, floor, ts, NULL, NULL, setpoint, NULL FROM chg WHERE reached)""", **AS),
+    "derived_union": sql("""SELECT event_type, site_id, floor, ts, seq, duration_s, temperature_f, current_temp, setpoint, outdoor_temp_f FROM (
+        SELECT 'floor_call_started' AS event_type, site_id, floor, ts, seq, NULL::BIGINT AS duration_s, NULL::DOUBLE AS temperature_f, NULL::DOUBLE AS current_temp, NULL::DOUBLE AS setpoint, NULL::DOUBLE AS outdoor_temp_f FROM call_edges WHERE edge = 'started'
+        UNION ALL SELECT 'floor_call_ended', site_id, floor, ts, seq, duration_s, NULL, NULL, NULL, NULL FROM calls
+        UNION ALL SELECT 'heating_session_started', site_id, NULL, ts, seq, NULL, NULL, NULL, NULL, NULL FROM furnace_edges WHERE edge = 'started'
+        UNION ALL SELECT 'heating_session_ended', site_id, NULL, ts, seq, duration_s, NULL, NULL, NULL, outdoor_temp_f FROM furnace_o
+        UNION ALL SELECT 'outdoor_temp_updated', site_id, NULL, ts, seq, NULL, temperature_f, NULL, NULL, NULL FROM outdoor
+        UNION ALL SELECT 'zone_time_to_temp', site_id, floor, ts, seq, duration_s, NULL, NULL, setpoint, outdoor_temp_f FROM tt
+        UNION ALL SELECT 'zone_overshoot', site_id, floor, ended_at, seq, overshoot_s, NULL, NULL, setpoint, outdoor_temp_f FROM over
+        UNION ALL SELECT 'zone_setpoint_miss', m.site_id, m.floor, m.ended_at, m.end_seq, m.duration_s, NULL, NULL, m.setpoint, o.outdoor_temp_f FROM miss m JOIN climate_o o ON o.site_id = m.site_id AND o.seq = m.end_seq
+        UNION ALL SELECT 'zone_slow_to_heat_warning', s.site_id, s.floor, s.ts, s.seq, s.elapsed_s, NULL, NULL, s.setpoint, o.outdoor_temp_f FROM slow s JOIN climate_o o USING (site_id, seq)
+        UNION ALL SELECT 'floor_2_long_call_warning', site_id, floor, ts, seq, NULL, NULL, NULL, setpoint, NULL FROM long
+        UNION ALL SELECT 'floor_2_long_call_escalation', site_id, floor, ts, seq, NULL, NULL, NULL, setpoint, NULL FROM esc
+        UNION ALL SELECT 'floor_no_response_warning', site_id, floor, ts, seq, NULL, NULL, NULL, NULL, NULL FROM nr
+        UNION ALL SELECT 'observer_silence_warning', site_id, NULL, ts, seq, gap_s, NULL, NULL, NULL, NULL FROM silence
+        UNION ALL SELECT 'furnace_short_call_warning', site_id, NULL, ts, seq, duration_s, NULL, NULL, NULL, NULL FROM short
+        UNION ALL SELECT CASE WHEN duration_s < 10800 THEN 'heating_short_session_warning' ELSE 'heating_long_session_warning' END, site_id, floor, ts, seq, duration_s, NULL, NULL, NULL, NULL
+          FROM calls c LEFT JOIN base b ON b.key = c.floor WHERE duration_s < 10800
+            OR duration_s > greatest(coalesce(b.p95 * 1.5, 0), CASE floor WHEN 'floor_1' THEN 1800.0 WHEN 'floor_2' THEN 2700.0 ELSE 1200.0 END)
+        UNION ALL SELECT 'floor_daily_summary', site_id, floor, CAST(date + 1 AS TIMESTAMP), NULL, total_runtime_s, NULL, NULL, NULL, NULL FROM floor_days
+        UNION ALL SELECT 'furnace_daily_summary', site_id, NULL, CAST(date + 1 AS TIMESTAMP), NULL, total_furnace_runtime_s, NULL, NULL, NULL, NULL FROM fdays
+        UNION ALL SELECT 'floor_runtime_anomaly', site_id, floor, CAST(date + 1 AS TIMESTAMP), NULL, runtime_s, NULL, NULL, NULL, NULL FROM anom
+        UNION ALL SELECT 'zone_temp_snapshot', site_id, floor, ts, NULL, NULL, NULL, current_temp, setpoint, outdoor_temp_f FROM snapshots
+        UNION ALL SELECT 'thermostat_setpoint_changed', site_id, floor, ts, seq, NULL, NULL, current_temp, setpoint, NULL FROM chg WHERE sp_changed
+        UNION ALL SELECT 'thermostat_current_temp_updated', site_id, floor, ts, seq, NULL, NULL, current_temp, setpoint, NULL FROM chg WHERE ct_changed
+        UNION ALL SELECT 'thermostat_mode_changed', site_id, floor, ts, seq, NULL, NULL, current_temp, setpoint, NULL FROM chg WHERE md_changed
+        UNION ALL SELECT 'thermostat_setpoint_reached', site_id, floor, ts, seq, NULL, NULL, current_temp, setpoint, NULL FROM chg WHERE reached)""", **AS),
     "session_export": sql("SELECT site_id, ended_at - to_seconds(duration_s) AS started_at, ended_at, duration_s, outdoor_temp_f, entity_id FROM furnace_o WHERE duration_s IS NOT NULL"),
     "entity_lookup": sql("""SELECT s.source, e.* FROM (
         SELECT entity_id, 'climate' AS kind, floor, count(*) AS n, count(DISTINCT site_id) AS sites FROM climate WHERE site_id % 7 <> 0 GROUP BY ALL
@@ -332,7 +342,7 @@ ORACLE: dict[str, str] = {
     "open_sessions": sql("SELECT * FROM open_now", **LIVE),
     "zone_time_to_temp": sql("SELECT * FROM tt"),
     "zone_overshoot": sql("SELECT * FROM over"),
-    "zone_setpoint_miss": sql("""SELECT m.* EXCLUDE (end_seq, cycle_seq), o.outdoor_temp_f, z.other_zones FROM miss m
+    "zone_setpoint_miss": sql("""SELECT m.* EXCLUDE (end_seq, cycle_seq), m.end_seq AS seq, o.outdoor_temp_f, z.other_zones FROM miss m
         JOIN climate_o o ON o.site_id = m.site_id AND o.seq = m.end_seq JOIN zones_start z ON z.site_id = m.site_id AND z.seq = m.cycle_seq"""),
     "zone_slow_to_heat": sql("""SELECT s.site_id, s.entity_id, s.floor, s.cycle_ts AS started_at, s.ts, s.seq, s.elapsed_s, s.start_temp, s.current_temp, s.setpoint, o.outdoor_temp_f,
         s.setpoint - s.start_temp AS setpoint_delta, s.current_temp - s.start_temp AS degrees_gained FROM slow s JOIN climate_o o USING (site_id, seq)"""),
@@ -386,10 +396,10 @@ ORACLE: dict[str, str] = {
         CASE WHEN EXISTS (SELECT 1 FROM sent s WHERE s.site_id = a.site_id AND s.i = a.i) THEN a.i - 1 - coalesce((SELECT max(s.i) FROM sent s WHERE s.site_id = a.site_id AND s.i < a.i), 0) ELSE 0 END AS suppressed_before FROM al a""", **AS),
     "late_alerts": sql("SELECT site_id, ts, event_id * 4 + 1 AS seq, sent_at, coalesce((epoch_us(sent_at) - epoch_us(ts)) / 1000000 > 300, false) AS late FROM (SELECT *, lead(ts) OVER (PARTITION BY site_id ORDER BY ts, event_id) AS sent_at FROM ev)", **AS),
     "recent_sessions": sql("SELECT site_id, entity_id, seq, started_at, ended_at, duration_s, outdoor_temp_f, rank FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ts DESC, seq DESC) AS rank FROM furnace_o) WHERE rank <= 8"),
-    "recent_warnings": sql("""SELECT * FROM (SELECT site_id, 'Floor 2 long call' AS label, floor, ts, NULL::BIGINT AS duration_s FROM long UNION ALL SELECT site_id, 'Furnace short call', NULL, ts, duration_s FROM short
-        UNION ALL SELECT site_id, 'Observer silence', NULL, ts, NULL FROM silence
-        UNION ALL SELECT site_id, 'Floor not responding', floor, ts, NULL FROM nr
-        UNION ALL SELECT site_id, 'Anomaly detected', floor, CAST(date + 1 AS TIMESTAMP), runtime_s FROM anom)
+    "recent_warnings": sql("""SELECT * FROM (SELECT site_id, 'call lasts too long' AS label, floor, ts, NULL::BIGINT AS duration_s FROM long UNION ALL SELECT site_id, 'furnace ran too briefly', NULL, ts, duration_s FROM short
+        UNION ALL SELECT site_id, 'no readings from the site', NULL, ts, gap_s FROM silence
+        UNION ALL SELECT site_id, 'floor stays cold while calling', floor, ts, NULL FROM nr
+        UNION ALL SELECT site_id, 'unusual runtime of a floor', floor, CAST(date + 1 AS TIMESTAMP), runtime_s FROM anom)
         WHERE ts BETWEEN TIMESTAMP '2024-01-25 00:00:00' AND TIMESTAMP '2024-01-28 00:00:00'""", **AS),
     "latest_gauges": sql("SELECT site_id, metric, floor, max_by(value, (ts, seq)) AS value, max(ts) AS ts FROM gs GROUP BY ALL"),
     "gauge_series": sql("SELECT * FROM series"),
@@ -399,12 +409,7 @@ ORACLE: dict[str, str] = {
         FROM (SELECT *, lag(runtime_today_s) OVER (PARTITION BY site_id, floor ORDER BY ts, seq) AS b FROM rt) GROUP BY ALL"""),
     "series_reduce": sql("SELECT site_id, metric, floor, max_by(value, ts) AS last, max_by(value, ts) AS last_not_null, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, count(value) AS n FROM series GROUP BY ALL"),
     "current_snapshot": sql("SELECT * FROM snapshot"),
-    "zone_snapshots": sql("""SELECT g.site_id, make_timestamp(g.tick * 21600000000) AS ts, c.floor, c.current_temp, c.setpoint, c.hvac_action,
-        CASE WHEN CAST(o.ts AS DATE) = CAST(make_timestamp(g.tick * 21600000000) AS DATE) THEN o.temperature_f END AS outdoor_temp_f
-        FROM (SELECT site_id, floor, make_timestamp(tick * 21600000000) AS at, tick FROM (SELECT site_id, unnest(range(min(t), max(t) + 1)) AS tick FROM (
-          SELECT site_id, CAST(ceil(epoch_us(ts) / 21600000000.0) AS BIGINT) AS t FROM climate) GROUP BY site_id) CROSS JOIN (VALUES ('floor_1'), ('floor_2'), ('floor_3')) z(floor)) g
-        ASOF JOIN climate c ON c.site_id = g.site_id AND c.floor = g.floor AND g.at >= c.ts
-        ASOF LEFT JOIN outdoor o ON o.site_id = g.site_id AND g.at >= o.ts"""),
+    "zone_snapshots": sql("SELECT * FROM snapshots"),
     "context_rollup": sql("SELECT *, 'current' AS section, '2024-01-20' AS date, NULL::BIGINT AS session_count, NULL::BIGINT AS furnace_runtime_s, " + each("NULL::BIGINT AS {f}_runtime_s") + ", NULL::DOUBLE AS outdoor_temp_min_f, NULL::DOUBLE AS outdoor_temp_max_f, NULL::DOUBLE AS outdoor_temp_avg_f FROM snapshot"
         + " UNION ALL BY NAME SELECT site_id, 'today' AS section, '2024-01-20' AS date, session_count, furnace_today_s AS furnace_runtime_s, " + each("{f}_today_s AS {f}_runtime_s") + " FROM live_t"
         + " UNION ALL BY NAME SELECT site_id, CASE WHEN date = DATE '2024-01-19' THEN 'yesterday' ELSE 'older' END AS section, strftime(date, '%Y-%m-%d') AS date, session_count, total_furnace_runtime_s AS furnace_runtime_s, " + each("runtime_{f}_s AS {f}_runtime_s")

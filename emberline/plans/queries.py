@@ -12,29 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions.scalars import confidence, severity
-from emberline.functions.skew import salted_join
+from emberline.functions.skew import keyed_join
 from emberline.functions.timeline import scan
 from emberline.operators import alarms, asof, comparisons, edges, gauges, rollups, rules, thermostat
-from emberline.plans import context
+from emberline.plans import context, derived
 from emberline.plans.fleet import Fleet, present
 from emberline.schema import (
     CALL,
     CLIMATE,
     ENTITIES,
-    FLOOR_DAILY,
     FURNACE,
-    FURNACE_DAILY,
-    LONG_CALL,
-    NO_RESPONSE,
     OUTDOOR,
     OVERSHOOT,
-    RUNTIME_ANOMALY,
-    SESSION_ENDED,
     SETPOINT_MISS,
-    SHORT_CALL,
-    SILENCE,
     TIME_TO_TEMP,
     WARNING_KINDS,
+    WARNING_LABELS,
 )
 from emberline.sources import logs, sinks
 from emberline.sources.event_table import read_events
@@ -49,6 +42,7 @@ SCALE = {
     "no_response_s": {},
     "no_response_default_s": 12 * HOUR,
     "slow_to_heat_s": {"floor_1": 6 * HOUR, "floor_2": 6 * HOUR, "floor_3": 6 * HOUR},
+    "snapshot_s": 6 * HOUR,
 }
 AS_OF = "2024-01-31 00:00:00"
 LIVE_AT = "2024-01-20 12:00:00"
@@ -176,9 +170,12 @@ def validation_summary(f: Fleet) -> DataFrame:
 
 @query(until=AS_OF)
 def derived_union(f: Fleet) -> DataFrame:
-    """Every derived event as one log."""
-    log = f.derived_log(at(AS_OF), SCALE)
-    return log.select("event_type", "site_id", "floor", "ts", "duration_s", "temperature_f", "setpoint", "outdoor_temp_f")
+    """Every derived event as one log, written and read back."""
+    spark = f.events.sparkSession
+    path = scratch_path(spark, "derived")
+    sinks.write_derived(f.derived_log(at(AS_OF), SCALE), path)
+    log = spark.read.parquet(path)
+    return log.select("event_type", "site_id", "floor", "ts", "seq", "duration_s", "temperature_f", "current_temp", "setpoint", "outdoor_temp_f")
 
 
 @query()
@@ -217,7 +214,7 @@ def anomaly_confidence(f: Fleet) -> DataFrame:
     """Confidence and severity of each event value against its site's mean."""
     stats = f.events.groupBy("site_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
     z = F.try_divide(F.abs(F.col("value") - F.col("m")), F.nullif("s", F.lit(0.0)))
-    scored = salted_join(f.events, stats, ["site_id"], ["event_id"]).withColumn("z", F.round(z, 6))
+    scored = keyed_join(f.events, stats, ["site_id"]).withColumn("z", F.round(z, 6))
     scored = scored.withColumn("confidence", F.round(confidence(F.col("z")), 6))
     return scored.select("site_id", "event_id", "z", "confidence", severity(F.col("confidence")).alias("severity"))
 
@@ -225,20 +222,8 @@ def anomaly_confidence(f: Fleet) -> DataFrame:
 @query(until=AS_OF)
 def context_events(f: Fleet) -> DataFrame:
     """The lookback window plus the day summaries before it."""
-    cols = ("site_id", "floor", "ts", "seq")
-    midnight = F.date_add("date", 1).cast("timestamp")
-    log = sinks.derived_union(
-        {
-            SESSION_ENDED: f.furnace.select(*cols, "duration_s"),
-            FLOOR_DAILY: f.floor_days.select("site_id", "floor", midnight.alias("ts"), "date", F.col("total_runtime_s").alias("duration_s")),
-            FURNACE_DAILY: f.furnace_days.select("site_id", midnight.alias("ts"), "date", F.col("total_furnace_runtime_s").alias("duration_s")),
-            SHORT_CALL: alarms.short_calls(f.furnace, SCALE["short_call_s"]).select(*cols, "duration_s"),
-            SILENCE: alarms.silence_gaps(f.climate, at(AS_OF), SCALE["silence_s"]).select("site_id", "ts", "seq", F.col("gap_s").alias("duration_s")),
-            LONG_CALL: _long_calls(f).select(*cols),
-            NO_RESPONSE: _no_response(f).select(*cols),
-            RUNTIME_ANOMALY: _runtime_anomalies(f),
-        }
-    )
+    rows = derived.row_events(f.timeline, at(AS_OF), SCALE, {}, context.CONTEXT_EVENTS)
+    log = rows.unionByName(derived.day_events(derived.furnace_days(f.timeline)))
     rows = context.context_events(log, at(LIVE_AT), hours=72)
     return rows.select("event_type", "site_id", "floor", "ts", "duration_s")
 
@@ -366,6 +351,10 @@ def other_zones_calling(f: Fleet) -> DataFrame:
 
 def _stored_twice(days: DataFrame, total: str) -> DataFrame:
     """Summaries as a store holds them after a correction: an older version with another total, then the right one."""
+    spark = days.sparkSession
+    path = scratch_path(spark, "summaries")
+    days.write.parquet(path)
+    days = spark.read.parquet(path)
     older = days.withColumns({total: F.col(total) + 5, "seq": F.lit(0)})
     return older.unionByName(days.withColumn("seq", F.lit(1)))
 
@@ -377,9 +366,7 @@ def floor_daily_summary(f: Fleet) -> DataFrame:
 
 
 def _furnace_days_with_warnings(f: Fleet, setpoints: bool = True) -> DataFrame:
-    return rollups.furnace_daily_summary(
-        f.furnace, f.calls, f.outdoor, f.days, f.setpoints if setpoints else None, f.warnings(at(AS_OF), SCALE)
-    )
+    return derived.furnace_days(f.timeline, f.warnings(at(AS_OF), SCALE), f.setpoints if setpoints else None)
 
 
 @query(until=AS_OF)
@@ -582,11 +569,6 @@ def _no_response(f: Fleet) -> DataFrame:
     return alarms.floor_no_response(f.call_edges, f.climate, at(AS_OF), SCALE["no_response_s"], SCALE["no_response_default_s"])
 
 
-def _runtime_anomalies(f: Fleet) -> DataFrame:
-    found = rules.floor_runtime_anomaly(f.floor_days)
-    return found.select("site_id", "floor", F.date_add("date", 1).cast("timestamp").alias("ts"), F.col("runtime_s").alias("duration_s"))
-
-
 @query(until=AS_OF)
 def long_call_warnings(f: Fleet) -> DataFrame:
     """L1, J4"""
@@ -637,15 +619,8 @@ def recent_sessions(f: Fleet) -> DataFrame:
 @query(until=AS_OF)
 def recent_warnings(f: Fleet) -> DataFrame:
     """T2"""
-    log = sinks.derived_union(
-        {
-            LONG_CALL: _long_calls(f).select("site_id", "floor", "ts", "seq"),
-            SHORT_CALL: alarms.short_calls(f.furnace, SCALE["short_call_s"]).select("site_id", "ts", "seq", "duration_s"),
-            SILENCE: alarms.silence_gaps(f.climate, at(AS_OF), SCALE["silence_s"]).select("site_id", "ts", "seq"),
-            NO_RESPONSE: _no_response(f).select("site_id", "floor", "ts", "seq"),
-            RUNTIME_ANOMALY: _runtime_anomalies(f),
-        }
-    )
+    log = derived.row_events(f.timeline, at(AS_OF), SCALE, {}, WARNING_LABELS)
+    log = log.unionByName(derived.day_events(derived.furnace_days(f.timeline)))
     rows = context.recent_warnings(log, at("2024-01-28 00:00:00"), hours=72)
     return rows.select("site_id", "label", "floor", "ts", "duration_s").orderBy(F.col("ts").desc(), "site_id", "label")
 
@@ -705,7 +680,7 @@ def zone_snapshots(f: Fleet) -> DataFrame:
 @query(until=LIVE_AT)
 def context_rollup(f: Fleet) -> DataFrame:
     """G9"""
-    return context.context_rollup(gauges.current_snapshot(f.gauge_samples), _live(f), f.furnace_days, at(LIVE_AT), hours=48)
+    return context.context_rollup(gauges.current_snapshot(f.gauge_samples), _live(f), derived.furnace_days(f.timeline), at(LIVE_AT), hours=48)
 
 
 # --- replay views -----------------------------------------------------------------------------------------------------

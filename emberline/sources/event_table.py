@@ -34,10 +34,9 @@ def observations(events: DataFrame, *kinds: str, old_state: bool = True) -> Data
 
     The table has no previous states; they are looked up unless ``old_state`` is off, as it must be on a stream.
     """
-    parts = {CALL: _calls, FURNACE: _furnace, OUTDOOR: _outdoor, CLIMATE: _climate}
     out = None
-    for kind in kinds or parts:
-        part = parts[kind](events)
+    for kind in kinds or PARTS:
+        part = _shape(events, kind)
         if old_state and kind in (CALL, FURNACE):
             part = _with_old_state(part)
         out = part if out is None else out.unionByName(part)
@@ -52,20 +51,32 @@ def _floor() -> Column:
     return F.concat(F.lit("floor_"), (F.col("event_id") % 3 + 1).cast("string"))
 
 
-def _shape(events: DataFrame, kind: str, entity: Column, state: Column, floor=None, attributes=None) -> DataFrame:
+def _fields(kind: str, entity: Column, state: Column, floor=None, attributes=None) -> list[Column]:
     nothing = F.lit(None)
-    return events.select(
-        "site_id",
+    return [
         (F.col("event_id") * 4 + RANK[kind]).alias("seq"),
-        "ts",
         entity.alias("entity_id"),
         F.lit(kind).alias("kind"),
         (nothing.cast("string") if floor is None else floor).alias("floor"),
         nothing.cast("string").alias("old_state"),
         state.alias("new_state"),
         (nothing.cast(OBSERVATION["attributes"].dataType) if attributes is None else attributes).alias("attributes"),
-        *keep_slice(events),
-    )
+    ]
+
+
+def _shape(events: DataFrame, kind: str) -> DataFrame:
+    test, fields = PARTS[kind]()
+    rows = events if test is None else events.filter(test)
+    seq, *others = fields
+    return rows.select("site_id", seq, "ts", *others, *keep_slice(events))
+
+
+def all_observations(events: DataFrame) -> DataFrame:
+    """The observations of all kinds from one scan, without previous states."""
+    parts = [(test, F.struct(*fields)) for test, fields in (part() for part in PARTS.values())]
+    rows = F.array(*[one if test is None else F.when(test, one) for test, one in parts])
+    unfolded = events.select("site_id", "ts", *keep_slice(events), F.inline(F.array_compact(rows)))
+    return unfolded.select(*[f.name for f in OBSERVATION.fields], *keep_slice(events))
 
 
 def _with_old_state(rows: DataFrame) -> DataFrame:
@@ -74,25 +85,22 @@ def _with_old_state(rows: DataFrame) -> DataFrame:
     return before.select(*columns, *keep_slice(rows))
 
 
-def _calls(events: DataFrame) -> DataFrame:
-    rows = events.filter(F.col("event_type").isin("click", "view", "purchase", "signup"))
+def _calls() -> tuple[Column | None, list[Column]]:
     state = F.when(F.col("event_type").isin("click", "view"), "on").otherwise("off")
     entity = F.concat(F.lit("binary_sensor."), _floor(), F.lit("_heating_call"))
-    return _shape(rows, CALL, entity, state, _floor())
+    return F.col("event_type").isin("click", "view", "purchase", "signup"), _fields(CALL, entity, state, _floor())
 
 
-def _furnace(events: DataFrame) -> DataFrame:
-    state = F.when(_k() < 50, "on").otherwise("off")
-    return _shape(events, FURNACE, F.lit("binary_sensor.furnace_heating"), state)
+def _furnace() -> tuple[Column | None, list[Column]]:
+    return None, _fields(FURNACE, F.lit("binary_sensor.furnace_heating"), F.when(_k() < 50, "on").otherwise("off"))
 
 
-def _outdoor(events: DataFrame) -> DataFrame:
-    rows = events.filter(F.col("event_type") == "view")
+def _outdoor() -> tuple[Column | None, list[Column]]:
     state = F.when(_k() % 17 == 0, "unavailable").otherwise(F.col("value").cast("string"))
-    return _shape(rows, OUTDOOR, F.lit("sensor.outdoor_temperature"), state)
+    return F.col("event_type") == "view", _fields(OUTDOOR, F.lit("sensor.outdoor_temperature"), state)
 
 
-def _climate(events: DataFrame) -> DataFrame:
+def _climate() -> tuple[Column | None, list[Column]]:
     attributes = F.struct(
         (F.lit(60) + _k() % 10).cast("double").alias("temperature"),
         (F.lit(55) + F.round("value").cast("int") % 20).cast("double").alias("current_temperature"),
@@ -100,4 +108,8 @@ def _climate(events: DataFrame) -> DataFrame:
     )
     mode = F.when(_k() % 17 == 0, "off").otherwise("heat")
     entity = F.concat(F.lit("climate."), _floor(), F.lit("_thermostat"))
-    return _shape(events, CLIMATE, entity, mode, _floor(), attributes)
+    return None, _fields(CLIMATE, entity, mode, _floor(), attributes)
+
+
+# which events yield an observation of a kind (None: all), and its fields
+PARTS = {CALL: _calls, FURNACE: _furnace, OUTDOOR: _outdoor, CLIMATE: _climate}
