@@ -433,9 +433,15 @@ ORACLE: dict[str, str] = {
           JOIN climate_o o ON o.site_id = m.site_id AND o.seq = m.end_seq JOIN zones_start z ON z.site_id = m.site_id AND z.seq = m.cycle_seq
         UNION ALL SELECT 'zone_slow_to_heat_warning', s.site_id, s.floor, s.ts, s.seq, s.elapsed_s, NULL, NULL, o.outdoor_temp_f, z.other_zones FROM slow s JOIN climate_o o USING (site_id, seq) JOIN zones_all z USING (site_id, seq)"""),
     "st_alarms": sql("""SELECT * FROM (SELECT site_id, 'floor_2_long_call' AS kind, floor, ts, started_at AS since FROM long UNION ALL SELECT site_id, 'floor_no_response', floor, ts, call_start_time FROM nr
-        UNION ALL SELECT site_id, 'observer_silence', NULL, ts, last_event_ts FROM silence) WHERE ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ev)"""),
-    "st_daily": sql(f"SELECT site_id, floor, strftime(date, '%Y-%m-%d') AS date, n AS total_calls, CAST(coalesce(s, 0) AS BIGINT) AS total_runtime_s, m AS max_duration_s FROM cdaily WHERE CAST(date + 1 AS TIMESTAMP) <= (SELECT max(ts) - INTERVAL 1 DAY FROM calls)"),
-    "st_gauges": sql("""SELECT site_id, metric, floor, max(ts) AS ts, max_by(value, (ts, seq)) AS value FROM (SELECT site_id, 'floor_temperature_f' AS metric, floor, ts, seq, current_temp AS value FROM climate
-        UNION ALL SELECT site_id, 'floor_setpoint_f', floor, ts, seq, setpoint FROM climate UNION ALL SELECT site_id, 'outdoor_temperature_f', NULL, ts, seq, temperature_f FROM outdoor) GROUP BY site_id, metric, floor"""),
+        UNION ALL SELECT site_id, 'observer_silence', NULL, ts, last_event_ts FROM silence)"""),
+    "st_daily": sql(f"SELECT * REPLACE ({D}) FROM fdays"),
+    "st_floor_days": sql(f"SELECT * REPLACE ({D}) FROM floor_days"),
+    "st_late": sql("SELECT site_id, count(*) AS rows, 0::BIGINT AS twice FROM call_obs GROUP BY site_id"),
+    "st_gauges": sql("SELECT site_id, metric, floor, max_by(value, (ts, seq)) AS value, max(ts) AS ts FROM gs GROUP BY ALL"),
     "backfill": sql("SELECT site_id, entity_id, floor, ended_at, seq, duration_s FROM calls WHERE ended_at >= TIMESTAMP '2024-01-16'"),
 }
+
+# the streams run on past the last event, so that every alarm comes due
+ORACLE["st_alarms"] = ORACLE["st_alarms"].replace(AS_OF, "TIMESTAMP '2024-12-31 00:00:00'")
+ORACLE["st_backfill"] = f"""SELECT * FROM ({ORACLE["st_cycles"]}) WHERE ts >= TIMESTAMP '2024-01-16'
+    UNION ALL BY NAME SELECT kind AS event_type, site_id, floor, ts FROM ({ORACLE["st_alarms"]}) WHERE ts > TIMESTAMP '2024-01-16'"""

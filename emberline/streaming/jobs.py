@@ -1,16 +1,19 @@
-"""Streaming jobs: ingest, calls, cycles, alarms, daily roll-up and the latest-gauge table."""
+"""Streaming jobs: ingest, calls, cycles, alarms, day figures and gauges."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions.scalars import numeric_state
-from emberline.schema import CALL, CLIMATE, FURNACE, OUTDOOR
+from emberline.schema import CALL, CLIMATE, FLOORS, FURNACE, OUTDOOR
 from emberline.sources import logs
 from emberline.sources.event_table import EVENTS_SCHEMA, observations
-from emberline.streaming.ordered import process
-from emberline.streaming.processors import AlarmProcessor, CallProcessor, CycleProcessor
+from emberline.streaming.ordered import MINUTE_US, process
+from emberline.streaming.processors import AlarmProcessor, CallProcessor, CycleProcessor, DayProcessor, GaugeProcessor, OrderProcessor
+from emberline.streaming.tables import gauge_table, write_stream
 
 
 def tail_log(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -40,21 +43,63 @@ def _site_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def stream_calls(rows: DataFrame, delay: str = "1 hour", buffered: bool = False) -> DataFrame:
-    """Ended sessions of call and furnace sensors."""
+def stream_in_order(rows: DataFrame, delay: str = "1 hour", grace: str = "0 seconds", chunk_us: int = MINUTE_US) -> DataFrame:
+    """Places of the rows of each entity in event order, and the rows that came too late for it."""
+    return process(rows, ["site_id", "entity_id"], OrderProcessor(True, chunk_us), delay, grace)
+
+
+def stream_calls(
+    rows: DataFrame, delay: str = "1 hour", buffered: bool = False, initial: DataFrame | None = None, grace: str = "0 seconds", chunk_us: int = MINUTE_US
+) -> DataFrame:
+    """Ended sessions of call and furnace sensors; ``initial`` as ``replay.seed_calls`` gives it."""
     on_off = rows.filter(F.col("kind").isin(CALL, FURNACE))
-    return process(on_off, ["site_id", "entity_id"], CallProcessor(buffered), delay)
+    return process(on_off, ["site_id", "entity_id"], CallProcessor(buffered, chunk_us), delay, grace, initial=initial)
 
 
-def stream_cycles(rows: DataFrame, delay: str = "1 hour", buffered: bool = False, **thresholds) -> DataFrame:
-    """Thermostat changes and heating-cycle outcomes."""
+def stream_cycles(rows: DataFrame, delay: str = "1 hour", buffered: bool = False, initial: DataFrame | None = None, grace: str = "0 seconds", **thresholds) -> DataFrame:
+    """Thermostat changes and heating-cycle outcomes; ``initial`` as ``replay.seed_cycles`` gives it."""
     wanted = rows.filter(F.col("kind").isin(CALL, CLIMATE, OUTDOOR))
-    return process(_site_rows(wanted), ["site_id"], CycleProcessor(buffered=buffered, **thresholds), delay)
+    return process(_site_rows(wanted), ["site_id"], CycleProcessor(buffered=buffered, **thresholds), delay, grace, initial=initial)
+
+
+def stream_alarms(
+    rows: DataFrame, delay: str = "1 hour", buffered: bool = False, initial: DataFrame | None = None, live: bool = False, grace: str = "0 seconds", **thresholds
+) -> DataFrame:
+    """Alarms that fire on event time, also when nothing arrives; ``live`` on the clock, without a watermark."""
+    return process(_site_rows(rows), ["site_id"], AlarmProcessor(buffered=buffered, **thresholds), delay, grace, live, initial)
 
 
-def stream_alarms(rows: DataFrame, delay: str = "1 hour", buffered: bool = False, **thresholds) -> DataFrame:
-    """Alarms that fire on event time, also when nothing arrives."""
-    return process(_site_rows(rows), ["site_id"], AlarmProcessor(buffered=buffered, **thresholds), delay)
+def stream_days(rows: DataFrame, delay: str = "1 hour", grace: str = "0 seconds", chunk_us: int = MINUTE_US) -> DataFrame:
+    """Figures of every closed day of a site; ``floor_days`` and ``furnace_days`` give them the layout of the batch summaries."""
+    return process(_site_rows(rows), ["site_id"], DayProcessor(True, chunk_us), delay, grace)
+
+
+def floor_days(days: DataFrame, floors: Sequence[str] = FLOORS) -> DataFrame:
+    """Closed days as ``rollups.floor_daily_summary`` has them."""
+    entry = lambda f: F.struct(
+        F.lit(f).alias("floor"), F.col(f"calls_{f}").alias("total_calls"), F.col(f"runtime_{f}").alias("total_runtime_s"), F.col(f"longest_{f}").alias("max_duration_s")
+    )
+    rows = days.select("site_id", _date().alias("date"), _mean("outdoor").alias("outdoor_temp_avg_f"), F.inline(F.array(*[entry(f) for f in floors])))
+    average = F.when(F.col("total_calls") > 0, F.round(F.col("total_runtime_s") / F.col("total_calls"), 1))
+    return rows.select("site_id", "floor", "date", "total_calls", "total_runtime_s", average.alias("avg_duration_s"), "max_duration_s", "outdoor_temp_avg_f")
+
+
+def furnace_days(days: DataFrame, floors: Sequence[str] = FLOORS) -> DataFrame:
+    """Closed days as ``rollups.furnace_daily_summary`` has them."""
+    figures = [F.col("furnace_s").alias("total_furnace_runtime_s"), F.col("furnace_n").alias("session_count")]
+    figures += [F.round(f"outdoor_{m}", 6).alias(f"outdoor_temp_{m}_f") for m in ("min", "max")] + [_mean("outdoor").alias("outdoor_temp_avg_f")]
+    for f in floors:
+        figures += [F.col(f"runtime_{f}").alias(f"runtime_{f}_s"), F.col(f"calls_{f}").alias(f"sessions_{f}")]
+    return days.select("site_id", _date().alias("date"), *figures, *[_mean("setpoint", f"_{f}").alias(f"setpoint_{f}_f") for f in floors])
+
+
+def _date() -> Column:
+    return F.to_date(F.timestamp_micros("us"))
+
+
+def _mean(what: str, of: str = "") -> Column:
+    total, n = F.col(f"{what}_sum{of}"), F.col(f"{what}_n{of}")
+    return F.round(F.when(n > 0, total.cast("double") / n / 1_000_000), 1)
 
 
 def stream_daily(calls: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -84,30 +129,15 @@ def live_samples(rows: DataFrame) -> DataFrame:
     return rows.select("site_id", "floor", "ts", "seq", F.inline(gauges)).filter(F.col("value").isNotNull())
 
 
-def _newest(rows: DataFrame) -> DataFrame:
-    newest = F.max(F.struct("ts", "seq", "value")).alias("_n")
-    return rows.groupBy("site_id", "metric", "floor").agg(newest).select("site_id", "metric", "floor", "_n.*")
+def stream_gauges(rows: DataFrame, delay: str = "1 hour", grace: str = "0 seconds", chunk_us: int = MINUTE_US) -> DataFrame:
+    """Changes of all gauges, as ``gauges.gauge_samples`` has them."""
+    return process(_site_rows(rows), ["site_id"], GaugeProcessor(True, chunk_us), delay, grace)
 
 
 def upsert_gauges(samples: DataFrame, table: str, checkpoint: str) -> None:
-    """Keep the latest value per gauge in a parquet table with two alternating slots.
-
-    A batch merges the slot of the batch before with its own samples and overwrites the other slot. A batch run again
-    after a failure finds its input slot untouched, so the result is exact. The table holds gauges, not events.
-    """
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        columns = ["site_id", "metric", "floor", "ts", "seq", "value"]
-        rows = batch.select(*columns)
-        if batch_id > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{table}/slot={(batch_id - 1) % 2}").select(*columns))
-        _newest(rows).write.mode("overwrite").parquet(f"{table}/slot={batch_id % 2}")
-
-    query = samples.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    """Keep the latest value per gauge; a batch rewrites the buckets of its own sites only."""
+    write_stream(samples, gauge_table(table), checkpoint)
 
 
 def read_gauges(spark: SparkSession, table: str) -> DataFrame:
-    """The latest value of every gauge; the older slot can only hold older values."""
-    return _newest(spark.read.parquet(table).drop("slot"))
+    return gauge_table(table).read(spark)

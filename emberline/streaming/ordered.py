@@ -1,7 +1,9 @@
-"""Keyed stateful processing in event order, and the helpers that start and read such streams."""
+"""Keyed stateful processing in event order with bounded memory, and the helpers that start and read such streams."""
 
 from __future__ import annotations
 
+import json
+import pickle
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -12,6 +14,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from emberline.functions.timeline import SLICE
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+MINUTE_US = 60_000_000
+LATE = "late_seq"
 
 
 def _plain(column: pd.Series) -> list:
@@ -23,27 +27,34 @@ def _plain(column: pd.Series) -> list:
 class OrderedProcessor(StatefulProcessor):
     """Hands the rows of a key to ``step`` sorted by ``(us, seq)`` and emits what it returns.
 
-    Unbuffered, each micro-batch is processed as it arrives. Buffered, rows wait in state until the watermark has
-    passed them, so files may arrive in any order within the watermark delay. Times are microseconds in ``us``.
+    Buffered, rows wait in a map state of time chunks - a chunk of ``chunk_us`` microseconds has its rows in parts of one input batch each -
+    until the horizon, the watermark cut down to a whole chunk, has passed their chunk. Chunks are drained in order of time, one in
+    memory at once, so files may arrive in any order within the watermark delay and the memory of a key is that of a chunk. A row older
+    than the horizon comes too late to be put in order: it is emitted as a row with its ``us`` and ``seq`` (as ``late_seq``) and nothing else.
+
+    Unbuffered, rows are processed as they arrive. Times are microseconds in ``us``.
     """
 
     #: columns handed to ``step`` after ``us`` and ``seq``, with their types
     fields: tuple[tuple[str, str], ...] = ()
     #: columns of the emitted rows with their types
     output: tuple[tuple[str, str], ...] = ()
-
     #: whether the processor registers timers
     timers = False
+    #: set by ``process``
+    keys: tuple[str, ...] = ()
+    grace_us = 0
+    live = False
 
-    def __init__(self, buffered: bool = False):
-        self.buffered = buffered
+    def __init__(self, buffered: bool = False, chunk_us: int = MINUTE_US):
+        self.buffered, self.chunk_us = buffered, chunk_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.columns = ["us", "seq", *[n for n, _ in self.fields]]
         if self.buffered:
-            spec = ", ".join(["us bigint", "seq bigint", *[f"{n} {t}" for n, t in self.fields]])
-            self.pending = handle.getListState("pending", spec)
+            self.chunks = handle.getMapState("chunks", "chunk bigint, part int", "rows binary")
+            self.index = handle.getValueState("index", "doc string")
         self.open(handle)
 
     def open(self, handle: StatefulProcessorHandle) -> None:
@@ -52,37 +63,75 @@ class OrderedProcessor(StatefulProcessor):
     def step(self, key: tuple, rows: list[tuple]) -> Iterable[tuple]:
         raise NotImplementedError
 
+    def seed(self, key: tuple, rows: pd.DataFrame) -> None:
+        """Takes over the state a key had before the stream began."""
+        raise NotImplementedError
+
     def advance(self, key: tuple, now_us: int) -> Iterable[tuple]:
-        """Called when a timer has expired; ``now_us`` is the watermark."""
+        """Called when a timer has expired; every row up to ``now_us`` has been processed."""
         return ()
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.seed(key, initialState)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = [row for frame in rows for row in zip(*[_plain(frame[c]) for c in self.columns])]
-        if self.buffered:
-            fresh = self._release([*self.pending.get(), *fresh], timerValues.getCurrentWatermarkInMs() * 1000)
-        yield from self._emit(key, self.step(key, sorted(fresh, key=lambda r: (r[0], r[1]))))
+        if not self.buffered:
+            for frame in rows:
+                yield from self._emit(key, self.step(key, self._sorted(zip(*[_plain(frame[c]) for c in self.columns]))))
+            return
+        horizon, index = self._horizon(timerValues), self._load()
+        for frame in rows:
+            late = frame[frame["us"] < horizon]
+            if len(late):
+                yield self._late(key, late)
+            kept = frame[frame["us"] >= horizon]
+            for chunk, some in kept.groupby(kept["us"] // self.chunk_us, sort=False):
+                parts = index.get(int(chunk), 0)
+                self.chunks.updateValue((int(chunk), parts), (pickle.dumps(list(zip(*[_plain(some[c]) for c in self.columns]))),))
+                index[int(chunk)] = parts + 1
+        yield from self._drain(key, index, horizon)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        out = []
+        horizon = self._horizon(timerValues)
         if self.buffered:
-            due = self._release(list(self.pending.get()), now)
-            out += self.step(key, sorted(due, key=lambda r: (r[0], r[1])))
-        out += self.advance(key, now)
-        yield from self._emit(key, out)
+            yield from self._drain(key, self._load(), horizon)
+        yield from self._emit(key, self.advance(key, horizon))
 
     def close(self) -> None:
         pass
 
-    def _release(self, rows: list[tuple], watermark_us: int) -> list[tuple]:
-        due = [r for r in rows if r[0] < watermark_us]
-        rest = [tuple(r) for r in rows if r[0] >= watermark_us]
-        if rest:
-            self.pending.put(rest)
-            self.handle.registerTimer(min(r[0] for r in rest) // 1000 + 1)
+    def wake(self, us: int) -> None:
+        """Have ``advance`` called once the horizon has passed this time."""
+        if self.live:
+            self.handle.registerTimer(us // 1000 + 1)
         else:
-            self.pending.clear()
-        return [tuple(r) for r in due]
+            at = (us // self.chunk_us + 1) * self.chunk_us
+            self.handle.registerTimer(max((at - self.grace_us) // 1000 + 1, 1))
+
+    def _horizon(self, timers) -> int:
+        if self.live:
+            return timers.getCurrentProcessingTimeInMs() * 1000
+        watermark = timers.getCurrentWatermarkInMs() * 1000
+        return (watermark + self.grace_us) // self.chunk_us * self.chunk_us if watermark > 0 else 0
+
+    def _load(self) -> dict[int, int]:
+        stored = self.index.get()
+        return {int(c): n for c, n in json.loads(stored[0]).items()} if stored else {}
+
+    def _drain(self, key, index: dict[int, int], horizon: int) -> Iterator[pd.DataFrame]:
+        for chunk in sorted(c for c in index if (c + 1) * self.chunk_us <= horizon):
+            rows = []
+            for part in range(index.pop(chunk)):
+                rows += pickle.loads(self.chunks.getValue((chunk, part))[0])
+                self.chunks.removeKey((chunk, part))
+            yield from self._emit(key, self.step(key, self._sorted(rows)))
+        self.index.update((json.dumps(index),))
+        if index:
+            self.wake((min(index) + 1) * self.chunk_us - 1)
+
+    @staticmethod
+    def _sorted(rows: Iterable[tuple]) -> list[tuple]:
+        return sorted(rows, key=lambda r: (r[0], r[1]))
 
     def _emit(self, key, rows: Iterable[tuple]) -> Iterator[pd.DataFrame]:
         rows = list(rows)
@@ -90,21 +139,52 @@ class OrderedProcessor(StatefulProcessor):
             columns = {k: [v] * len(rows) for k, v in zip(self.keys, key)}
             for (name, kind), values in zip(self.output, zip(*rows)):
                 columns[name] = pd.array(values, dtype="Int64") if kind == "bigint" and None in values else list(values)
+            columns[LATE] = pd.array([None] * len(rows), dtype="Int64")
             yield pd.DataFrame(columns)
 
+    def _late(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        n = len(rows)
+        columns = {k: [v] * n for k, v in zip(self.keys, key)}
+        for name, kind in self.output:
+            empty = {"bigint": "Int64", "double": "float64"}.get(kind, "object")
+            columns[name] = pd.array(rows["us"].tolist(), dtype="Int64") if name == "us" else pd.Series([None] * n, dtype=empty)
+        columns[LATE] = pd.array(rows["seq"].tolist(), dtype="Int64")
+        return pd.DataFrame(columns)
+
 
-def process(rows: DataFrame, keys: list[str], processor: OrderedProcessor, delay: str = "1 hour") -> DataFrame:
+def process(
+    rows: DataFrame, keys: list[str], processor: OrderedProcessor, delay: str = "1 hour", grace: str = "0 seconds", live: bool = False, initial: DataFrame | None = None
+) -> DataFrame:
     """Run a processor over a stream of observations; times in the output are microseconds.
 
-    The watermark (late rows are dropped, timers fire) is set up only for processors that wait for it.
+    ``delay`` is how long rows are waited for; those up to ``grace`` later are emitted as late rows, still later ones are dropped by
+    the watermark. ``live`` lets timers follow the clock instead of the watermark. ``initial`` holds the state of keys to begin with.
     """
     types = dict(rows.dtypes)
-    timed = processor.buffered or processor.timers
-    processor.keys = keys
-    spec = ", ".join([*[f"{k} {types[k]}" for k in keys], *[f"{n} {t}" for n, t in processor.output]])
-    shaped = (rows.withWatermark("ts", delay) if timed else rows).withColumn("us", F.unix_micros("ts"))
-    mode = "eventTime" if timed else "none"
-    return shaped.groupBy(*keys).transformWithStateInPandas(processor, spec, "append", mode)
+    timed = not live and (processor.buffered or processor.timers)
+    processor.keys, processor.live = tuple(keys), live
+    processor.grace_us = _micros(grace) if timed else 0
+    spec = ", ".join([*[f"{k} {types[k]}" for k in keys], *[f"{n} {t}" for n, t in processor.output], f"{LATE} bigint"])
+    waited = f"{(_micros(delay) + _micros(grace)) // 1000} milliseconds"
+    shaped = (rows.withWatermark("ts", waited) if timed else rows).withColumn("us", F.unix_micros("ts"))
+    mode = "processingTime" if live else "eventTime" if timed else "none"
+    start = None if initial is None else initial.groupBy(*keys)
+    return shaped.groupBy(*keys).transformWithStateInPandas(processor, spec, "append", mode, start)
+
+
+def _micros(span: str) -> int:
+    """``'2 hours'`` and the like in microseconds."""
+    return pd.Timedelta(span).value // 1000
+
+
+def on_time(rows: DataFrame) -> DataFrame:
+    """What a processor derived, without the rows that came too late."""
+    return rows.filter(F.col(LATE).isNull()).drop(LATE)
+
+
+def late_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that came too late: their keys, ``us`` and ``seq``."""
+    return rows.filter(F.col(LATE).isNotNull()).select(*keys, "us", F.col(LATE).alias("seq"))
 
 
 def use_state_store(spark: SparkSession) -> None:

@@ -1,4 +1,4 @@
-"""Stateful processors: calls, heating cycles and timer alarms."""
+"""Stateful processors: calls, heating cycles, timer alarms, day figures and gauges."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from collections.abc import Iterable, Mapping
 from emberline.schema import (
     CALL,
     CLIMATE,
+    FLOORS,
+    FURNACE,
     LONG_CALL_S,
     MODE_CHANGED,
     NO_RESPONSE_DEFAULT_S,
@@ -23,12 +25,24 @@ from emberline.schema import (
     TEMP_UPDATED,
     TIME_TO_TEMP,
 )
-from emberline.streaming.ordered import OrderedProcessor
+from emberline.streaming.ordered import MINUTE_US, OrderedProcessor, _plain
 
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
 
 
+class OrderProcessor(OrderedProcessor):
+    """The rows themselves, in event order."""
+
+    output = (("us", "bigint"), ("seq", "bigint"))
+
+    def open(self, handle):
+        pass
+
+    def step(self, key, rows):
+        return rows
+
+
 class CallProcessor(OrderedProcessor):
     """Ended sessions of an on/off entity, keyed by ``(site_id, entity_id)``; equals ``edges.sessions``.
 
@@ -41,6 +55,11 @@ class CallProcessor(OrderedProcessor):
     def open(self, handle):
         self.state = handle.getValueState("call", "state string, since bigint")
 
+    def seed(self, key, rows):
+        """``state, since``: the entity's last state, and when its call in progress began."""
+        for state, since in zip(*[_plain(rows[c]) for c in ("state", "since")]):
+            self.state.update((state, None if since is None else int(since)))
+
     def step(self, key, rows):
         state, since = self.state.get() or (None, None)
         out = []
@@ -72,6 +91,11 @@ class SiteProcessor(OrderedProcessor):
     def open(self, handle):
         self.state = handle.getValueState("site", "doc string")
 
+    def seed(self, key, rows):
+        """``doc``: the site's document of state."""
+        for doc in rows["doc"].tolist():
+            self.state.update((doc,))
+
     def load(self) -> dict:
         stored = self.state.get()
         return json.loads(stored[0]) if stored else {"zones": {}, "calls": {}, "outdoor": None, "last": None}
@@ -104,8 +128,8 @@ class CycleProcessor(SiteProcessor):
         ("other_zones", "string"),
     )
 
-    def __init__(self, slow_s: Mapping[str, float] = SLOW_TO_HEAT_S, buffered: bool = False):
-        super().__init__(buffered)
+    def __init__(self, slow_s: Mapping[str, float] = SLOW_TO_HEAT_S, buffered: bool = False, chunk_us: int = MINUTE_US):
+        super().__init__(buffered, chunk_us)
         self.slow_s = dict(slow_s)
 
     def step(self, key, rows):
@@ -190,8 +214,8 @@ class CycleProcessor(SiteProcessor):
 class AlarmProcessor(SiteProcessor):
     """Long calls, silence and unresponsive floors, keyed by site.
 
-    An alarm has a due time. It fires when a later row is processed or, with no row at all, when the watermark passes
-    the due time and its timer expires; replay and live runs therefore agree.
+    An alarm has a due time. It fires when a later row is processed or, with no row at all, when the watermark (or the clock, in a live
+    run) passes the due time and its timer expires; replay and live runs therefore agree.
     """
 
     timers = True
@@ -205,8 +229,9 @@ class AlarmProcessor(SiteProcessor):
         no_response_default_s: float = NO_RESPONSE_DEFAULT_S,
         floors: tuple[str, ...] | None = ("floor_2",),
         buffered: bool = False,
+        chunk_us: int = MINUTE_US,
     ):
-        super().__init__(buffered)
+        super().__init__(buffered, chunk_us)
         self.long_call_s, self.silence_s, self.floors = long_call_s, silence_s, floors
         self.no_response_s, self.no_response_default_s = dict(no_response_s), no_response_default_s
 
@@ -230,10 +255,15 @@ class AlarmProcessor(SiteProcessor):
                 if call.get("since") is not None and temp is not None:
                     call["best"] = temp if call["best"] is None else max(call["best"], temp)
         for due, *_ in self._pending(doc):
-            self.handle.registerTimer(due // 1000 + 1)
+            self.wake(due)
         self.save(doc)
         return out
 
+    def seed(self, key, rows):
+        super().seed(key, rows)
+        for due, *_ in self._pending(self.load()):
+            self.wake(due)
+
     def advance(self, key, now_us):
         doc = self.load()
         out = self._due(doc, now_us)
@@ -273,3 +303,113 @@ class AlarmProcessor(SiteProcessor):
                 if call["start"] is not None and call["best"] <= call["start"]:
                     out.append((kind, floor, due, call["since"]))
         return out
+
+
+class DayProcessor(SiteProcessor):
+    """Day figures of a site, emitted once the horizon has passed the day, idle floors and days without a call included.
+
+    Readings are summed in millionths, so that means come out as they do in batch. A day is open as long as rows of it may come.
+    """
+
+    timers = True
+    output = (
+        ("us", "bigint"),
+        ("furnace_s", "bigint"),
+        ("furnace_n", "bigint"),
+        ("outdoor_min", "double"),
+        ("outdoor_max", "double"),
+        ("outdoor_sum", "bigint"),
+        ("outdoor_n", "bigint"),
+        *((f"{what}_{floor}", "bigint") for floor in FLOORS for what in ("calls", "runtime", "longest", "setpoint_sum", "setpoint_n")),
+    )
+
+    def load(self):
+        return {"days": {}, **super().load()}
+
+    def step(self, key, rows):
+        doc = self.load()
+        for us, _, kind, floor, old, new, setpoint, temp, action in rows:
+            day = doc["days"].setdefault(str(us // DAY), {"furnace": [0, 0], "outdoor": None, "calls": {}, "setpoints": {}})
+            if kind in (CALL, FURNACE):
+                call = doc["calls"].setdefault(floor or FURNACE, {})
+                change = self.edge(call, old, new)
+                if change == ("off", "on"):
+                    call["since"] = us
+                elif change == ("on", "off"):
+                    since, call["since"] = call.get("since"), None
+                    self._ended(day, floor, None if since is None else (us - since) // SECOND)
+            elif kind == OUTDOOR and setpoint is not None:
+                low, high, total, n = day["outdoor"] or [setpoint, setpoint, 0, 0]
+                day["outdoor"] = [min(low, setpoint), max(high, setpoint), total + _millionths(setpoint), n + 1]
+            elif kind == CLIMATE:
+                if not (setpoint is None and temp is None and action is None):
+                    doc["zones"][floor] = setpoint
+                known = doc["zones"].get(floor)
+                if known is not None:
+                    total, n = day["setpoints"].get(floor, [0, 0])
+                    day["setpoints"][floor] = [total + _millionths(known), n + 1]
+        for day in doc["days"]:
+            self.wake((int(day) + 1) * DAY - 1)
+        self.save(doc)
+        return []
+
+    @staticmethod
+    def _ended(day: dict, floor: str | None, duration: int | None) -> None:
+        if floor is None:
+            total, n = day["furnace"]
+            day["furnace"] = [total + (duration or 0), n + 1]
+        else:
+            n, total, longest = day["calls"].get(floor, [0, 0, None])
+            if duration is not None:
+                longest = duration if longest is None else max(longest, duration)
+            day["calls"][floor] = [n + 1, total + (duration or 0), longest]
+
+    def advance(self, key, now_us):
+        doc, out = self.load(), []
+        for day in sorted((d for d in doc["days"] if (int(d) + 1) * DAY <= now_us), key=int):
+            figures = doc["days"].pop(day)
+            low, high, total, n = figures["outdoor"] or [None, None, None, 0]
+            row = [int(day) * DAY, *figures["furnace"], low, high, total, n]
+            for floor in FLOORS:
+                row += [*figures["calls"].get(floor, [0, 0, None]), *figures["setpoints"].get(floor, [None, 0])]
+            out.append(tuple(row))
+        if out:
+            self.save(doc)
+        return out
+
+
+def _millionths(value: float) -> int:
+    """As a column rounds it: half away from zero."""
+    scaled = abs(value) * 1_000_000
+    return int(scaled + 0.5) if value >= 0 else -int(scaled + 0.5)
+
+
+class GaugeProcessor(SiteProcessor):
+    """Every gauge change of a site: activity flags, session durations, temperatures and setpoints."""
+
+    output = (("metric", "string"), ("floor", "string"), ("us", "bigint"), ("seq", "bigint"), ("value", "double"))
+
+    def step(self, key, rows):
+        doc, out = self.load(), []
+        for us, seq, kind, floor, old, new, setpoint, temp, action in rows:
+            if kind in (CALL, FURNACE):
+                call = doc["calls"].setdefault(floor or FURNACE, {})
+                change = self.edge(call, old, new)
+                if change in (("off", "on"), ("on", "off")):
+                    name = "floor_call_active" if kind == CALL else "furnace_active"
+                    out.append((name, floor, us, seq, 1.0 if new == "on" else 0.0))
+                    since, call["since"] = call.get("since"), us if new == "on" else None
+                    if kind == FURNACE and new == "off" and since is not None:
+                        out.append(("heating_session_duration_s", None, us, seq, float((us - since) // SECOND)))
+            elif kind == OUTDOOR and setpoint is not None:
+                out.append(("outdoor_temperature_f", None, us, seq, setpoint))
+            elif kind == CLIMATE and not (setpoint is None and temp is None and action is None):
+                before = doc["zones"].get(floor, [None, None])
+                warmer, moved = temp is not None and temp != before[1], setpoint is not None and setpoint != before[0]
+                if warmer:
+                    out.append(("floor_temperature_f", floor, us, seq, temp))
+                if (warmer or moved) and setpoint is not None:
+                    out.append(("floor_setpoint_f", floor, us, seq, setpoint))
+                doc["zones"][floor] = [setpoint, temp]
+        self.save(doc)
+        return out
