@@ -161,44 +161,115 @@ def short_calls(furnace_sessions: DataFrame, threshold_s: float = SHORT_CALL_S)
     )
 
 
-def throttle(alerts: DataFrame, keys: Sequence[str] = ("site_id", "kind"), interval_s: float = ALERT_INTERVAL_S) -> DataFrame:
+def _groups(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Runs of sorted rows with equal values in ``names``, batch borders aside."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        codes = [batch.column(n).dictionary_encode() for n in names]
+        numbers = np.stack([c.indices.to_numpy() for c in codes]) if batch.num_rows else np.zeros((len(names), 0), int)
+        change = np.flatnonzero((numbers[:, 1:] != numbers[:, :-1]).any(axis=0)) + 1
+        for low, high in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
+            if low == high:
+                continue
+            mine = tuple(batch.column(n)[low].as_py() for n in names)
+            if mine != key and held:
+                yield key, held
+                held = []
+            key = mine
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield key, held
+
+
+def block_exits(times: np.ndarray, start: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the chain of sent alerts leaves a block, by where it enters.
+
+    ``times`` are the block's alert times in order, ``start`` its beginning. A chain from before the block enters at an alert of the
+    block's first ``step`` or at the first one after. Returns the last entries that lead to the same exit, these exits, and how many alerts come after each.
+    """
+    n = len(times)
+    following = np.searchsorted(times, times + step)
+    last = np.where(following == n, np.arange(n), np.minimum(following, n - 1))
+    while True:  # doubling: twice as many alerts ahead each turn
+        ahead = last[last]
+        if (ahead == last).all():
+            break
+        last = ahead
+    entries = np.arange(min(int(np.searchsorted(times, start + step)) + 1, n))
+    exits = last[entries]
+    kept = np.append(np.flatnonzero(exits[1:] != exits[:-1]), len(exits) - 1)
+    return times[entries[kept]], times[exits[kept]], n - 1 - exits[kept]
+
+
+def throttle(alerts: DataFrame, keys: Sequence[str] = ("site_id", "kind"), interval_s: float = ALERT_INTERVAL_S, block: int = 64) -> DataFrame:
     """Mark the alerts that are sent: the first one, then the first at least ``interval_s`` after the last sent.
 
-    Whether an alert is sent depends on the last one *sent*, which no window frame can express. Sorted partitions stream
-    through Arrow batches, from one sent alert straight to the next by a search in the sorted times; what is kept of a
-    key is its last sent time. Keys are compared as text in which null is a value of its own.
+    Whether an alert is sent depends on the last one *sent*, which no window frame can express. The time line of a key is cut into blocks of
+    ``block`` intervals that many tasks follow at once: each finds where a chain of sent alerts leaves the block for every place where
+    it may enter, by doubling along "the next alert an interval later". These are few, as chains soon meet. One pass over them, a row per block,
+    tells where the chain enters each block, and then the blocks are marked, again all at once. Keys are compared as text in which null is a value
+    of its own.
     """
-    keys = list(keys)
     step = int(interval_s * 1_000_000)
+    if step <= 0:
+        return alerts.withColumns({"sent": F.lit(True), "suppressed_before": F.lit(0).cast("long")})
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in alerts.schema.fields)
+    at = F.unix_micros("ts")
+    keyed = alerts.withColumns({"_key": F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), "_at": at, "_block": F.floor(at / F.lit(step * block))})
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, number), parts in _groups(batches, ("_key", "_block")):
+            times = np.concatenate([p.column("_at").to_numpy() for p in parts])
+            entries, exits, after = block_exits(times, number * step * block, step)
+            columns = [pa.array([key]), pa.array([number]), pa.array([len(times)]), *[pa.array([x.tolist()], pa.list_(pa.int64())) for x in (entries, exits, after)]]
+            yield pa.RecordBatch.from_arrays(columns, ["_key", "_block", "n", "entries", "exits", "after"])
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, last, held = None, None, 0
         for batch in batches:
-            names, times = batch.column("_key").to_pylist(), batch.column("_at").to_numpy()
-            codes = batch.column("_key").dictionary_encode().indices.to_numpy()
-            sent, before = np.zeros(len(times), bool), np.zeros(len(times), np.int64)
-            begins = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else codes
-            for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(times)]):
-                if names[begin] != key:
-                    key, last, held = names[begin], None, 0
-                at = begin
-                while at < end:
-                    go = at if last is None else begin + int(np.searchsorted(times[begin:end], last + step))
-                    held += min(go, end) - at
-                    if go < end:
+            before, waiting = [], []
+            for row in batch.to_pylist():
+                if row["_key"] != key:
+                    key, last, held = row["_key"], None, 0
+                before.append(last)
+                waiting.append(held)
+                i = 0 if last is None else int(np.searchsorted(row["entries"], last + step))
+                if i < len(row["entries"]):
+                    # the first alert of all enters by itself
+                    last, held = (row["exits"][i], row["after"][i])
+                else:
+                    held += row["n"]
+            columns = [batch.column("_key"), batch.column("_block"), pa.array(before, pa.int64()), pa.array(waiting, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["_key", "_block", "_last", "_held"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _groups(batches, ("_key", "_block")):
+            last, held = parts[0].column("_last")[0].as_py(), parts[0].column("_held")[0].as_py()
+            for part in parts:
+                times = part.column("_at").to_numpy()
+                sent, before = np.zeros(len(times), bool), np.zeros(len(times), np.int64)
+                place = 0
+                while place < len(times):
+                    go = place if last is None else int(np.searchsorted(times, last + step))
+                    go = max(go, place)
+                    held += min(go, len(times)) - place
+                    if go < len(times):
                         sent[go], before[go] = True, held
                         last, held = int(times[go]), 0
-                    at = go + 1
-            columns = [batch.column(c) for c in batch.schema.names if c not in ("_key", "_at")]
-            named = [c for c in batch.schema.names if c not in ("_key", "_at")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sent), pa.array(before)], [*named, "sent", "suppressed_before"])
-
+                    place = go + 1
+                named = [c for c in part.schema.names if not c.startswith("_")]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in named], pa.array(sent), pa.array(before)], [*named, "sent", "suppressed_before"])
+
+    blocks = ["_key", "_block"]
+    exits = keyed.select(*blocks, "_at").repartition(*blocks).sortWithinPartitions(*blocks, "_at")
+    exits = exits.mapInArrow(leave, "_key string, _block bigint, n bigint, entries array<bigint>, exits array<bigint>, after array<bigint>")
+    entries = exits.repartition("_key").sortWithinPartitions(*blocks).mapInArrow(enter, "_key string, _block bigint, _last bigint, _held bigint")
     return (
-        alerts.withColumns({"_key": F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), "_at": F.unix_micros("ts")})
-        .repartition("_key")
-        .sortWithinPartitions("_key", "ts", "seq")
-        .mapInArrow(fold, f"{out}, sent boolean, suppressed_before bigint")
+        keyed.join(entries.hint("merge"), blocks)
+        .repartition(*blocks)
+        .sortWithinPartitions(*blocks, "ts", "seq")
+        .mapInArrow(mark, f"{out}, sent boolean, suppressed_before bigint")
     )
 
 

@@ -236,6 +236,33 @@ def duty_cycle(furnace: DataFrame, start: str, end: str, sites: DataFrame | None
     )
 
 
+def duty_cycle_windows(furnace: DataFrame, windows: DataFrame, bucket_s: int = 86400, on: Sequence[str] = ()) -> DataFrame:
+    """Share of each window of a table the furnace was on, by site; pairs without a common moment have no row.
+
+    ``windows`` is ``window_id, start, end`` (timestamps, the end excluded), with the columns ``on`` where a window is for some rows only. Sessions
+    and windows are dealt into the buckets of time they touch and meet there by equality; a pair counts in the first bucket both
+    touch. Sessions of unknown duration are left out, others clipped to the window.
+    """
+    on = list(on)
+    width = F.lit(int(bucket_s * 1_000_000))
+    began = F.unix_micros("ended_at") - F.col("duration_s") * 1_000_000
+    touched = lambda low, high: F.sequence(F.floor(low / width), F.floor(F.greatest(low, high - 1) / width))
+    sessions = furnace.filter(F.col("duration_s") > 0).select("site_id", *[c for c in on if c != "site_id"], "duration_s", began.alias("_from"), F.unix_micros("ended_at").alias("_to"))
+    spans = windows.select("window_id", *on, F.unix_micros("start").alias("_low"), F.unix_micros("end").alias("_high")).filter("_high > _low")
+    left = sessions.withColumn("_bucket", F.explode(touched(F.col("_from"), F.col("_to"))))
+    right = spans.withColumn("_bucket", F.explode(touched(F.col("_low"), F.col("_high"))))
+    first = F.floor(F.greatest("_from", "_low") / width)
+    pairs = left.join(right, [*on, "_bucket"]).filter((F.col("_from") < F.col("_high")) & (F.col("_to") > F.col("_low")) & (F.col("_bucket") == first))
+    on_us = F.least("_to", "_high") - F.greatest("_from", "_low")
+    keys = ["site_id", "window_id"]
+    sums = pairs.withColumn("_on", on_us).groupBy(*keys, "_low", "_high").agg(
+        F.count(F.lit(1)).alias("session_count"), F.sum("_on").alias("_on"), F.count_if(F.col("_on") < F.col("duration_s") * 1_000_000).alias("clipped_count")
+    )
+    length = (F.col("_high") - F.col("_low")) / 1_000_000
+    total = F.col("_on") / 1_000_000
+    return sums.select(*keys, "session_count", total.alias("total_on_s"), length.alias("window_duration_s"), (total / length * 100).alias("duty_cycle_pct"), "clipped_count")
+
+
 def live_status(
     calls: DataFrame, furnace: DataFrame, open_now: DataFrame, as_of: Column, floors: Sequence[str] = FLOORS, sites: DataFrame | None = None
 ) -> DataFrame:

@@ -148,27 +148,37 @@ def split_by_position(
 ) -> DataFrame:
     """Mark each group's oldest three quarters as baseline, the rest as window; small groups are left out.
 
-    The cut position is found from hourly counts, and only the one hour that holds the cut is ranked row by row, so
-    no task orders a whole group.
+    The row at the cut is found by counting: hours first, then the seconds of the hour with the cut, then the instants of its second, at last
+    the rows of that instant. So no window ever holds more than counts, or the rows of one instant, and marking is a comparison.
+    Rows equal in time and ``seq`` fall on the same side. ``sessions`` is read once per step; hand in a stored table.
     """
     group = list(group)
-    hour = F.date_trunc("hour", "ts")
-    hourly = sessions.groupBy(*group, hour.alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
-    along = Window.partitionBy(*group).orderBy("_hour").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    through = hourly.withColumn("_through", F.sum("_n").over(along))
     total = F.max("_through").over(Window.partitionBy(*group))
-    cut = F.greatest(F.lit(1), F.floor(total * 3 / 4))
-    border = (
-        through.withColumns({"_total": total, "_cut": cut})
-        .filter((F.col("_total") >= min_sessions) & (F.col("_through") >= F.col("_cut")) & (F.col("_through") - F.col("_n") < F.col("_cut")))
-        .select(*group, F.col("_hour").alias("_border"), (F.col("_cut") - F.col("_through") + F.col("_n")).alias("_keep"))
-    )
-    rows = keyed_join(sessions, border, group).withColumn("_hour", hour)
-    clear = rows.filter(F.col("_hour") != F.col("_border")).withColumn("part", F.when(F.col("_hour") < F.col("_border"), "baseline").otherwise("window"))
-    in_hour = Window.partitionBy(*group).orderBy("ts", "seq")
-    tied = rows.filter(F.col("_hour") == F.col("_border")).withColumn("_i", F.row_number().over(in_hour))
-    tied = tied.withColumn("part", F.when(F.col("_i") <= F.col("_keep"), "baseline").otherwise("window")).drop("_i")
-    return clear.unionByName(tied).drop("_hour", "_border", "_keep")
+    counted = _running_counts(sessions, group, F.date_trunc("hour", "ts")).withColumn("_total", total)
+    cut = counted.filter(F.col("_total") >= min_sessions).withColumn("_keep", F.greatest(F.lit(1), F.floor(F.col("_total") * 3 / 4)))
+    border = _crossing(cut, group)
+    for outer, inner in ((F.date_trunc("hour", "ts"), F.date_trunc("second", "ts")), (F.date_trunc("second", "ts"), F.col("ts"))):
+        inside = keyed_join(sessions, border, group).filter(outer == F.col("_border"))
+        border = _crossing(_running_counts(inside, [*group, "_keep"], inner, group), group)
+    tied = keyed_join(sessions, border, group).filter(F.col("ts") == F.col("_border"))
+    at = tied.withColumn("_i", F.row_number().over(Window.partitionBy(*group).orderBy("seq"))).filter(F.col("_i") == F.col("_keep"))
+    last = at.select(*group, F.col("ts").alias("_last_ts"), F.col("seq").alias("_last_seq"))
+    older = (F.col("ts") < F.col("_last_ts")) | ((F.col("ts") == F.col("_last_ts")) & (F.col("seq") <= F.col("_last_seq")))
+    return keyed_join(sessions, last, group).withColumn("part", F.when(older, "baseline").otherwise("window")).drop("_last_ts", "_last_seq")
+
+
+def _running_counts(rows: DataFrame, keys: Sequence[str], unit: Column, group: Sequence[str] | None = None) -> DataFrame:
+    """Rows per unit of time (``_n``), and up to and with it (``_through``)."""
+    counts = rows.groupBy(*keys, unit.alias("_unit")).agg(F.count(F.lit(1)).alias("_n"))
+    along = Window.partitionBy(*(group or keys)).orderBy("_unit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counts.withColumn("_through", F.sum("_n").over(along))
+
+
+def _crossing(counts: DataFrame, group: Sequence[str]) -> DataFrame:
+    """The unit of time in which a group's ``_keep``-th row lies, and which row of it that is."""
+    before = F.col("_through") - F.col("_n")
+    here = counts.filter((F.col("_through") >= F.col("_keep")) & (before < F.col("_keep")))
+    return here.select(*group, F.col("_unit").alias("_border"), (F.col("_keep") - before).alias("_keep"))
 
 
 def time_of_day_shift(

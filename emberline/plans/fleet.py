@@ -37,6 +37,14 @@ class Fleet:
     def calls(self) -> DataFrame:
         return edges.sessions(self.call_edges)
 
+    @cached_property
+    def stored_calls(self) -> DataFrame:
+        """The calls, written once for rules that read them several times."""
+        spark = self.events.sparkSession
+        path = scratch_path(spark, "calls")
+        self.calls.drop(SLICE).write.parquet(path)
+        return spark.read.parquet(path)
+
     @cached_property
     def furnace(self) -> DataFrame:
         return edges.sessions(self.furnace_edges)

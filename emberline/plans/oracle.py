@@ -362,11 +362,16 @@ ORACLE: dict[str, str] = {
     "floor_trend": sql(f"SELECT site_id, {D}, total_calls, total_runtime_s, avg_duration_s, max_duration_s, outdoor_temp_avg_f FROM floor_days WHERE floor = 'floor_2' AND date BETWEEN DATE '2024-01-16' AND DATE '2024-01-29'"),
     "duty_cycle": sql("""SELECT site_id, count(on_s) AS session_count, round(coalesce(sum(on_s), 0.0::DOUBLE), 3) AS total_on_s, 604799.0::DOUBLE AS window_duration_s, round(coalesce(sum(on_s), 0.0::DOUBLE) / 604799 * 100, 6) AS duty_cycle_pct, count(*) FILTER (WHERE on_s < duration_s) AS clipped_count
         FROM (SELECT DISTINCT site_id FROM ev) LEFT JOIN (SELECT * FROM (SELECT site_id, duration_s, (epoch_us(least(ended_at, TIMESTAMP '2024-01-16 23:59:59')) - epoch_us(greatest(ended_at - to_seconds(duration_s), TIMESTAMP '2024-01-10'))) / 1000000 AS on_s FROM furnace WHERE duration_s IS NOT NULL) WHERE on_s > 0) USING (site_id) GROUP BY site_id"""),
+    "duty_cycle_windows": sql("""SELECT site_id, strftime(date, '%Y-%m-%d') AS window_id, count(*) AS session_count, round(sum(on_us) / 1000000, 3) AS total_on_s, 259200.0::DOUBLE AS window_duration_s,
+        round(sum(on_us) / 1000000 / 259200 * 100, 6) AS duty_cycle_pct, count(*) FILTER (WHERE on_us < duration_s * 1000000) AS clipped_count FROM (
+        SELECT s.site_id, w.date, s.duration_s, least(epoch_us(s.ended_at), epoch_us(CAST(w.date + 3 AS TIMESTAMP))) - greatest(epoch_us(s.ended_at) - s.duration_s * 1000000, epoch_us(CAST(w.date AS TIMESTAMP))) AS on_us
+        FROM furnace s, (SELECT DISTINCT date FROM days) w WHERE s.duration_s > 0) WHERE on_us > 0 GROUP BY ALL"""),
     "temp_correlation": sql(f"SELECT site_id, floor, n, round(r, 6) AS r, {LABEL} AS label FROM (SELECT site_id, floor, count(*) AS n, {r_of('outdoor_temp_avg_f', 'total_runtime_s')} AS r FROM floor_days WHERE outdoor_temp_avg_f IS NOT NULL GROUP BY ALL)"),
     "session_temp_correlation": sql(f"""SELECT * REPLACE (round(r, 6) AS r), {LABEL} AS label FROM (SELECT site_id, count(*) AS total, count(outdoor_temp_f) AS with_temp, count(*) - count(outdoor_temp_f) AS without_temp,
         count(DISTINCT CAST(ended_at AS DATE)) AS days, strftime(min(ended_at), '%Y-%m-%d') AS first_date, strftime(max(ended_at), '%Y-%m-%d') AS last_date,
         round(avg(duration_s) FILTER (WHERE outdoor_temp_f IS NOT NULL), 6) AS avg_duration_s, round(avg(outdoor_temp_f), 6) AS avg_outdoor_f, {r_of('outdoor_temp_f', 'duration_s')} AS r FROM furnace_o WHERE duration_s IS NOT NULL GROUP BY site_id)"""),
     "floor_runtime_summary": sql("SELECT site_id, floor, count(DISTINCT date) AS days, CAST(sum(total_runtime_s) AS BIGINT) AS total_s, max(total_runtime_s) AS max_s, CAST(sum(total_runtime_s) // count(DISTINCT date) AS BIGINT) AS avg_s FROM floor_days WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY ALL"),
+    "duration_baseline_merged": sql("SELECT floor AS key, count(*) AS count, min(duration_s) AS min, max(duration_s) AS max, true AS median_near, true AS p75_near, true AS p95_near FROM calls WHERE duration_s IS NOT NULL GROUP BY floor"),
     "duration_baseline": sql("SELECT site_id, floor AS key, count(*) AS count, min(duration_s) AS min, max(duration_s) AS max, round(quantile_cont(duration_s, 0.5), 6) AS median, round(quantile_cont(duration_s, 0.75), 6) AS p75, round(quantile_cont(duration_s, 0.95), 6) AS p95 FROM calls WHERE duration_s IS NOT NULL GROUP BY site_id, floor"),
     "warnings_daily": sql(f"SELECT site_id, {D}, " + ", ".join(f"warn_{k} AS {k}" for k in WARNINGS) + " FROM wdaily", **AS),
     "live_status": sql("SELECT * FROM live_t", **LIVE),

@@ -416,6 +416,15 @@ def duty_cycle(f: Fleet) -> DataFrame:
     return out.withColumns({"total_on_s": F.round("total_on_s", 3), "duty_cycle_pct": F.round("duty_cycle_pct", 6)})
 
 
+@query()
+def duty_cycle_windows(f: Fleet) -> DataFrame:
+    """Three days from each active day on, over all sites."""
+    days = f.days.select("date").distinct()
+    windows = days.select(F.date_format("date", "yyyy-MM-dd").alias("window_id"), F.col("date").cast("timestamp").alias("start"), F.date_add("date", 3).cast("timestamp").alias("end"))
+    out = rollups.duty_cycle_windows(f.furnace, windows)
+    return out.withColumns({"total_on_s": F.round("total_on_s", 3), "duty_cycle_pct": F.round("duty_cycle_pct", 6)})
+
+
 @query()
 def temp_correlation(f: Fleet) -> DataFrame:
     """A9, P10"""
@@ -441,6 +450,24 @@ def duration_baseline(f: Fleet) -> DataFrame:
     return comparisons.duration_baseline(f.calls)
 
 
+@query()
+def duration_baseline_merged(f: Fleet) -> DataFrame:
+    """Sketches per floor and day, stored, loaded and merged; every percentile is held against the exact ranks of all calls."""
+    spark = f.events.sparkSession
+    path = scratch_path(spark, "sketches")
+    sinks.save_baseline(comparisons.duration_sketches(f.stored_calls, ["key"]), path)
+    merged = comparisons.merged_baseline(sinks.load_baseline(spark, path), ["key"])
+    calls = f.stored_calls.filter(F.col("duration_s").isNotNull()).select(F.col("floor").alias("key"), "duration_s")
+    held = keyed_join(calls, merged, ["key"]).groupBy("key").agg(
+        *[F.first(c).alias(c) for c in ("count", "min", "max")],
+        *[F.count_if(F.col("duration_s") < F.col(c)).alias(f"_below_{c}") for c in ("median", "p75", "p95")],
+        *[F.count_if(F.col("duration_s") <= F.col(c)).alias(f"_to_{c}") for c in ("median", "p75", "p95")],
+    )
+    off = comparisons.rank_error()
+    near = lambda c, q: (F.col(f"_below_{c}") <= (q + off) * F.col("count") + 1) & (F.col(f"_to_{c}") >= (q - off) * F.col("count") - 1)
+    return held.select("key", "count", "min", "max", near("median", 0.5).alias("median_near"), near("p75", 0.75).alias("p75_near"), near("p95", 0.95).alias("p95_near"))
+
+
 @query(until=AS_OF)
 def warnings_daily(f: Fleet) -> DataFrame:
     """A13"""
@@ -528,7 +555,7 @@ def efficiency_extremes(f: Fleet) -> DataFrame:
 
 
 def _shift(f: Fleet, ratio: float) -> DataFrame:
-    marked = rules.split_by_position(cohorts(f.calls), ["cohort"])
+    marked = rules.split_by_position(cohorts(f.stored_calls), ["cohort"])
     return rules.time_of_day_shift(marked, ["cohort", "floor"], ratio=ratio)
 
 

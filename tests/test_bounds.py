@@ -89,3 +89,82 @@ def test_csv_keeps_microseconds(spark, tmp_path):
     df = spark.createDataFrame([(1, datetime(2024, 1, 2, 3, 4, 5, 123456))], "site_id long, ts timestamp")
     sinks.write_csv(df, str(tmp_path / "out"))
     assert sinks.read_csv(spark, str(tmp_path / "out"), "site_id long, ts timestamp").collect() == df.collect()
+
+
+def plain_throttle(alerts, step):
+    """The rule as a loop over ``(key, us, seq)``."""
+    last, held, out = {}, {}, {}
+    for key, us, seq in sorted(alerts, key=lambda a: (str(a[0]), a[1], a[2])):
+        go = key not in last or us >= last[key] + step
+        out[seq] = (go, held.get(key, 0) if go else 0)
+        if go:
+            last[key], held[key] = us, 0
+        else:
+            held[key] = held.get(key, 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("seed,block", [(1, 1), (2, 3), (3, 64), (4, 7)])
+def test_throttle_equals_the_loop(spark, seed, block):
+    import random
+
+    rng = random.Random(seed)
+    alerts, us = [], {1: 0, 2: 0, None: -5_000_000}
+    for seq in range(1500):
+        key = rng.choice([1, 1, 1, 2, None])
+        us[key] += rng.choice([0, 1, 500_000, 3_000_000, 9_999_999, 10_000_000, 47_000_000, 900_000_000 if rng.random() < 0.05 else 2])
+        alerts.append((key, us[key], seq))
+    df = spark.createDataFrame(alerts, "site_id long, us long, seq long").select("site_id", F.lit("k").alias("kind"), F.timestamp_micros("us").alias("ts"), "seq").repartition(5)
+    got = {r["seq"]: (r["sent"], r["suppressed_before"]) for r in alarms.throttle(df, interval_s=10, block=block).collect()}
+    assert got == plain_throttle(alerts, 10_000_000)
+
+
+def test_throttle_spreads_one_key_over_tasks(spark):
+    df = spark.range(400_000).select(F.lit(1).cast("long").alias("site_id"), F.lit("k").alias("kind"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("seq"))
+    marked = alarms.throttle(df, interval_s=100, block=16).withColumn("task", F.spark_partition_id())
+    sizes = [r["n"] for r in marked.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.count_if("sent").alias("s")).collect()]
+    assert len(sizes) > 1 and max(sizes) < 300_000
+    assert marked.filter("sent").count() == 4000 and marked.agg(F.sum("suppressed_before")).first()[0] == 400_000 - 4000 - 99
+
+
+def test_duty_cycle_over_many_windows(spark):
+    start = datetime(2024, 1, 1)
+    sessions = [(1, start + timedelta(hours=h), d) for h, d in ((1, 3600), (25, 7200), (72, 200_000), (90, None), (100, 0))] + [(2, start + timedelta(hours=30), 60)]
+    furnace = spark.createDataFrame(sessions, "site_id long, ended_at timestamp, duration_s long")
+    windows = [(i, start + timedelta(hours=a), start + timedelta(hours=b)) for i, (a, b) in enumerate([(0, 1), (0, 48), (24, 25), (10, 100), (5, 5), (300, 400)])]
+    table = spark.createDataFrame(windows, "window_id long, start timestamp, end timestamp")
+    want = {}
+    for site, end, d in sessions:
+        for i, a, b in windows:
+            on = (min(end, b) - max(end - timedelta(seconds=d or 0), a)).total_seconds()
+            if d and on > 0:
+                n, total, clipped = want.get((site, i), (0, 0.0, 0))
+                want[site, i] = (n + 1, total + on, clipped + (on < d))
+    for bucket in (3600, 86_400, 10_000_000):
+        got = rollups.duty_cycle_windows(furnace, table, bucket).collect()
+        assert {(r["site_id"], r["window_id"]): (r["session_count"], r["total_on_s"], r["clipped_count"]) for r in got} == want
+    mine = table.withColumn("site_id", F.lit(2).cast("long"))
+    assert [(r["site_id"], r["window_id"]) for r in rollups.duty_cycle_windows(furnace, mine, on=["site_id"]).orderBy("window_id").collect()] == [(2, 1), (2, 3)]
+
+
+def test_merged_baselines_keep_their_error_bound(spark, tmp_path):
+    import random
+
+    rng = random.Random(9)
+    durations = [int(rng.expovariate(1 / 900)) for _ in range(40_000)]
+    rows = [(1, "floor_1", NOON + timedelta(days=i % 40), d) for i, d in enumerate(durations)] + [(1, "floor_2", NOON, None), (1, "floor_2", NOON, 7)]
+    sessions = spark.createDataFrame(rows, "site_id long, floor string, ts timestamp, duration_s long").withColumn("entity_id", F.lit("e"))
+    sketches = comparisons.duration_sketches(sessions)
+    sinks.save_baseline(sketches, str(tmp_path / "sketches"))
+    stored = sinks.load_baseline(spark, str(tmp_path / "sketches"))
+    assert stored.count() == 41
+    got = {r["key"]: r for r in comparisons.merged_baseline(stored).collect()}
+    assert (got["floor_2"]["count"], got["floor_2"]["median"], got["floor_2"]["p95"]) == (1, 7, 7)
+    mine = got["floor_1"]
+    assert (mine["count"], mine["min"], mine["max"]) == (40_000, min(durations), max(durations))
+    for name, q in (("median", 0.5), ("p75", 0.75), ("p95", 0.95)):
+        below, upto = sum(d < mine[name] for d in durations), sum(d <= mine[name] for d in durations)
+        assert below / 40_000 <= q + comparisons.rank_error() and upto / 40_000 >= q - comparisons.rank_error()
+    part = comparisons.merged_baseline(stored.filter(F.col("date") < "2024-01-30")).filter("key = 'floor_1'").first()
+    assert part["count"] == 10_000
+    assert comparisons.duration_baseline(sessions).filter("key = 'floor_1'").first()["count"] == 40_000
