@@ -18,8 +18,7 @@ ORDER = ("ts", "seq")
 SLICE = "_slice"
 
 ROWS_PER_SLICE = 4_000_000
-MAX_SLICES = 4096
-QUANTILES = 1024
+MAX_SLICES = 8192
 
 
 def measure_slices(
@@ -41,20 +40,20 @@ def measure_slices(
     limit = max(rows_per_slice, -(-total // max_slices))
     if largest <= limit:
         return None
-    hot = counts.filter(F.col("n") > limit).withColumn(
-        "cuts", F.least(F.ceil(F.col("n") / limit).cast("int"), F.lit(QUANTILES)) - 1
-    )
+    # as many slices as a key's rows need; the largest one sets the resolution, which the limit bounds
+    resolution = max(2, -(-largest // limit))
+    hot = counts.filter(F.col("n") > limit).withColumn("cuts", F.ceil(F.col("n") / limit).cast("int") - 1)
     hot_keys = [r[0] for r in hot.select(key).collect()]
-    steps = [i / QUANTILES for i in range(1, QUANTILES)]
+    steps = [i / resolution for i in range(1, resolution)]
     spread = (
         df.filter(F.col(key).isin(hot_keys))
         .groupBy(key)
-        .agg(F.percentile_approx(F.unix_micros(ts), steps, F.lit(20_000)).alias("q"))
+        .agg(F.percentile_approx(F.unix_micros(ts), steps, F.lit(max(20_000, 20 * resolution))).alias("q"))
     )
     bounds = hot.join(spread, key).select(
         key,
         F.array_distinct(
-            F.expr(f"transform(sequence(1, cuts), i -> q[cast(i * {QUANTILES} / (cuts + 1) as int) - 1])")
+            F.expr(f"transform(sequence(1, cuts), i -> q[greatest(cast(i * {resolution} / (cuts + 1) as int), 1) - 1])")
         ).alias("_bounds"),
     )
     rows = [tuple(r) for r in bounds.collect()]
@@ -68,7 +67,7 @@ def with_slices(df: DataFrame, slices: DataFrame | None, ts: str = "ts") -> Data
         return df
     key = slices.columns[0]
     bounds, at = F.col("_bounds"), F.unix_micros(ts)
-    halvings = F.array(*[F.lit(2**p) for p in range(QUANTILES.bit_length() - 1, -1, -1)])
+    halvings = F.array(*[F.lit(2**p) for p in range(MAX_SLICES.bit_length(), -1, -1)])
 
     def descend(low: Column, step: Column) -> Column:
         reach = low + step

@@ -130,25 +130,22 @@ def flatten_state_changes(f: Fleet) -> DataFrame:
 
 
 def _lines_with_defects(f: Fleet) -> DataFrame:
-    """Log lines, one per event; all but four of sixteen carry a defect, together every violation there is."""
+    """Log lines of the thermostat observations as they are; all but four of sixteen get a defect, together every violation there is."""
     rows = f.observations(CLIMATE).withColumn("d", F.floor(F.col("seq") / 4) % 16)
-    numbers = '"attributes":{"temperature":70,"current_temperature":68.5,"hvac_action":"heating"}'
-    climate = '{"entity_id":"climate.floor_1_thermostat","old_state":"heat","new_state":"%s"%s}'
+    given = {"entity_id": F.col("entity_id"), "old_state": F.col("old_state"), "new_state": F.col("new_state"), "attributes": F.col("attributes")}
+    own = lambda **changed: F.to_json(F.struct(*[c.alias(k) for k, c in {**given, **changed}.items()]), {"ignoreNullFields": "false"})
     other = '{"entity_id":"%s","old_state":"off","new_state":"%s"}'
+    bodies = {3: own(new_state=F.lit("")), 5: own(new_state=F.lit("dry")), 7: own(attributes=F.lit(None).cast("string")), 9: own(entity_id=F.lit("climate.attic"))}
     data = {
-        3: climate % ("", f",{numbers}"),
-        5: climate % ("dry", f",{numbers}"),
-        7: climate % ("heat", ""),
-        9: other % ("climate.attic", "heat"),
         10: '"x"',
         11: '{"entity_id":"binary_sensor.furnace_heating","new_state":"on"}',
         12: other % ("binary_sensor.furnace_heating", "open"),
         13: other % ("sensor.outdoor_temperature", "5d"),
         15: other % ("sensor.outdoor_temperature", "unavailable"),
     }
-    body = F.lit(climate % ("heat", f",{numbers}"))
-    for d, text in data.items():
-        body = F.when(F.col("d") == d, F.lit(text)).otherwise(body)
+    body = own()
+    for d, replaced in {**bodies, **{d: F.lit(text) for d, text in data.items()}}.items():
+        body = F.when(F.col("d") == d, replaced).otherwise(body)
     schema = F.when(F.col("d") == 6, "observer.other.v1").otherwise("observer.state_changed.v1")
     source = F.when(F.col("d") == 14, "").otherwise(F.concat(F.lit('"source":"'), F.when(F.col("d") == 1, "other").otherwise(logs.SOURCE), F.lit('",')))
     ts = F.when(F.col("d") == 8, "").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"))

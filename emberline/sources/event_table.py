@@ -17,13 +17,14 @@ EVENTS_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type strin
 # rank of a kind among the observations of one event; makes seq unique inside a site
 RANK = {OUTDOOR: 0, CLIMATE: 1, CALL: 2, FURNACE: 3}
 
-_SLICES: dict[tuple[str, str], DataFrame | None] = {}
+_SLICES: dict[tuple[str, str, int], DataFrame | None] = {}
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Scan the event table as ``site_id, event_id, ts, ...``, sliced where a site is oversized."""
     events = spark.read.schema(EVENTS_SCHEMA).parquet(path).withColumnRenamed("user_id", "site_id")
-    known = (spark.sparkContext.applicationId, path)
+    # a table that has got or lost files is measured again
+    known = (spark.sparkContext.applicationId, path, hash(tuple(sorted(events.inputFiles()))))
     if known not in _SLICES:
         _SLICES[known] = measure_slices(events)
     return with_slices(events, _SLICES[known])
