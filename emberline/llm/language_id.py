@@ -6,7 +6,8 @@ language at each word, so text that switches its language is labelled part by pa
 largest sum, its score that sum over the number of words.
 
 The model is fitted on distinct labelled texts with words, ``sample_rows`` in all and equally many of each language as far as it has them, but
-``LEAST_TEXTS`` of each language at least (a documented bound; chosen by a hash of the text). Their words are cut into stretches and joined across languages, so that switches occur. Prediction reads whole texts and nothing else.
+``LEAST_TEXTS`` of each language at least, and ``sample_bytes`` in all (documented bounds; chosen by a hash of the text). One task of an executor fits it,
+so the driver holds the weights only. The words are cut into stretches and joined across languages, so that switches occur. Prediction reads whole texts and nothing else.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without any labelled row every text is ``und``;
 digits and signs are between words; repeated documents get equal results; an empty table gives none; other columns pass through.
@@ -14,6 +15,7 @@ digits and signs are between words; repeated documents get equal results; an emp
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from emberline.llm.store import distinct_texts, packed, slices, text_hash, unpacked, written
 from emberline.llm.words import BYTE_VALUES, LOWER, Words, find_words, mix
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SCORED_WORDS = 10_000  # words whose features are held at once
 UNKNOWN = "und"
 HASH_BITS = 16
@@ -207,32 +209,47 @@ def places_by_language(totals: dict[str, int], sample_rows: int) -> dict[str, in
     return out
 
 
-def fitting_rows(docs: DataFrame, sample_rows: int) -> list[tuple[str, str]]:
-    """Distinct labelled texts with words, of each language those with the least hash; a text with several labels has its most frequent one."""
+def fitting_rows(docs: DataFrame, sample_rows: int, sample_bytes: int = 16 << 20) -> DataFrame | None:
+    """``place, text, lang``: distinct labelled texts with words, of each language those with the least hash; a text with several labels has its most
+    frequent one. The languages share ``sample_bytes`` evenly: a text that no longer fits is passed over, and a language with none that fits has its shortest."""
+    spark = docs.sparkSession
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"[A-Za-z\x{80}-\x{10FFFF}]")).select("text", "lang")
-    labels = known.groupBy(text_hash().alias("_hash"), "lang").agg(F.count(F.lit(1)).alias("n"))
-    texts = written(labels.groupBy("_hash").agg(F.max_by("lang", F.struct("n", "lang")).alias("lang")), "fitting-texts")
+    labels = known.groupBy(text_hash().alias("_hash"), "lang").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("_bytes"))
+    texts = written(labels.groupBy("_hash").agg(F.max_by("lang", F.struct("n", "lang")).alias("lang"), F.max("_bytes").alias("_bytes")), "fitting-texts")
     totals = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     wanted = places_by_language(totals, sample_rows)
     if not wanted:
-        return []
+        return None
     # so many more than wanted that fewer practically never come
     shares = {lang: min(1.0, (n + 8 * n**0.5 + 30) / totals[lang]) for lang, n in wanted.items()}
     bound = F.create_map([F.lit(x) for lang, share in shares.items() for x in (lang, int(share * (1 << 53)))])
     place = F.shiftrightunsigned("_hash", 11)
-    near = texts.filter(place <= bound[F.col("lang")]).select("_hash", "lang", place.alias("_place")).collect()
-    chosen, taken = {}, dict.fromkeys(wanted, 0)
+    near = texts.filter(place <= bound[F.col("lang")]).select("_hash", "lang", "_bytes", place.alias("_place")).collect()
+    chosen, taken, left = {}, dict.fromkeys(wanted, 0), dict.fromkeys(wanted, sample_bytes // len(wanted))
     for r in sorted(near, key=lambda r: (r["_place"], r["_hash"])):
-        if taken[r["lang"]] < wanted[r["lang"]]:
+        if taken[r["lang"]] < wanted[r["lang"]] and r["_bytes"] <= left[r["lang"]]:
             chosen[r["_hash"]] = r["lang"]
             taken[r["lang"]] += 1
-    found = {r["_hash"]: r["text"] for r in distinct_texts(known, list(chosen)).collect()}
-    return [(found[h], lang) for h, lang in chosen.items()]
+            left[r["lang"]] -= r["_bytes"]
+    for lang in [x for x, n in taken.items() if not n]:
+        least = min((r for r in near if r["lang"] == lang), key=lambda r: (r["_bytes"], r["_hash"]))
+        chosen[least["_hash"]] = lang
+    picked = spark.createDataFrame([(i, h, lang) for i, (h, lang) in enumerate(chosen.items())], "place int, _hash long, lang string")
+    # at most ``sample_rows`` narrow rows, and ``LEAST_TEXTS`` of each language
+    return distinct_texts(known, list(chosen)).join(F.broadcast(picked), "_hash").select("place", "text", "lang")
+
+
+def train(docs: DataFrame, sample_rows: int = 1500, sample_bytes: int = 16 << 20) -> Model | None:
+    """A model from ``text`` and ``lang`` of the given documents, fitted in one task on the bounded sample."""
+    rows = fitting_rows(docs, sample_rows, sample_bytes)
+    if rows is None:
+        return None
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted((r["place"], r["text"], r["lang"]) for batch in batches for r in batch.to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1:] for r in sample]))], pa.binary())], ["model"])
 
-def train(docs: DataFrame, sample_rows: int = 1500) -> Model | None:
-    """A model from ``text`` and ``lang`` of the given documents."""
-    return fit(fitting_rows(docs, sample_rows))
+    return pickle.loads(rows.repartition(1).mapInArrow(learn, "model binary").first()["model"])
 
 
 def has_letter(text: bytes) -> bool:

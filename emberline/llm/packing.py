@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from emberline.llm.store import slices, written
 
 SLICE_BYTES = 2 << 20
-CACHED_PIECES = 500_000
+CACHED_PIECES = 200_000
 TURNS = 1024  # rounds of packing that sequence numbers tell apart
 # Latin letters before U+0180 are composed already and have lower-case forms of one letter, but for U+0130
 NOT_PLAIN = re.compile("[\u0130\u0180-\U0010ffff]|<\\|")

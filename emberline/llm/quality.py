@@ -14,6 +14,7 @@ pattern the prior decides; repeated documents get equal results; an empty table
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -174,31 +175,43 @@ def label_model(docs: DataFrame) -> LabelModel:
     return fit_labels(np.array([r["pattern"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.float64))
 
 
-def fitting_texts(docs: DataFrame, sample_rows: int) -> list[tuple[str, float]]:
-    """At most ``sample_rows`` distinct texts with words, and how many documents each stands for.
+def fitting_texts(docs: DataFrame, sample_rows: int, sample_bytes: int = 16 << 20) -> DataFrame | None:
+    """``text, weight``: at most ``sample_rows`` distinct texts with words, of ``sample_bytes`` in all, and how many documents each stands for.
 
     Priority sampling: the texts with the least ``u / copies`` for a ``u`` in (0, 1] that the text's hash gives. With ``t`` as the inverse of the next
-    one's, each stands for ``max(copies, t)`` documents: frequent texts are surely drawn and count as often as they occur.
+    one's, each stands for ``max(copies, t)`` documents: frequent texts are surely drawn and count as often as they occur. Texts of more than a
+    sixteenth of ``sample_bytes`` are not drawn.
     """
-    some = docs.select("text").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    counted = some.groupBy(text_hash().alias("_hash")).agg(F.count(F.lit(1)).alias("n"))
+    fits = F.col("text").rlike(r"[^\x20\x09-\x0D]") & (F.octet_length("text") <= sample_bytes // 16)
+    some = docs.select("text").filter(fits)
+    counted = some.groupBy(text_hash().alias("_hash")).agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("_bytes"))
     place = (F.shiftrightunsigned("_hash", 11) + 1) / F.lit(float(1 << 53)) / F.col("n")
     first = counted.withColumn("place", place).orderBy("place", "_hash").limit(sample_rows + 1).collect()
-    stands = 1 / first[sample_rows]["place"] if len(first) > sample_rows else 0.0
-    weights = {r["_hash"]: max(float(r["n"]), stands) for r in first[:sample_rows]}
-    return sorted((r["text"], weights[r["_hash"]]) for r in distinct_texts(some, list(weights)).collect()) if weights else []
+    sizes = np.cumsum([r["_bytes"] for r in first])
+    drawn = min(sample_rows, int(np.searchsorted(sizes, sample_bytes, side="right")))
+    if not drawn:
+        return None
+    stands = 1 / first[drawn]["place"] if len(first) > drawn else 0.0
+    weights = docs.sparkSession.createDataFrame([(r["_hash"], max(float(r["n"]), stands)) for r in first[:drawn]], "_hash long, weight double")
+    return distinct_texts(some, [r["_hash"] for r in first[:drawn]]).join(F.broadcast(weights), "_hash").select("text", "weight")
 
 
-def train(docs: DataFrame, sample_rows: int = 2000) -> tuple[LabelModel, Scorer]:
+def train(docs: DataFrame, sample_rows: int = 2000, sample_bytes: int = 16 << 20) -> tuple[LabelModel, Scorer]:
+    """The label model of all documents, and a scorer fitted to its posteriors in one task on the bounded sample."""
     labels = label_model(docs)
-    texts = fitting_texts(docs, sample_rows)
-    raw = [text.encode() for text, _ in texts]
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    words, values, vote = text_facts(np.frombuffer(b"".join(raw), np.uint8), offsets)
-    scorer = fit_scorer(values, words, labels.posterior(vote), np.array([w for _, w in texts], np.float64))
-    if not texts:
-        scorer.bias = float(np.log(labels.prior) - np.log1p(-labels.prior))
-    return labels, scorer
+    rows = fitting_texts(docs, sample_rows, sample_bytes)
+    if rows is None:
+        return labels, Scorer(np.zeros(1 << HASH_BITS), np.zeros(len(LABELLERS)), float(np.log(labels.prior) - np.log1p(-labels.prior)))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = sorted((r["text"], r["weight"]) for batch in batches for r in batch.to_pylist())
+        raw = [text.encode() for text, _ in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+        words, values, vote = text_facts(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        scorer = fit_scorer(values, words, labels.posterior(vote), np.array([w for _, w in texts], np.float64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(scorer)], pa.binary())], ["model"])
+
+    return labels, pickle.loads(rows.repartition(1).mapInArrow(learn, "model binary").first()["model"])
 
 
 def with_quality(docs: DataFrame, models: tuple[LabelModel, Scorer]) -> DataFrame:
