@@ -183,7 +183,6 @@ def event_log(turns: DataFrame, chunk: int = EVENT_TEXT) -> DataFrame:
         plain = rows.withColumn("message", F.struct("turn", F.row_number().over(order).cast("long").alias("n")))
     key = F.format_string("%020d.%020d", F.coalesce(F.col("message.turn"), F.lit(-(1 << 62))) + F.lit(1 << 62), F.col("message.n"))
     draft = F.when(F.col("role") == MASKED, "regenerate").otherwise("edit")
-    count = F.greatest(F.lit(1), F.ceil(F.char_length("text") / chunk)).cast("int")
     event = lambda kind, role, said: F.struct(kind.alias("kind"), role.alias("role"), said.alias("text"))
     none = F.lit(None).cast("string")
     head = F.array(
@@ -191,6 +190,8 @@ def event_log(turns: DataFrame, chunk: int = EVENT_TEXT) -> DataFrame:
         event(F.lit("delta"), none, F.reverse(F.substring("text", 1, 40))),
         event(draft, none, F.when(draft == "edit", F.lit(""))),
     )
-    deltas = F.transform(F.sequence(F.lit(0), count - 1), lambda i: event(F.lit("delta"), none, F.substring(F.col("text"), i * chunk + 1, F.lit(chunk))))
+    # one pass over the text, however long
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
+    deltas = F.transform(F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(parts), lambda said: event(F.lit("delta"), none, said))
     log = plain.select("conv_id", key.alias("message"), F.posexplode(F.concat(head, deltas)).alias("_at", "_event"))
     return log.select("conv_id", "message", F.concat(F.col("message"), F.format_string(".%010d", "_at")).alias("seq"), "_event.kind", "_event.role", "_event.text")

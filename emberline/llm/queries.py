@@ -114,11 +114,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as MPEG audio and read back."""
-    media = mpeg_audio.stored(table(spark, sf_dir, "documents").select("doc_id", "text"), unit=192)
+    media = written(mpeg_audio.stored(table(spark, sf_dir, "documents").select("doc_id", "text"), unit=192), "media")
     back = mpeg_audio.with_facts(media)
-    feature = F.concat_ws(
-        ";", *[F.concat(F.lit(f"{name}="), F.coalesce(F.col("facts")[name].cast("string"), F.lit(""))) for name in ("layer", "rate", "frames", "table_frames", "samples", "duration", "bad_checksums", "min_kbps", "max_kbps")]
-    )
+    names = ("layer", "rate", "frames", "table_frames", "samples", "duration", "bad_checksums", "min_kbps", "max_kbps")
+    told = {name: F.col("facts")[name].cast("string") for name in names}
+    seeks = F.col("facts")["seek_offsets"]
+    told["seek_points"] = F.size(seeks).cast("string")
+    told["seek_crc32"] = F.crc32(F.array_join(F.transform(seeks, lambda at: at.cast("string")), ",").cast("binary")).cast("string")
+    feature = F.concat_ws(";", *[F.concat(F.lit(f"{name}="), F.coalesce(value, F.lit(""))) for name, value in told.items()])
     same = [F.col("facts")[name].alias(name) for name in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")]
     return back.select("doc_id", "n_bytes", *same, feature.alias("feature"))
 
@@ -136,7 +139,8 @@ def op8_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
-    return chat_events.conversation_digests(chat_events.messages(chat_events.event_log(turns.union(extra))))
+    log = written(chat_events.event_log(turns.union(extra)), "events")
+    return chat_events.conversation_digests(chat_events.messages(log))
 
 
 @query

@@ -629,3 +629,14 @@ def test_sets_of_short_texts():
     sets = shingle_sets(words_of("a b"), 3) + shingle_sets(words_of("a b c"), 3) + shingle_sets(words_of(""), 3)
     assert [len(s) for s in sets] == [1, 1, 0] and sets[0][0] != sets[1][0]
     assert NOT_ALNUM[ord("A")] and not NOT_ALNUM[ord("a")]
+
+
+def test_event_log_grows_with_the_text(spark):
+    """Deltas are cut in one pass: code points beyond 16 bits stay whole, and a long text costs no more than its length."""
+    text = "ab\n🙂é" * 150_000
+    turns = spark.createDataFrame([(1, 0, "assistant", text), (1, 1, "user", ""), (1, 2, "user", None)], "conv_id long, turn long, role string, text string")
+    log = chat_events.event_log(turns)
+    got = {r["message"][19:20]: r["text"] for r in chat_events.messages(log).collect()}
+    assert list(got.values()).count("") == 2 and text in got.values()
+    sizes = [len(r["text"]) for r in log.filter("kind = 'delta' and length(text) > 40").select("text").collect()]
+    assert max(sizes) == chat_events.EVENT_TEXT and sum(sizes) == len(text)

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from emberline.llm import language_id, packing
+from emberline.llm import language_id, mpeg_audio, packing
 from emberline.llm.oracle import LLM_ORACLE
 from emberline.llm.queries import LLM_QUERIES
 
@@ -133,6 +133,26 @@ def test_mpeg_audio(spark, texts):
         payload = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
         assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-16:])
+        stored = mpeg_audio.carry(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        feature = dict(x.split("=") for x in r["feature"].split(";"))
+        frames = frame_places(stored)
+        assert int(feature["frames"]) == int(feature["seek_points"]) == len(frames)
+        assert int(feature["seek_crc32"]) == zlib.crc32(",".join(map(str, frames)).encode())
+
+
+def frame_places(data):
+    """Where the audio frames begin, by their headers alone: after the tag at the start and the frame with the table."""
+    at = 0
+    if data[:3] == b"ID3":
+        at = 10 + sum((b & 127) << 7 * (3 - i) for i, b in enumerate(data[6:10]))
+    places = []
+    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] & 0xE0 == 0xE0:
+        kbps = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320][data[at + 2] >> 4]
+        rate = [44100, 48000, 32000][data[at + 2] >> 2 & 3]
+        places.append(at)
+        at += 144 * kbps * 1000 // rate + (data[at + 2] >> 1 & 1)
+    return places[1:]
 
 
 def test_pieces(spark, texts):
