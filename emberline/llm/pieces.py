@@ -31,12 +31,15 @@ from emberline.llm.store import slices, written
 from emberline.llm.words import BYTE_VALUES, mix, runs_inside, span_hashes, stretches
 
 MARKER = "▁"
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 32 << 20
 PART_BYTES = 4 << 20  # of a slice, cut at once
 BUCKET_BYTES = 12 << 20  # of chunks asked for, in the mean
 LEAST_BUCKETS = 24
-ANSWER_BYTES = 2 << 20  # of text in one batch of results
-SPACE = 32
+ANSWER_CHUNKS = 150_000  # positions in one batch of results
+FREQUENT = 1 << 16  # chunks of a slice that come first by frequency; the others are in the order of their bytes, which packs better
+SPACE, BREAK = 32, 255  # the second is no byte of a text
+LEVEL = 9  # of compression
+LOW_BITS = 6
 
 
 def check_model(path: str) -> None:
@@ -94,50 +97,82 @@ class Slice:
         self.bytes += len(data)
 
     def row(self, kind: pa.DataType) -> dict:
-        """Distinct chunks in the order of their hashes; codes as bytes, the most frequent chunks first and in one byte each."""
-        import zstandard
-
+        """The documents, the distinct chunks - the most frequent ones first, so that their numbers are small -, and the number at every position."""
         hashes, where, back = np.unique(np.concatenate(self.hashes), return_index=True, return_inverse=True)
         codes = back[np.concatenate(self.codes)]
         often = np.argsort(-np.bincount(codes, minlength=len(hashes)), kind="stable")
-        rank = np.empty(len(often), np.uint32)
-        rank[often] = np.arange(len(often))
-        texts = [self.texts[i] for i in where[often].tolist()]
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        seldom = sorted(often[FREQUENT:].tolist(), key=lambda i: self.texts[where[i]])
+        ordered = np.concatenate([often[:FREQUENT], np.array(seldom, np.int64)])
+        rank = np.empty(len(ordered), np.uint32)
+        rank[ordered] = np.arange(len(ordered))
+        texts = [self.texts[i] for i in where[ordered].tolist()]
         docs = pa.chunked_array(self.docs, kind).combine_chunks()
         return {
             "docs": docs,
-            "counts": np.concatenate(self.counts).astype("<i8").tobytes(),
-            "codes": as_bytes(rank[codes]),
-            "chunks": squeeze(b"".join(texts)),
-            "sizes": squeeze(np.array([len(t) for t in texts], "<u4").tobytes()),
+            "counts": as_bytes(np.concatenate(self.counts)),
+            **dict(zip(("codes", "low_codes"), codes_as_bytes(rank[codes]))),
+            "chunks": squeezed(b"".join([t + bytes([BREAK]) for t in texts])),
             "n_chunks": len(texts),
             "n_bytes": sum(map(len, texts)),
         }
 
 
-def as_bytes(values: np.ndarray) -> bytes:
-    """Numbers as compressed planes of their bytes; the high planes of frequent chunks are nearly all zero."""
+def squeezed(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=LEVEL).compress(raw)
+
+
+def expanded(raw: bytes) -> np.ndarray:
     import zstandard
 
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+
+
+def as_bytes(values: np.ndarray) -> bytes:
+    """Numbers as compressed planes of their bytes; the high planes of frequent chunks are nearly all zero."""
     planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+    return squeezed(np.ascontiguousarray(planes).tobytes())
 
 
 def from_bytes(raw: bytes) -> np.ndarray:
-    import zstandard
+    return np.ascontiguousarray(expanded(raw).reshape(4, -1).T).view("<u4").ravel()
+
+
+def codes_as_bytes(codes: np.ndarray) -> tuple[bytes, bytes]:
+    """The high bits of the codes in place, and the low bits of all codes grouped by their high bits: those of frequent chunks are unevenly used."""
+    high = codes >> LOW_BITS
+    low = (codes & ((1 << LOW_BITS) - 1)).astype(np.uint8)
+    return as_bytes(high), squeezed(low[np.argsort(high, kind="stable")].tobytes())
+
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+def codes_from_bytes(high: bytes, low: bytes) -> np.ndarray:
+    codes = from_bytes(high)
+    order = np.argsort(codes, kind="stable")
+    codes = codes << LOW_BITS
+    codes[order] |= expanded(low)
+    return codes
 
 
-def split(raw: bytes, sizes: np.ndarray) -> list[bytes]:
-    ends = np.cumsum(sizes, dtype=np.int64)
-    return [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+def ids_as_bytes(ids: np.ndarray) -> bytes:
+    """Piece ids in the order of similar chunks, two bytes each where they fit: the compressor finds the beginnings that neighbours share."""
+    wide = len(ids) and int(ids.max()) >= 1 << 16
+    return squeezed((b"4" if wide else b"2") + ids.astype("<u4" if wide else "<u2").tobytes())
+
+
+def ids_from_bytes(raw: bytes) -> np.ndarray:
+    data = expanded(raw).tobytes()
+    return np.frombuffer(data[1:], "<u4" if data[:1] == b"4" else "<u2").astype(np.int32)
+
+
+def chunk_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the chunks of a row begin and end."""
+    end = np.flatnonzero(data == BREAK)
+    return np.concatenate([[0], end[:-1] + 1]) if len(end) else end, end
 
 
 def cut(docs: DataFrame) -> DataFrame:
-    """One row per slice: ``slice, docs, counts, codes, chunks, sizes, n_chunks, n_bytes``."""
+    """One row per slice: ``slice, docs, counts, codes, low_codes, chunks, n_chunks, n_bytes``."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -163,53 +198,53 @@ def cut(docs: DataFrame) -> DataFrame:
             yield finished(held)
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"slice long, docs array<{id_kind}>, counts binary, codes binary, chunks binary, sizes binary, n_chunks long, n_bytes long"
+    shape = f"slice long, docs array<{id_kind}>, counts binary, codes binary, low_codes binary, chunks binary, n_chunks long, n_bytes long"
     return docs.select("doc_id", "text").mapInArrow(build, shape)
 
 
+def dealt(data: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A slice's chunks by bucket, in the slice's order within each; the buckets there are, and where each begins."""
+    bucket = (mix(span_hashes(data, start, end, BYTE_VALUES)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    there, begin = np.unique(bucket[order], return_index=True)
+    return order, there, begin
+
+
+def gather(values: np.ndarray, begin: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the spans that ``codes`` name, one after another, and their sizes."""
+    n = sizes[codes]
+    return values[np.repeat(begin[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+
 def asked_chunks(cuts: DataFrame, buckets: int) -> DataFrame:
-    """``bucket, slice, places, chunks, sizes``: what each slice asks each bucket, and the places of these chunks among the slice's."""
+    """``bucket, slice, chunks``: what each slice asks each bucket, in the slice's order."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        squeeze, expand = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for name, chunks, raw_sizes in zip(*[batch.column(c).to_pylist() for c in ("slice", "chunks", "sizes")], strict=True):
-                data, sizes = np.frombuffer(expand(chunks), np.uint8), np.frombuffer(expand(raw_sizes), "<u4").astype(np.int64)
-                end = np.cumsum(sizes)
-                texts = split(data.tobytes(), sizes)
-                bucket = (mix(span_hashes(data, end - sizes, end, BYTE_VALUES)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                there, begin = np.unique(bucket[order], return_index=True)
-                columns: tuple[list, list, list] = ([], [], [])
-                for a, b in stretches(begin, len(order)):
-                    # in the order of their bytes, which packs better
-                    mine = sorted(order[a:b].tolist(), key=texts.__getitem__)
-                    columns[0].append(as_bytes(np.array(mine)))
-                    columns[1].append(squeeze(b"".join([texts[i] for i in mine])))
-                    columns[2].append(squeeze(sizes[mine].astype("<u4").tobytes()))
-                arrays = [pa.array(there), pa.array(np.full(len(there), name)), *[pa.array(c, pa.binary()) for c in columns]]
-                yield pa.RecordBatch.from_arrays(arrays, ["bucket", "slice", "places", "chunks", "sizes"])
-
-    return cuts.select("slice", "chunks", "sizes").mapInArrow(deal, "bucket long, slice long, places binary, chunks binary, sizes binary")
+            for name, chunks in zip(*[batch.column(c).to_pylist() for c in ("slice", "chunks")], strict=True):
+                data = expanded(chunks)
+                start, end = chunk_places(data)
+                order, there, begin = dealt(data, start, end, buckets)
+                asked = [squeezed(gather(data, start, end - start + 1, order[a:b])[0].tobytes()) for a, b in stretches(begin, len(order))]
+                arrays = [pa.array(there), pa.array(np.full(len(there), name)), pa.array(asked, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["bucket", "slice", "chunks"])
+
+    return cuts.select("slice", "chunks").mapInArrow(deal, "bucket long, slice long, chunks binary")
 
 
 def answered(asked: DataFrame, model_path: str) -> DataFrame:
-    """``slice, places, n_ids, ids, odd``: the ids of every chunk asked for; each distinct chunk of a bucket is encoded and decoded once.
+    """``slice, bucket, n_ids, ids, odd``: the ids of every chunk asked for; each distinct chunk of a bucket is encoded and decoded once.
 
-    ``odd`` lists the places of chunks whose decoded text is not the chunk, and these texts."""
+    ``odd`` lists the chunks whose decoded text is not the chunk, by place, and these texts."""
 
     def answer(group: pa.Table) -> pa.Table:
-        import zstandard
         from sentencepiece import SentencePieceProcessor
 
-        squeeze, expand = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
         model = SentencePieceProcessor(model_file=model_path)
         index: dict[bytes, int] = {}
         asks = []
-        for chunks, sizes in zip(group.column("chunks").to_pylist(), group.column("sizes").to_pylist(), strict=True):
-            texts = split(expand(chunks), np.frombuffer(expand(sizes), "<u4").astype(np.int64))
+        for chunks in group.column("chunks").to_pylist():
+            texts = expanded(chunks).tobytes().split(bytes([BREAK]))[:-1]
             asks.append(np.array([index.setdefault(t, len(index)) for t in texts], np.int64))
         distinct = [t.decode() for t in index]
         bare = model.piece_to_id(MARKER)  # the marker alone, for which there is no text to encode
@@ -219,64 +254,51 @@ def answered(asked: DataFrame, model_path: str) -> DataFrame:
         flat, begin = np.array([i for x in ids for i in x], np.uint32), np.cumsum(counts) - counts
         columns: tuple[list, list, list] = ([], [], [])
         for ask in asks:
-            n = counts[ask]
-            take = np.repeat(begin[ask] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            some, n = gather(flat, begin, counts, ask)
             columns[0].append(as_bytes(n))
-            columns[1].append(as_bytes(flat[take]))
+            columns[1].append(ids_as_bytes(some))
             columns[2].append([{"place": k, "text": odd[i]} for k, i in enumerate(ask.tolist()) if i in odd] if odd else [])
         kind = pa.list_(pa.struct([("place", pa.int32()), ("text", pa.string())]))
-        return pa.table({"slice": group.column("slice"), "places": group.column("places"), "n_ids": pa.array(columns[0], pa.binary()), "ids": pa.array(columns[1], pa.binary()), "odd": pa.array(columns[2], kind)})
+        return pa.table({"slice": group.column("slice"), "bucket": group.column("bucket"), "n_ids": pa.array(columns[0], pa.binary()), "ids": pa.array(columns[1], pa.binary()), "odd": pa.array(columns[2], kind)})
 
-    return asked.groupBy("bucket").applyInArrow(answer, "slice long, places binary, n_ids binary, ids binary, odd array<struct<place:int,text:string>>")
+    return asked.groupBy("bucket").applyInArrow(answer, "slice long, bucket long, n_ids binary, ids binary, odd array<struct<place:int,text:string>>")
 
 
-def gather(values: np.ndarray, begin: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of the spans that ``codes`` name, one after another, and their sizes."""
-    n = sizes[codes]
-    return values[np.repeat(begin[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
-
-
-def lined_up(row: dict, docs: pa.Array, answers: list[dict]) -> Iterator[pa.RecordBatch]:
+def lined_up(row: dict, docs: pa.Array, answers: list[dict], buckets: int) -> Iterator[pa.RecordBatch]:
     """The documents of one slice with ids and decoded texts, a few MB at a time."""
-    import zstandard
-
-    expand = zstandard.ZstdDecompressor().decompress
-    sizes = np.frombuffer(expand(row["sizes"]), "<u4").astype(np.int64)
-    texts = split(expand(row["chunks"]), sizes)
-    n_ids, parts, order = np.zeros(len(texts), np.int64), [], []
-    for answer in answers:
-        at = from_bytes(answer["places"]).astype(np.int64)
-        n_ids[at] = from_bytes(answer["n_ids"])
-        parts.append(from_bytes(answer["ids"]))
-        order.append(at)
-        for x in answer["odd"]:
-            texts[at[x["place"]]] = x["text"].encode()
-    order = np.concatenate(order) if order else np.zeros(0, np.int64)
-    if len(order) != len(texts):
+    data = expanded(row["chunks"])
+    start, end = chunk_places(data)
+    order, there, begin = dealt(data, start, end, buckets)
+    answers = sorted(answers, key=lambda a: a["bucket"])
+    counts_of = [from_bytes(a["n_ids"]) for a in answers]
+    if [a["bucket"] for a in answers] != there.tolist() or sum(map(len, counts_of)) != len(order):
         raise ValueError("chunks of a slice are without an answer")
-    flat = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
-    begin = np.zeros(len(texts), np.int64)
-    begin[order] = np.cumsum(n_ids[order]) - n_ids[order]
-    sizes = np.array([len(t) for t in texts], np.int64)
-    data, data_begin = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes
-    codes, counts = from_bytes(row["codes"]).astype(np.int64), np.frombuffer(row["counts"], "<i8")
+    n_ids, ids_begin, text_begin, sizes = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), start, end - start
+    flat = np.concatenate([np.zeros(0, np.int32), *[ids_from_bytes(a["ids"]) for a in answers]])
+    n_ids[order] = np.concatenate([np.zeros(0, np.uint32), *counts_of])
+    ids_begin[order] = np.cumsum(n_ids[order]) - n_ids[order]
+    for low, answer in zip(begin.tolist(), answers, strict=True):
+        for x in answer["odd"]:
+            text = np.frombuffer(x["text"].encode(), np.uint8)
+            at = order[low + x["place"]]
+            text_begin[at], sizes[at] = len(data), len(text)
+            data = np.concatenate([data, text])
+    codes, counts = codes_from_bytes(row["codes"], row["low_codes"]), from_bytes(row["counts"]).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(counts)])
-    reach = np.concatenate([[0], np.cumsum(sizes[codes] + 1)])[first]
     low = 0
     while low < len(counts):
-        high = max(int(np.searchsorted(reach, reach[low] + ANSWER_BYTES, side="right")) - 1, low + 1)
+        high = max(int(np.searchsorted(first, first[low] + ANSWER_CHUNKS, side="right")) - 1, low + 1)
         some = codes[first[low] : first[high]]
-        ids, n = gather(flat, begin, n_ids, some)
-        marked, m = gather(data, data_begin, sizes, some)
+        ids, n = gather(flat, ids_begin, n_ids, some)
+        marked, m = gather(data, text_begin, sizes, some)
         # a space before each chunk but the first of a text, whose marker decoding takes away
         inner = np.ones(len(some), np.int64)
         inner[(first[low:high] - first[low])[counts[low:high] > 0]] = 0
-        out = np.full(int(m.sum() + inner.sum()), SPACE, np.uint8)
         spans = m + inner
+        out = np.full(int(spans.sum()), SPACE, np.uint8)
         out[np.repeat(np.cumsum(spans) - m - (np.cumsum(m) - m), m) + np.arange(m.sum())] = marked
-        cuts_at = first[low : high + 1] - first[low]
-        ids_at = np.concatenate([[0], np.cumsum(n)])[cuts_at]
-        text_at = np.concatenate([[0], np.cumsum(spans)])[cuts_at]
+        places = first[low : high + 1] - first[low]
+        ids_at, text_at = np.concatenate([[0], np.cumsum(n)])[places], np.concatenate([[0], np.cumsum(spans)])[places]
         yield pa.RecordBatch.from_arrays(
             [
                 docs.slice(low, high - low),
@@ -306,10 +328,10 @@ def encoded(docs: DataFrame, model_path: str) -> DataFrame:
             last, docs_of = batch.column("_last").to_pylist(), batch.column("docs")
             for i in range(batch.num_rows):
                 if last[i]:
-                    row = {c: batch.column(c)[i].as_py() for c in ("counts", "codes", "chunks", "sizes")}
-                    yield from lined_up(row, docs_of[i].values, held)
+                    row = {c: batch.column(c)[i].as_py() for c in ("counts", "codes", "low_codes", "chunks")}
+                    yield from lined_up(row, docs_of[i].values, held, buckets)
                     held = []
                 else:
-                    held.append({c: batch.column(c)[i].as_py() for c in ("places", "n_ids", "ids", "odd")})
+                    held.append({c: batch.column(c)[i].as_py() for c in ("bucket", "n_ids", "ids", "odd")})
 
     return streams.mapInArrow(join, f"doc_id {kind}, ids array<int>, decoded string")

@@ -130,8 +130,8 @@ def test_pieces_slices_of_few_bytes():
         held.add(pa.array(ids), np.frombuffer(b"".join(texts), np.uint8), offsets)
     row = held.row(pa.int64())
     chunks = pieces.expanded(row["chunks"]).tobytes().split(b"\xff")[:-1]
-    assert [chunks[i] for i in pieces.from_bytes(row["codes"])] == [b"a", b"b", b" a", b" b", b"a"]
-    assert np.frombuffer(row["counts"], "<i8").tolist() == [3, 0, 2] and len(set(chunks)) == row["n_chunks"] == 4
+    assert [chunks[i] for i in pieces.codes_from_bytes(row["codes"], row["low_codes"])] == [b"a", b"b", b" a", b" b", b"a"]
+    assert pieces.from_bytes(row["counts"]).tolist() == [3, 0, 2] and len(set(chunks)) == row["n_chunks"] == 4
 
 
 def test_pieces_reject_models_that_cross_markers(tmp_path):
