@@ -1,11 +1,13 @@
 """Web archives in ZIP packages: written as WARC members with an index, read by ranges without extraction.
 
-A package holds stored (uncompressed) WARC members and one index member with a line per record. ``Package`` needs nothing but a
-function that reads a range of bytes: it finds the end record, follows the ZIP64 locator where there is one, parses the
+A package holds stored archive members, plain WARC or one gzip stream per record, and index members of CDXJ lines. ``Package`` needs nothing
+but a function that reads a range of bytes: it finds the end record, follows the ZIP64 locator where there is one, parses the
 central directory with its ZIP64 extra fields, locates stored members behind their local headers, and reads single records at
-the places the index names. Records without an index are found by walking a member.
+the places the indexes name. Records without an index are found by walking a member; an index may be deflated, an archive
+may not, since ranges of it could not be read.
 
-Packages are rows of a table in the shared folder, a bounded number of bytes each, so writing and reading are spread over tasks.
+``file_records`` reads packages in files of a shared file system, a range at a time and none as a whole. The packages written here are
+rows of a table in the shared folder, a bounded number of bytes each, so writing and reading are spread over tasks.
 
 Defined results: null html is an empty payload; of equal payloads of at least ``least_bytes`` bytes the record with the smallest
 ``page_id`` is the response and the others revisit it, shorter ones are all responses; a null url is an empty target; rows that share a
@@ -15,6 +17,7 @@ Defined results: null html is an empty payload; of equal payloads of at least ``
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -28,7 +31,8 @@ from emberline.llm.store import written
 
 PACKAGE_BYTES = 8 << 20
 MEMBER_BYTES = 2 << 20
-INDEX = "indexes/index.cdx"
+INDEX, ARCHIVE = "indexes/index.cdxj", "archive/"
+STEP = 1 << 16  # bytes read at once where a length is not known
 # Fixed values of the format
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
@@ -99,9 +103,9 @@ class Package:
             yield Member(name, method, crc, stored, full, header)
             at += 46 + names + extras + notes
 
-    def data_at(self, member: Member) -> int:
-        """Offset of a stored member's first byte."""
-        if member.method:
+    def data_at(self, member: Member, deflated: bool = False) -> int:
+        """Offset of a stored member's first byte (or of a deflated one's)."""
+        if member.method and not deflated:
             raise ValueError(f"{member.name} is not stored")
         head = self.read(member.header_at, 30)
         if head[:4] != LOCAL:
@@ -114,22 +118,43 @@ class Package:
             raise ValueError("range is outside the member")
         return self.read(self.data_at(member) + offset, length)
 
+    def whole(self, name: str) -> bytes:
+        """A small member, stored or deflated, checked against its checksum."""
+        member = self.members[name]
+        if member.method == 8:
+            raw = zlib.decompress(self.read(self.data_at(member, deflated=True), member.stored), -15)
+        else:
+            raw = self.range(name, 0, member.size)
+        if zlib.crc32(raw) != member.crc:
+            raise ValueError(f"{name} is damaged")
+        return raw
+
     def index(self) -> list[tuple[str, int, int]]:
-        """Member, offset and length of every record the index names."""
-        if INDEX not in self.members:
-            return []
-        raw = self.range(INDEX, 0, self.members[INDEX].size)
-        if zlib.crc32(raw) != self.members[INDEX].crc:
-            raise ValueError("damaged index")
-        lines = (line.split(" ") for line in raw.decode().splitlines())
-        return [(name, int(offset), int(length)) for name, offset, length in lines]
+        """Member, offset and length of every record the indexes name: lines of a key, a time, and a JSON object."""
+        places = []
+        for name in self.members:
+            if name.startswith("indexes/") and name.endswith((".cdxj", ".cdxj.gz")):
+                raw = self.whole(name)
+                text = (inflated(raw) if name.endswith(".gz") else raw).decode()
+                for line in text.splitlines():
+                    if "{" in line and not line.startswith("!"):
+                        entry = json.loads(line[line.index("{") :])
+                        places.append((self._archive(entry["filename"]), int(entry["offset"]), int(entry["length"])))
+        return places
+
+    def _archive(self, name: str) -> str:
+        return name if name in self.members else ARCHIVE + name
 
     def walk(self) -> Iterator[tuple[str, int, int]]:
         """The same by reading the heads of all records in all archive members."""
         for name, member in self.members.items():
             at = 0
+            while name.endswith(".warc.gz") and at < member.size:
+                length = self._stream_length(name, at)
+                yield name, at, length
+                at += length
             while name.endswith(".warc") and at < member.size:
-                head = self.range(name, at, min(member.size - at, 1 << 16))
+                head = self.range(name, at, min(member.size - at, STEP))
                 end = head.find(b"\r\n\r\n")
                 if end < 0:
                     raise ValueError("record without a head")
@@ -137,9 +162,44 @@ class Package:
                 yield name, at, length
                 at += length
 
+    def _stream_length(self, name: str, begin: int) -> int:
+        """Bytes of the gzip stream that begins at this place of a member."""
+        stream, at, size = zlib.decompressobj(31), begin, self.members[name].size
+        while not stream.eof:
+            if at >= size:
+                raise ValueError("a compressed record has no end")
+            part = self.range(name, at, min(STEP, size - at))
+            stream.decompress(part)
+            at += len(part)
+        return at - len(stream.unused_data) - begin
+
     def records(self) -> Iterator[Record]:
         for name, offset, length in self.index() or self.walk():
-            yield read_record(self.range(name, offset, length))
+            raw = self.range(name, offset, length)
+            yield read_record(inflated(raw) if name.endswith(".gz") else raw)
+
+
+def inflated(raw: bytes) -> bytes:
+    """The content of one or more gzip streams."""
+    out = []
+    while raw:
+        stream = zlib.decompressobj(31)
+        out.append(stream.decompress(raw))
+        if not stream.eof:
+            raise ValueError("a compressed record has no end")
+        raw = stream.unused_data
+    return b"".join(out)
+
+
+def gzipped(raw: bytes) -> bytes:
+    stream = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return stream.compress(raw) + stream.flush()
+
+
+def index_line(url: str, name: str, offset: int, length: int) -> str:
+    """A CDXJ line; its key is the address, its time that of all records here."""
+    key = url.partition("://")[2].lower() or "-"
+    return f"{key} {DATE.translate({ord(c): None for c in '-:TZ'})} {json.dumps({'url': url, 'filename': name, 'offset': str(offset), 'length': str(length)})}"
 
 
 def build_package(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
@@ -231,22 +291,25 @@ def with_revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     return joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
 
-def packages(pages: DataFrame, least_bytes: int = 100, package_bytes: int = PACKAGE_BYTES, member_bytes: int = MEMBER_BYTES, zip64: bool = True) -> DataFrame:
-    """``package, bytes``: packages of about ``package_bytes``, each written by one task."""
+def packages(
+    pages: DataFrame, least_bytes: int = 100, package_bytes: int = PACKAGE_BYTES, member_bytes: int = MEMBER_BYTES, zip64: bool = True, compressed: bool = True
+) -> DataFrame:
+    """``package, bytes``: packages of about ``package_bytes``, each written by one task; ``compressed`` members are a gzip stream per record."""
+    ending = "warc.gz" if compressed else "warc"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[list[bytes]] = [[]]
+        done: list[list[tuple[str, bytes]]] = [[]]
         sizes = [0]
 
         def package() -> pa.RecordBatch:
             members, index = [], []
             for i, records in enumerate(done):
-                name, at = f"archive/data-{i:05d}.warc", 0
-                for record in records:
-                    index.append(f"{name} {at} {len(record)}")
+                name, at = f"data-{i:05d}.{ending}", 0
+                for url, record in records:
+                    index.append(index_line(url, name, at, len(record)))
                     at += len(record)
-                members.append((name, b"".join(records)))
-            data = build_package([*members, (INDEX, "\n".join(index).encode())], zip64)
+                members.append((ARCHIVE + name, b"".join(r for _, r in records)))
+            data = build_package([*members, (INDEX, "\n".join(sorted(index)).encode())], zip64)
             return pa.RecordBatch.from_arrays([pa.array([f"{hashlib.sha256(data).hexdigest()[:16]}.wacz"]), pa.array([data], pa.binary())], ["package", "bytes"])
 
         for batch in batches:
@@ -254,7 +317,8 @@ def packages(pages: DataFrame, least_bytes: int = 100, package_bytes: int = PACK
             for i in range(batch.num_rows):
                 page, url, html, digest, refers_to = [c[i].as_py() for c in columns]
                 record = build_record(page, url, (html or "").encode(), digest, refers_to)
-                done[-1].append(record)
+                record = gzipped(record) if compressed else record
+                done[-1].append((url_field(url), record))
                 sizes[-1] += len(record)
                 if sum(sizes) >= package_bytes:
                     yield package()
@@ -268,32 +332,55 @@ def packages(pages: DataFrame, least_bytes: int = 100, package_bytes: int = PACK
     return with_revisits(pages, least_bytes).mapInArrow(pack, "package string, bytes binary")
 
 
+RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+
+
+def record_rows(package: Package) -> Iterator[pa.RecordBatch]:
+    """The responses and revisits of a package; digests of responses are verified."""
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    names = [x.split()[0] for x in RECORD.split(", ")]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    rows = []
+    for r in package.records():
+        kind, digest = r.fields["warc-type"], r.fields.get("warc-payload-digest", "").removeprefix("sha256:")
+        if kind not in ("response", "revisit"):
+            continue
+        if kind == "response" and hashlib.sha256(r.payload).hexdigest() != digest:
+            raise ValueError("payload and digest differ")
+        size = int(r.http["content-length"])
+        rows.append((page_of(r.fields["warc-record-id"]), r.fields["warc-target-uri"], size, digest, kind, page_of(r.fields.get("warc-refers-to")), r.payload if kind == "response" else None))
+        if len(rows) == 512:
+            yield batch(rows)
+            rows = []
+    if rows:
+        yield batch(rows)
+
+
 def records(archives: DataFrame) -> DataFrame:
-    """All records of packages (``bytes``), range-read at the places their indexes name; digests of responses are verified."""
+    """All records of packages (``bytes``), range-read at the places their indexes name."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         for batch in batches:
             for i in range(batch.num_rows):
                 view = memoryview(batch.column("bytes")[i].as_buffer())
-                package = Package(lambda at, n: bytes(view[at : at + n]), len(view))  # noqa: B023
-                rows = []
-                for r in package.records():
-                    kind, digest = r.fields["warc-type"], r.fields["warc-payload-digest"].removeprefix("sha256:")
-                    if kind == "response" and hashlib.sha256(r.payload).hexdigest() != digest:
-                        raise ValueError("payload and digest differ")
-                    size = int(r.http["content-length"])
-                    rows.append((page_of(r.fields["warc-record-id"]), r.fields["warc-target-uri"], size, digest, kind, page_of(r.fields.get("warc-refers-to")), r.payload if kind == "response" else None))
-                    if len(rows) == 512:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    return archives.select("bytes").mapInArrow(
-        read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    )
+                yield from record_rows(Package(lambda at, n: bytes(view[at : at + n]), len(view)))  # noqa: B023
+
+    return archives.select("bytes").mapInArrow(read, RECORD)
+
+
+def file_records(paths: DataFrame) -> DataFrame:
+    """All records of the packages that ``path`` names (plain paths or addresses that Arrow's file systems know), by ranges of the files."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                with system.open_input_file(inner) as file:
+                    yield from record_rows(Package(lambda at, n: file.read_at(n, at), file.size()))  # noqa: B023
+
+    return paths.select("path").mapInArrow(read, RECORD)
 
 
 def archived(pages: DataFrame, **options) -> DataFrame:

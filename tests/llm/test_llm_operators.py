@@ -551,7 +551,7 @@ def test_package_reads_ranges(zip64):
     records = [zip_archives.build_record(i, f"http://a/{i} b", b"payload %d" % i, "0" * 64, None if i % 2 else 7) for i in range(5)]
     warc = b"".join(records)
     at = np.cumsum([0, *map(len, records)]).tolist()
-    index = "\n".join(f"archive/a.warc {a} {b - a}" for a, b in itertools.pairwise(at)).encode()
+    index = "\n".join(zip_archives.index_line("http://a/", "a.warc", a, b - a) for a, b in itertools.pairwise(at)).encode()
     data = zip_archives.build_package([("archive/a.warc", warc), (zip_archives.INDEX, index), ("é.txt", b"")], zip64)
     assert zipfile.ZipFile(io.BytesIO(data)).read("archive/a.warc") == warc  # others read it too
     reads = []
@@ -640,3 +640,44 @@ def test_event_log_grows_with_the_text(spark):
     assert list(got.values()).count("") == 2 and text in got.values()
     sizes = [len(r["text"]) for r in log.filter("kind = 'delta' and length(text) > 40").select("text").collect()]
     assert max(sizes) == chat_events.EVENT_TEXT and sum(sizes) == len(text)
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_packages_in_files_are_read_by_ranges(spark, tmp_path, compressed):
+    pages = spark.createDataFrame([(i, f"http://Host{i % 3}/p?{i}", ("page é " * (i % 7) * 30) or None) for i in range(60)], "page_id long, url string, html string")
+    packed = zip_archives.packages(pages.coalesce(2), package_bytes=20_000, member_bytes=4_000, compressed=compressed).collect()
+    for r in packed:
+        (tmp_path / r["package"]).write_bytes(r["bytes"])
+    paths = spark.createDataFrame([(str(tmp_path / r["package"]),) for r in packed], "path string")
+    columns = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
+    got = rows(zip_archives.file_records(paths), *columns)
+    assert got == rows(zip_archives.records(spark.createDataFrame(packed)), *columns) and len(got) == 60
+    assert {r[0]: r[6] for r in got if r[4] == "response"} == {i: (("page é " * (i % 7) * 30)).encode() for i in range(60) if i < 7 or i % 7 == 0}
+
+    # ranges only: never more of a package than a directory, an index or a record
+    raw, asked = packed[0]["bytes"], []
+    package = zip_archives.Package(lambda at, n: asked.append(n) or raw[at : at + n], len(raw))
+    listed = package.index()
+    assert sorted(listed) == sorted(package.walk())
+    asked.clear()
+    assert len(list(package.records())) == len(listed) and max(asked) < len(raw) / 2
+
+
+def test_a_package_with_a_deflated_index(spark):
+    import io
+    import zipfile
+
+    record = zip_archives.build_record(5, "http://a/b", b"text", __import__("hashlib").sha256(b"text").hexdigest(), None)
+    data, place = zip_archives.gzipped(record), io.BytesIO()
+    with zipfile.ZipFile(place, "w") as file:
+        file.writestr("archive/x.warc.gz", zip_archives.gzipped(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 0\r\n\r\n\r\n\r\n") + data)
+        at = file.getinfo("archive/x.warc.gz").file_size - len(data)
+        file.writestr("indexes/index.cdxj", '!meta {"format": "cdxj"}\n' + zip_archives.index_line("http://a/b", "x.warc.gz", at, len(data)), zipfile.ZIP_DEFLATED)
+        file.writestr("datapackage.json", "{}", zipfile.ZIP_DEFLATED)
+    got = zip_archives.records(spark.createDataFrame([(bytearray(place.getvalue()),)], "bytes binary")).collect()
+    assert [(r["page_id"], r["url"], bytes(r["payload"]), r["record_type"]) for r in got] == [(5, "http://a/b", b"text", "response")]
+    bare = io.BytesIO()
+    with zipfile.ZipFile(bare, "w") as file:
+        file.writestr("archive/x.warc.gz", data)
+    package = zip_archives.Package(lambda at, n: bare.getvalue()[at : at + n], len(bare.getvalue()))
+    assert [r.payload for r in package.records()] == [b"text"]
