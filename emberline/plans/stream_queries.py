@@ -43,10 +43,16 @@ def _arrivals(spark: SparkSession, path: str, work: str, since: str | None = Non
     part = F.floor((arrived - F.lit(first)) * PARTS / F.lit(last - first + 1))
     for n in range(PARTS):
         events.filter(part == n).repartition(FILES).write.mode("append").parquet(f"{work}/in")
-    far = F.timestamp_micros(F.lit(last + 60 * 86_400_000_000))
+    _last_of_all(events, last, work)
+    return f"{work}/in"
+
+
+def _last_of_all(events: DataFrame, last_us: int, work: str) -> None:
+    """One event of another site, two months after all others."""
+    spark = events.sparkSession
+    far = F.timestamp_micros(F.lit(last_us + 60 * 86_400_000_000))
     values = [F.lit(-1).alias("event_id"), far.alias("ts"), F.lit(-1).alias("user_id"), F.lit("view").alias("event_type"), F.lit(0.0).alias("value"), F.lit('{"k": 0}').alias("props")]
     spark.range(1).select(*[v.cast(f.dataType).alias(f.name) for v, f in zip(values, events.schema)]).coalesce(1).write.mode("append").parquet(f"{work}/in")
-    return f"{work}/in"
 
 
 def _observed(spark: SparkSession, path: str, *kinds: str) -> DataFrame:
@@ -112,17 +118,22 @@ def st_floor_days(spark: SparkSession, path: str, work: str) -> DataFrame:
 
 @stream_query
 def st_resume(spark: SparkSession, path: str, work: str) -> DataFrame:
-    """ST7: the first half of the month is streamed, the job stops, the rest arrives, the job resumes; then all is streamed anew into the same table."""
+    """ST7: the first half of the month is streamed, the job stops, the rest arrives, the job resumes; then all is streamed anew into the same table.
+
+    The job stops with rows in its state that still wait for the watermark.
+    """
     events = spark.read.schema(EVENTS_SCHEMA).parquet(path)
     middle = at("2024-01-16 00:00:00")
     shape = "site_id bigint, entity_id string, floor string, us bigint, seq bigint, started_at bigint, duration_s bigint"
     table = tables.event_table(f"{work}/table", shape, ["site_id", "seq"])
-    stream = lambda: jobs.stream_calls(_observed(spark, f"{work}/in", CALL), DELAY)
-    for part in (events.filter(F.col("ts") < middle), events.filter(F.col("ts") >= middle)):
-        part.coalesce(1).sortWithinPartitions("ts", "event_id").write.mode("append").parquet(f"{work}/in")
-        tables.write_stream(on_time(stream()), table, f"{work}/checkpoint")
-    tables.write_stream(on_time(stream()), table, f"{work}/anew")
-    out = micros(table.read(spark), "us", "started_at")
+    stream = lambda: on_time(jobs.stream_calls(_observed(spark, f"{work}/in", CALL), DELAY, buffered=True, chunk_us=CHUNK))
+    events.filter(F.col("ts") < middle).repartition(FILES).write.mode("append").parquet(f"{work}/in")
+    tables.write_stream(stream(), table, f"{work}/checkpoint")
+    events.filter(F.col("ts") >= middle).repartition(FILES).write.mode("append").parquet(f"{work}/in")
+    _last_of_all(events, events.agg(F.max(F.unix_micros("ts"))).first()[0], work)
+    tables.write_stream(stream(), table, f"{work}/checkpoint")
+    tables.write_stream(stream(), table, f"{work}/anew")
+    out = micros(table.read(spark), "us", "started_at").filter(F.col("site_id") >= 0)
     return out.select("site_id", "entity_id", "floor", F.col("ts").alias("ended_at"), "seq", "started_at", "duration_s")
 
 
