@@ -121,6 +121,12 @@ def timeline(observations: DataFrame, look_up_old: bool = False) -> DataFrame:
     return rows.withColumn("rose", F.coalesce(rose, F.lit(False))).drop("_rise", *[f"_on{i}" for i in range(len(FLOORS))], *keep_slice(rows))
 
 
+def without_context(rows: DataFrame) -> DataFrame:
+    """The timeline for warnings and day figures: without outdoor readings at each row, zones and states, the scan along the site falls away."""
+    lean = rows.drop("_outdoor", "next_ts", *[f"_state{i}" for i in range(len(FLOORS))])
+    return lean.withColumns({"outdoor_temp_f": F.lit(None).cast("double"), "zones": F.lit(0)})
+
+
 def event(name: str, **fields: Column) -> Column:
     """One event of the log; fields that are not given are null."""
     given = {"floor": F.col("floor"), "ts": F.col("ts"), "seq": F.col("seq"), **fields}

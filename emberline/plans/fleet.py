@@ -40,10 +40,7 @@ class Fleet:
     @cached_property
     def stored_calls(self) -> DataFrame:
         """The calls, written once for rules that read them several times."""
-        spark = self.events.sparkSession
-        path = scratch_path(spark, "calls")
-        self.calls.drop(SLICE).write.parquet(path)
-        return spark.read.parquet(path)
+        return self._stored(self.calls.drop(SLICE), "calls")
 
     @cached_property
     def furnace(self) -> DataFrame:
@@ -92,13 +89,24 @@ class Fleet:
             self.call_edges, self.furnace_edges, self.furnace, thermostat.changes(self.climate), self.outdoor
         )
 
+    def fused(self) -> DataFrame:
+        return derived.timeline(all_observations(self.events), look_up_old=True)
+
+    def _stored(self, rows: DataFrame, name: str) -> DataFrame:
+        spark = self.events.sparkSession
+        path = scratch_path(spark, name)
+        rows.write.parquet(path)
+        return spark.read.parquet(path)
+
     @cached_property
     def timeline(self) -> DataFrame:
         """The fused scan of all observations, written once to the shared folder."""
-        spark = self.events.sparkSession
-        path = scratch_path(spark, "timeline")
-        derived.timeline(all_observations(self.events), look_up_old=True).write.parquet(path)
-        return spark.read.parquet(path)
+        return self._stored(self.fused(), "timeline")
+
+    @cached_property
+    def lean_timeline(self) -> DataFrame:
+        """The part of it that warnings and day figures need, written once."""
+        return self._stored(derived.without_context(self.fused()), "lean-timeline")
 
     def stored_p95(self) -> dict[str, float]:
         """The long end of call durations by floor, from a stored baseline; a row per floor."""
@@ -113,7 +121,7 @@ class Fleet:
 
     def warnings(self, as_of, scale: dict) -> DataFrame:
         """All warning kinds as ``(site_id, kind, ts, seq, floor)``."""
-        return derived.warnings(self.timeline, as_of, scale)
+        return derived.warnings(self.lean_timeline, as_of, scale)
 
 
 def present(df: DataFrame) -> DataFrame:

@@ -219,8 +219,8 @@ def anomaly_confidence(f: Fleet) -> DataFrame:
 @query(until=AS_OF)
 def context_events(f: Fleet) -> DataFrame:
     """The lookback window plus the day summaries before it."""
-    rows = derived.row_events(f.timeline, at(AS_OF), SCALE, {}, context.CONTEXT_EVENTS)
-    log = rows.unionByName(derived.day_events(derived.furnace_days(f.timeline)))
+    rows = derived.row_events(f.lean_timeline, at(AS_OF), SCALE, {}, context.CONTEXT_EVENTS)
+    log = rows.unionByName(derived.day_events(derived.furnace_days(f.lean_timeline)))
     rows = context.context_events(log, at(LIVE_AT), hours=72)
     return rows.select("event_type", "site_id", "floor", "ts", "duration_s")
 
@@ -363,7 +363,7 @@ def floor_daily_summary(f: Fleet) -> DataFrame:
 
 
 def _furnace_days_with_warnings(f: Fleet, setpoints: bool = True) -> DataFrame:
-    return derived.furnace_days(f.timeline, f.warnings(at(AS_OF), SCALE), f.setpoints if setpoints else None)
+    return derived.furnace_days(f.lean_timeline, f.warnings(at(AS_OF), SCALE), f.setpoints if setpoints else None)
 
 
 @query(until=AS_OF)
@@ -643,8 +643,8 @@ def recent_sessions(f: Fleet) -> DataFrame:
 @query(until=AS_OF)
 def recent_warnings(f: Fleet) -> DataFrame:
     """T2"""
-    log = derived.row_events(f.timeline, at(AS_OF), SCALE, {}, WARNING_LABELS)
-    log = log.unionByName(derived.day_events(derived.furnace_days(f.timeline)))
+    log = derived.row_events(f.lean_timeline, at(AS_OF), SCALE, {}, WARNING_LABELS)
+    log = log.unionByName(derived.day_events(derived.furnace_days(f.lean_timeline)))
     rows = context.recent_warnings(log, at("2024-01-28 00:00:00"), hours=72)
     return rows.select("site_id", "label", "floor", "ts", "duration_s").orderBy(F.col("ts").desc(), "site_id", "label")
 
@@ -704,7 +704,7 @@ def zone_snapshots(f: Fleet) -> DataFrame:
 @query(until=LIVE_AT)
 def context_rollup(f: Fleet) -> DataFrame:
     """G9"""
-    return context.context_rollup(gauges.current_snapshot(f.gauge_samples), _live(f), derived.furnace_days(f.timeline), at(LIVE_AT), hours=48)
+    return context.context_rollup(gauges.current_snapshot(f.gauge_samples), _live(f), derived.furnace_days(derived.without_context(f.fused())), at(LIVE_AT), hours=48)
 
 
 # --- replay views -----------------------------------------------------------------------------------------------------
