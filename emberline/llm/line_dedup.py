@@ -2,7 +2,8 @@
 
 A line's key is the line without blanks at its ends, A-Z in lower case. The hashed keys are range-partitioned by
 ``(key, document, position)`` and sorted so inside partitions, so one frequent line spreads over many partitions. The
-first occurrences stream out of these sorted runs: each task sums its runs before anything is exchanged by key. What
+first occurrences stream out of these sorted runs: each task sums its runs before anything is exchanged by key. Lines find the repeated keys
+by key; the keys that hold more than a part in ``HOT_PARTS`` of all lines, at most so many, are broadcast instead, so that none of them fills a task. What
 returns to a document is a compressed keep bitmap - the runs of kept lines - and never text.
 
 Defined results: a null or empty text is one empty line; keys shorter than ``min_chars`` are always kept; every row is a
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from emberline.llm.store import packed, unpacked, written
 
 BLANKS = " \t\n\x0b\x0c\r"
+HOT_PARTS = 1024
 RUNS = "array<struct<start:int,length:int>>"
 
 
@@ -61,14 +63,18 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     ``doc_id`` and position. ``kept`` lists the runs of kept lines. Documents without a row keep everything.
     """
     # written first: the range partitioning samples its input, and both uses below read it again
-    runs = written(occurrences(docs, min_chars), "lines").repartitionByRange("key", "doc_id", "pos").sortWithinPartitions("key", "doc_id", "pos")
-    repeated = (
-        runs.groupBy("key")
-        .agg(F.sum(F.col("fresh").cast("long")).alias("_docs"), F.min(F.struct("doc_id", "_text", "pos")).alias("_first"))
-        .filter(F.col("_docs") >= min_docs)
-        .select("key", "_first")
+    lines = written(occurrences(docs, min_chars), "lines")
+    runs = lines.repartitionByRange("key", "doc_id", "pos").sortWithinPartitions("key", "doc_id", "pos")
+    counts = runs.groupBy("key").agg(
+        F.sum(F.col("fresh").cast("long")).alias("_docs"), F.min(F.struct("doc_id", "_text", "pos")).alias("_first"), F.count(F.lit(1)).alias("_lines")
     )
-    lost = runs.join(repeated, "key")
+    repeated = written(counts.filter(F.col("_docs") >= min_docs).select("key", "_first", "_lines"), "repeated")
+    limit = lines.count() // HOT_PARTS
+    # fewer than HOT_PARTS keys can have more lines than that
+    hot = F.broadcast(repeated.filter(F.col("_lines") > limit).select("key", F.col("_first").alias("_hot")))
+    met = lines.join(hot, "key", "left")
+    others = met.filter(F.col("_hot").isNull()).drop("_hot").join(repeated.filter(F.col("_lines") <= limit).drop("_lines"), "key")
+    lost = met.filter(F.col("_hot").isNotNull()).withColumnRenamed("_hot", "_first").unionByName(others)
     if keep_first:
         lost = lost.filter(~F.struct("doc_id", "_text", "pos").eqNullSafe(F.col("_first")))
     dropped = lost.groupBy("doc_id", "_text").agg(F.max("n_lines").alias("n_lines"), F.sort_array(F.collect_set("pos")).alias("_pos"))

@@ -681,3 +681,12 @@ def test_a_package_with_a_deflated_index(spark):
         file.writestr("archive/x.warc.gz", data)
     package = zip_archives.Package(lambda at, n: bare.getvalue()[at : at + n], len(bare.getvalue()))
     assert [r.payload for r in package.records()] == [b"text"]
+
+
+def test_frequent_lines_are_matched_apart(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "\n".join(["all", f"some {i % 3}", f"own {i}", "all"])) for i in range(60)], "doc_id long, text string").repartition(4)
+    want = rows(line_dedup.drop_lines(docs, min_docs=10, keep_first=True), "doc_id", "text")
+    assert dict(want) == {i: "\n".join([*(["all"] if i == 0 else []), *([f"some {i}"] if i < 3 else []), f"own {i}"]) for i in range(60)}
+    for parts in (1, 10, 100_000):
+        monkeypatch.setattr(line_dedup, "HOT_PARTS", parts)
+        assert rows(line_dedup.drop_lines(docs, min_docs=10, keep_first=True), "doc_id", "text") == want
