@@ -17,7 +17,7 @@ from emberline.streaming.ordered import late_rows, micros, on_time, run_availabl
 DELAY = "3 days"
 HOUR_US = 3_600_000_000
 CHUNK = 24 * HOUR_US  # the events of a site lie hours apart
-PARTS, FILES = 3, 4  # arrivals of the test stream, and files of each
+PARTS, FILES = 2, 2  # arrivals of the test stream, and files of each
 
 
 def stream_query(build):
