@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from emberline.llm.store import slices, written
 
 SLICE_BYTES = 2 << 20
-CACHED_PIECES = 200_000
+CACHED_PIECES = 500_000  # pre-tokens a worker remembers, about 0.3 KB each
 TURNS = 1024  # rounds of packing that sequence numbers tell apart
 # Latin letters before U+0180 are composed already and have lower-case forms of one letter, but for U+0130
 NOT_PLAIN = re.compile("[\u0130\u0180-\U0010ffff]|<\\|")
@@ -47,7 +47,8 @@ class TextIds:
     batch. Of other texts the words that are not plain take the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_PIECES):
+        self.cached = cached
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -88,7 +89,7 @@ class TextIds:
         return b"".join(out)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > CACHED_PIECES:
+        if len(self.known) > self.cached:
             self.known.clear()
         cuts = [self.cut(t.decode()) for t in texts]
         self.learn(list({p for pieces in cuts if pieces for p in pieces} - self.known.keys()))
@@ -99,17 +100,18 @@ class TextIds:
 _TOKENIZERS: dict[str, TextIds] = {}
 
 
-def text_ids(path: str) -> TextIds:
+def text_ids(path: str, cached: int) -> TextIds:
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = TextIds(path)
+    _TOKENIZERS[path].cached = cached
     return _TOKENIZERS[path]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, cached: int = CACHED_PIECES) -> DataFrame:
     """``doc_id, piece, start, length, ids``: the pieces of every document; ``ids`` are little-endian 32-bit integers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, tail, step = text_ids(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        coder, tail, step = text_ids(tokenizer, cached), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             doc_ids = batch.column("doc_id")
             for low, _, data, offsets in slices(batch, "text", SLICE_BYTES):
