@@ -16,8 +16,11 @@ from emberline.llm.store import table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters go, and all if no document teaches a language. Text in a language that no label teaches is not told apart."""
-    return language_id.keep_identified(docs, language_id.train(docs))
+    """Documents without letters go, and all if no document teaches a language. Text in a language that no label teaches is not told apart.
+
+    From here on ``lang`` is the language found in the text, whatever the label was; the pieces that are packed carry it.
+    """
+    return language_id.keep_identified(docs, language_id.train(docs), into="lang")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +40,10 @@ def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens."""
+    """Pieces of all documents, each with its document's language, in sequences of at most 2048 tokens."""
+    carry = [c for c in ("lang",) if c in docs.columns]
     # workers that have run the earlier stages remember fewer pre-tokens
-    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0, cached=200_000)
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0, cached=200_000, carry=carry)
     return packing.pack(written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"), capacity=2048)
 
 

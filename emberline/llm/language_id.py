@@ -304,8 +304,11 @@ def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(label, shape + ", _lang string, _score double, _certainty double, _parts array<struct<start:int,length:int,lang:string>>")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, min_certainty: float = 0.0) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model | None, min_certainty: float = 0.0, into: str | None = None) -> DataFrame:
     """The documents with a language: not ``und``, and words labelled with a certainty of at least ``min_certainty`` in the mean. A document that
-    mixes languages has a low score, but not a low certainty."""
+    mixes languages has a low score, but not a low certainty. The column ``into``, if the documents have it, takes the language found."""
     found = with_language(docs, model)
-    return unpacked(found.filter((F.col("_lang") != UNKNOWN) & (F.col("_certainty") >= min_certainty)), docs.columns)
+    kept = found.filter((F.col("_lang") != UNKNOWN) & (F.col("_certainty") >= min_certainty))
+    if into not in docs.columns:
+        return unpacked(kept, docs.columns)
+    return unpacked(kept, docs.columns, {into: F.col("_lang")})

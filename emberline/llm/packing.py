@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -107,13 +107,15 @@ def text_ids(path: str, cached: int) -> TextIds:
     return _TOKENIZERS[path]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, cached: int = CACHED_PIECES) -> DataFrame:
-    """``doc_id, piece, start, length, ids``: the pieces of every document; ``ids`` are little-endian 32-bit integers."""
+def token_pieces(
+    docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, cached: int = CACHED_PIECES, carry: Sequence[str] = ()
+) -> DataFrame:
+    """``doc_id, piece, start, length, ids``: the pieces of every document; ``ids`` are little-endian 32-bit integers. Columns of the
+    documents named in ``carry`` follow."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, tail, step = text_ids(tokenizer, cached), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            doc_ids = batch.column("doc_id")
             for low, _, data, offsets in slices(batch, "text", SLICE_BYTES):
                 raw = data.tobytes()
                 texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
@@ -127,13 +129,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                         start.append(at // 4)
                         length.append(len(part) // 4)
                         ids.append(part)
+                mine = pa.array(owner, pa.int64())
+                doc_ids, *others = [batch.column(c).take(mine) for c in ("doc_id", *carry)]
                 yield pa.RecordBatch.from_arrays(
-                    [doc_ids.take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "piece", "start", "length", "ids"],
+                    [doc_ids, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), *others],
+                    ["doc_id", "piece", "start", "length", "ids", *carry],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids binary")
+    others = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select("doc_id", "text", *[F.col(f"`{c}`") for c in carry]).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids binary{others}")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +29,10 @@ def packed(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.col(text).alias("text"), F.struct(*rest, F.lit(0).alias("_none")).alias("_rest"))
 
 
-def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of the table that ``packed`` took, in their order."""
-    return df.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in columns])
+def unpacked(df: DataFrame, columns: list[str], new: Mapping[str, Column] | None = None) -> DataFrame:
+    """The columns of the table that ``packed`` took, in their order; those in ``new`` with new values."""
+    new = new or {}
+    return df.select(*[new[c].alias(c) if c in new else F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in columns])
 
 
 def text_hash() -> Column:

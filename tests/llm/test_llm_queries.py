@@ -210,3 +210,17 @@ def test_pipeline(spark, duck, texts):
             clean.add(i)
     assert set(kept[3]) == clean
     check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect(), kept[3])
+
+
+def test_the_language_found_follows_a_document_through_the_pipeline(spark):
+    texts = {"en": "the house stands by the river and the children play in the garden", "de": "das haus steht am fluss und die kinder spielen im garten"}
+    rows = [(i, f"{texts[x]} {i}", x) for i, x in enumerate(["en", "de"] * 30)]
+    rows += [(100, f"{texts['de']} und das wasser ist kalt", "en"), (101, f"{texts['en']} and the water is cold", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = corpus_pipeline.identify_language(spark, docs, DATA)
+    assert found.columns == docs.columns and found.count() == len(rows)
+    pieces = corpus_pipeline.pack_sequences(spark, found, DATA).collect()
+    langs = {r["doc_id"]: r["lang"] for r in pieces}
+    assert (langs[100], langs[101]) == ("de", "en")
+    assert [langs[i] for i in range(60)] == ["en", "de"] * 30
+    assert "lang" not in corpus_pipeline.pack_sequences(spark, docs.drop("lang"), DATA).columns
