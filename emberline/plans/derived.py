@@ -50,13 +50,14 @@ WARNINGS = {
 }
 
 
-def timeline(observations: DataFrame, look_up_old: bool = False) -> DataFrame:
+def timeline(observations: DataFrame, look_up_old: bool = False, parts: int | None = None) -> DataFrame:
     """Every observation with its place in sessions, cycles, calls and the readings around it.
 
-    ``look_up_old`` takes previous states from the entity's row before, for sources that have none.
+    ``look_up_old`` takes previous states from the entity's row before, for sources that have none. ``parts`` is the number of tasks of the scan;
+    each sorts its rows in memory several times over, so it should follow the number of rows.
     """
     rows = observations
-    rows = rows.repartition(*[c for c in ("site_id", SLICE) if c in rows.columns])
+    rows = rows.repartition(*[parts] * (parts is not None), *[c for c in ("site_id", SLICE) if c in rows.columns])
     a, kind = F.col("attributes"), F.col("kind")
     given = a["temperature"].isNotNull() | a["current_temperature"].isNotNull() | a["hvac_action"].isNotNull()
     climate = (kind == CLIMATE) & given

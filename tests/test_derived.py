@@ -158,3 +158,18 @@ def test_sliced_timelines_give_the_same_log(spark, monkeypatch):
     assert "_slice" in cut.columns and plain.count() > 0
     logs = [Fleet(e).derived_log(F.lit(AS_OF).cast("timestamp"), SCALE) for e in (events_, cut)]
     assert logs[0].exceptAll(logs[1]).count() == 0 and logs[0].count() == logs[1].count()
+
+
+def test_tasks_of_the_scan_follow_the_rows(spark, monkeypatch):
+    from emberline.plans import fleet as fleets
+
+    plain = Fleet(read_events(spark, EVENTS))
+    want = plain.fused().select("site_id", "kind", "seq", "edge", "started_at", "zones")
+    monkeypatch.setattr(fleets, "ROWS_PER_SCAN_TASK", 200)
+    fleet = Fleet(read_events(spark, EVENTS))
+    fused = fleet.fused()
+    assert scans_and_exchanges(fused) == (1, 1)
+    tasks = int(re.search(r"hashpartitioning\(site_id#\d+L?, (\d+)\)", executed(fused)).group(1))
+    assert tasks == fleet.scan_tasks == 4 * spark.read.parquet(EVENTS).count() // 200 > plain.scan_tasks
+    got = fused.select(*want.columns)
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
